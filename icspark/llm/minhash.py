@@ -38,7 +38,9 @@ SLOTS = BANDS * ROWS
 #: A pair whose signatures agree in fewer slots is, at 0.85, more than five standard deviations off.
 LEAST_AGREE = 0.68
 #: Members of a bucket that one tile holds; shingles that one vector step holds.
-TILE, STEP_SHINGLES = 256, 150_000
+TILE, STEP_SHINGLES = 128, 150_000
+#: A bucket with more members is hot. Rows of a table that may be broadcast.
+HOT_BUCKET, MOST_BROADCAST = 64, 100_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -161,27 +163,56 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
 
 
 def _unmet(open_rows: DataFrame) -> DataFrame:
-    """open_rows: b, n, hub, doc_id, root, sig of buckets with several components. Pairs that agree across components."""
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
-    placed = open_rows.withColumn("own", own).withColumn("t", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    placed = placed.withColumn("i", F.least("own", "t")).withColumn("j", F.greatest("own", "t"))
+    """open_rows: k, hub, doc_id, root, sig of small buckets with several components. Pairs that agree across components."""
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), -1)
-        ids, root, hub, own = (pdf[c].to_numpy() for c in ("doc_id", "root", "hub", "own"))
-        i, j = pdf.i.iloc[0], pdf.j.iloc[0]
-        first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        ids, root, hub = (pdf[c].to_numpy() for c in ("doc_id", "root", "hub"))
         out = []
-        for x in first:
-            y = second[(root[second] != root[x]) & ((ids[second] > ids[x]) | (i != j))]
-            y = y[(ids[y] != hub[y]) & (ids[x] != hub[x])]
-            if len(y):
-                y = y[(sig[y] == sig[x]).mean(1) >= LEAST_AGREE]
-                out += [(max(ids[x], ids[k]), min(ids[x], ids[k])) for k in y]
+        for x in np.flatnonzero(ids != hub).tolist():  # pairs with the hub were tried
+            y = np.flatnonzero((ids > ids[x]) & (root != root[x]))
+            out += [(ids[k], ids[x]) for k in y[(sig[y] == sig[x]).mean(1) >= LEAST_AGREE]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return open_rows.groupBy("k").applyInPandas(go, "a long, b long").distinct()
+
+
+def _joined_in_tiles(members: DataFrame, percent: int) -> DataFrame:
+    """members: doc_id, root, g, size, sig, text of large sets of documents that may be similar.
+
+    Every pair of a set meets in one tile. There a union-find over components skips what is
+    already joined, signatures sift, full shingle sets decide, and only joining links leave.
+    """
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    placed = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), tiles).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    placed = placed.withColumn("i", F.least("own", "t")).withColumn("j", F.greatest("own", "t"))
+
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", ignore_index=True)
+        sig = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), -1)
+        ids, own = pdf.doc_id.to_numpy(), pdf.own.to_numpy()
+        sets = [shingles(words_of(t.encode())) for t in pdf.text]
+        size = np.array([len(s) for s in sets])
+        up: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while up.get(r, r) != r:
+                r = up[r]
+            return r
+
+        root, out = pdf.root.to_numpy().copy(), []
+        first, second = np.flatnonzero(own == pdf.i.iloc[0]), np.flatnonzero(own == pdf.j.iloc[0])
+        for x in first.tolist():
+            y = second[root[second] != root[x]]
+            y = y[(100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])) & ((sig[y] == sig[x]).mean(1) >= LEAST_AGREE)]
+            for k in y.tolist():
+                a, b = top(root[x]), top(root[k])
+                if a != b and similar(sets[x], sets[k], percent):
+                    up[max(a, b)] = min(a, b)
+                    out.append((max(ids[x], ids[k]), min(ids[x], ids[k])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return placed.groupBy("b", "i", "j").applyInPandas(go, "a long, b long").distinct()
+    return placed.groupBy("g", "i", "j").applyInPandas(go, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,9 +234,19 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
     # buckets of three or more that the stars left in pieces
     labelled = met.where("n > 2").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     labelled = scratch.cut(labelled)
-    broken = labelled.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    open_rows = labelled.join(scratch.cut(broken), "k").join(sigs, "doc_id").withColumnRenamed("k", "b")
-    more = scratch.cut(confirm(scratch.cut(_unmet(open_rows)), thin, percent))
+    broken = scratch.cut(labelled.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"))
+    open_rows = scratch.cut(labelled.join(broken, "k"))
+    small = open_rows.where(F.col("n") <= HOT_BUCKET).join(sigs, "doc_id").select("k", "hub", "doc_id", "root", "sig")
+    more = scratch.cut(confirm(scratch.cut(_unmet(small)), thin, percent))
+    # hot buckets that share members form sets; each set is compared once, whatever its buckets
+    hot = scratch.cut(open_rows.where(F.col("n") > HOT_BUCKET).select("doc_id", "hub", "root").distinct())
+    if not hot.isEmpty():
+        sets = scratch.cut(components(scratch, hot.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))))
+        within = hot.select("doc_id", "root").distinct().join(sets.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce(sets["root"], "doc_id")).drop(sets["root"])
+        within = scratch.cut(within)
+        size = scratch.cut(within.groupBy("g").agg(F.count(F.lit(1)).alias("size")))
+        members = within.join(F.broadcast(size) if size.count() <= MOST_BROADCAST else size, "g").join(sigs, "doc_id").join(thin, "doc_id")
+        more = more.unionByName(scratch.cut(_joined_in_tiles(members, percent)))
     if not more.isEmpty():
         roots = scratch.cut(components(scratch, links.unionByName(more)))
     named = every.select("doc_id", "n_shingles", "seq").join(reps, "seq", "left").drop("seq")
