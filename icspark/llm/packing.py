@@ -16,53 +16,126 @@ to the earlier piece; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import struct
+import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-import zlib
 
-from icspark.llm.common import CACHE_WORDS, small_batches
+from icspark.llm.common import small_batches
 
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 2048, 256, 1
 #: Pieces that a task keeps open for the heuristic.
-POOL = 1024
+POOL = 256
+#: Words that a worker knows the ids of, in each of two generations.
+KNOWN_WORDS = 300_000
 _CONTROLS = "\x1c\x1d\x1e\x1f"
+_PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
-class WordTokens(dict):
-    """Token ids of a white-space separated word. The vocabulary drops white space, so words never join."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+class Recent(dict):
+    """Values made on demand, in two generations of bounded size: what was used lately outlives the rest."""
 
+    def __init__(self, make, most: int = KNOWN_WORDS):
         super().__init__()
-        self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = np.array(self.coder.encode(word, add_special_tokens=False).ids, "<u4")
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
-    def ids(self, text: str) -> np.ndarray:
-        if any(c in text for c in _CONTROLS):  # Python's split takes these for white space, the vocabulary doesn't
-            return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4")
-        words = text.split()
-        new = list({w for w in words if w not in self})
-        if len(self) + len(new) > CACHE_WORDS:
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
-            new = list(set(words))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for word, code in zip(part, self.coder.encode_batch_fast(part, add_special_tokens=False)):
-                self[word] = np.array(code.ids, "<u4")
-        return np.concatenate([self[w] for w in words]) if words else np.empty(0, "<u4")
+
+
+def packed(ids: list[int]) -> bytes:
+    """Unsigned little-endian 32-bit ids."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class WordTokens:
+    """Token ids (little-endian unsigned 32-bit, as bytes) of white-space separated words.
+
+    The vocabulary drops white space, so words never join, and it parts a word into letters, single
+    digits and other characters before it merges. Words of Latin letters take that way directly, each
+    part once; all others go through the whole coder.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.coder = Tokenizer.from_file(path)
+        self.coder.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merge = self.coder.model.tokenize
+        # the byte alphabet, asked of the library: two-byte characters show every byte that Latin text has
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {}
+        for c in map(chr, [*range(33, 127), *range(0xA1, 0x250)]):
+            for raw, shown in zip(c.encode(), level.pre_tokenize_str(c)[0][0]):
+                self.letters[raw] = shown
+        self.words, self.parts = Recent(self.word), Recent(self.part)
+
+    def whole(self, text: str) -> list[int]:
+        return self.coder.encode(text, add_special_tokens=False).ids
+
+    def part(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.merge(shown)])
+
+    def word(self, word: str) -> bytes:
+        if not word.isascii() and (max(word) > "\u024f" or not unicodedata.is_normalized("NFC", word)) or "'" in word:
+            return packed(self.whole(word))
+        low = word.lower()
+        if low.isalpha():
+            return self.parts[low]
+        if not low.isascii() and max(low) > "\u024f":
+            return packed(self.whole(word))
+        if low[:-1].isalpha() and not low[-1].isalnum():  # most often a word and a sign
+            return self.parts[low[:-1]] + self.parts[low[-1]]
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(low)))
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out = []
+        for k, t in enumerate(texts):
+            if not k % 100:
+                self.words.turn()
+                self.parts.turn()
+            if any(c in t for c in _CONTROLS):  # Python's split takes these for white space, the vocabulary doesn't
+                out.append(np.array(self.whole(t), "<u4"))
+            else:
+                out.append(np.frombuffer(b"".join(map(self.words.__getitem__, t.split())), "<u4"))
+        return out
+
+
+_coders: dict[str, WordTokens] = {}
+
+
+def coder_of(path: str | None) -> WordTokens:
+    """One coder a worker and vocabulary; its words stay known from task to task."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    if path not in _coders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        _coders.clear()
+        _coders[path] = WordTokens(path)
+    return _coders[path]
 
 
 @dataclass
@@ -87,8 +160,6 @@ class Packer:
     def __init__(self, limits: Limits, first_id: int, pool: int = POOL):
         self.limits, self.next_id, self.pool = limits, first_id, pool
         self.open: list[Piece] = []
-        self.vectors = np.zeros((pool + 8, 3))
-
     def add(self, piece: Piece) -> Iterator[tuple[Piece, int, int]]:
         full = min(self.limits.tokens, self.limits.loss)
         while len(piece.ids) >= full:  # whole sequences need no search
@@ -164,12 +235,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, limits: Limits = Li
     names = [x.split()[0] for x in schema.split(", ")]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = tokenizer_path
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("word_bpe_49k.json")
-        coder = WordTokens(path)
+        coder = coder_of(tokenizer_path)
         packer = Packer(limits, TaskContext.get().partitionId() << 36)
         end = np.array([END_ID], "<u4")
 
@@ -182,8 +248,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, limits: Limits = Li
 
         for b in batches:
             found = []
-            for doc, text, skip in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids = np.concatenate([coder.ids(text or ""), end])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc, ids, skip in zip(b.column(0).to_pylist(), coder.batch(texts), b.column(2).to_pylist()):
+                ids = np.concatenate([ids, end])
                 found += packer.add(Piece(doc, 0, ids, len(ids), max(0, len(ids) - skip)))
             if found:
                 yield rows(found)
