@@ -30,8 +30,10 @@ from icspark.llm.common import CACHE_WORDS, small_batches
 
 ORDER, DECAY, PIECE = 3, 0.6, 24
 #: Bound of the labelled sample, by class.
-TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
-LANDMARKS = 36
+TRAIN_TOXIC, TRAIN_CLEAN = 1200, 4000
+LANDMARKS = 28
+#: Margin of a text without words.
+NOTHING = -3.0
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -53,8 +55,8 @@ class Kernel:
         self.table = np.full((len(landmarks), width), -1, np.int32)
         for k, w in enumerate(landmarks):
             self.table[k, : len(w)] = [self.index[c] for c in w]
-        # onehot[c, landmark, place]
-        self.onehot = (self.table[None] == np.arange(len(self.codes))[:, None, None]).astype(np.float32)
+        # onehot[place, letter, landmark]
+        self.onehot = (self.table.T[:, None] == np.arange(len(self.codes))[None, :, None]).astype(np.float32)
         self.own = np.sqrt(np.maximum(self_kernel(landmarks, order, decay), 1e-30)).astype(np.float32)
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -73,23 +75,24 @@ class Kernel:
         return out
 
     def _block(self, code: np.ndarray) -> np.ndarray:
+        """code: words of one length by places, -1 for letters of no landmark. Arrays run place of the landmark first."""
         n, size = code.shape
         m, width = self.table.shape
         lam, lam2 = np.float32(self.decay), np.float32(self.decay**2)
-        onehot = np.concatenate([self.onehot, np.zeros((1, m, width), np.float32)])  # the last row: letters of no landmark
-        prime = [np.ones((n, m, width + 1), np.float32)] + [np.zeros((n, m, width + 1), np.float32) for _ in range(self.order - 1)]
+        onehot = np.concatenate([self.onehot, np.zeros((width, 1, m), np.float32)], 1)  # the last row for letters of no landmark
+        prime = [np.ones((width + 1, n, m), np.float32)] + [np.zeros((width + 1, n, m), np.float32) for _ in range(self.order - 1)]
         total = np.zeros((n, m), np.float32)
         for s in range(size):
-            same = onehot[code[:, s]]
-            total += lam2 * np.einsum("nmw,nmw->nm", same, prime[self.order - 1][:, :, :width])
+            same = onehot[:, code[:, s]]
+            total += lam2 * (same * prime[self.order - 1][:width]).sum(0)
             for i in range(self.order - 1, 0, -1):
-                step = lam2 * same * prime[i - 1][:, :, :width]
-                run = np.zeros((n, m), np.float32)
-                fresh = prime[i]
+                step = same if i == 1 else same * prime[i - 1][:width]
+                fresh, run = prime[i], np.zeros((n, m), np.float32)
                 fresh *= lam
                 for t in range(width):
-                    run = lam * run + step[:, :, t]
-                    fresh[:, :, t + 1] += run
+                    run *= lam
+                    run += step[t]
+                    fresh[t + 1] += lam2 * run
         return total
 
 
@@ -170,8 +173,8 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, r
 
 
 def fragments(word: str) -> set[str]:
-    """The marked word and its stretches of four to seven characters."""
-    return {word} | {word[k : k + n] for n in range(4, 8) for k in range(len(word) - n + 1)}
+    """Stretches of four to eight characters of a marked word."""
+    return {word[k : k + n] for n in range(4, 9) for k in range(len(word) - n + 1)}
 
 
 def cover(bags: list[set[str]], labels: list[int], most: int) -> list[str]:
@@ -226,7 +229,9 @@ def loosened(word: str) -> list[str]:
 
 def fit(texts: list[str], labels: list[int]) -> Model | None:
     """Train on labelled texts. Deterministic: ties go to the alphabetically first word."""
-    bags = [set(words_of(t)) for t in texts]
+    known: dict[str, str] = {}
+    bags = [{known.setdefault(w, w) for w in words_of(t)} for t in texts]  # each word once in memory
+    del known
     n1 = sum(labels)
     if not n1 or n1 == len(labels):
         return None
@@ -235,7 +240,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
         if not y:
             for w in bag:
                 clean[w] = clean.get(w, 0) + 1
-    found = cover(bags, labels, LANDMARKS * 2 // 3)
+    found = cover(bags, labels, LANDMARKS - 6)
     if not found:
         return None
     strong: dict[str, int] = {}
@@ -244,13 +249,13 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
             if w not in clean and any(f in w for f in found):
                 strong[w] = strong.get(w, 0) + 1
     common = sorted((w for w in clean if w not in strong), key=lambda w: (-clean[w], w))
-    marks = found + [w for w in common if len(w) >= 5][: LANDMARKS - len(found)]
+    marks = found + [w for w in common if 5 <= len(w) <= 8][: LANDMARKS - len(found)]
     kernel = Kernel([m[:PIECE] for m in marks])
     gram = kernel(kernel.landmarks).astype(float)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     good = value > 1e-4
     root = vector[:, good] / np.sqrt(value[good])  # Nystroem map: kernel row @ root
-    good_rows = {w: 1 + np.log(c) for w, c in strong.items()} | {x: 1.0 for f in found if f[0] == "^" and f[-1] == "$" for x in loosened(f) if x not in clean}
+    good_rows = {w: 1 + np.log(c) for w, c in strong.items()} | {x: 1.0 for w in sorted(strong, key=lambda w: (-strong[w], w))[:40] for x in loosened(w) if x not in clean}
     bad_rows = {w: 1 + np.log(clean[w]) for w in common[:4000]}
     every = sorted({w for bag in bags for w in bag})
     for turn in range(2):
@@ -264,7 +269,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
         if not turn:  # words of clean texts that look toxic
             alarms = sorted((w for w in clean if margin[w] > -0.8 and w not in bad_rows), key=lambda w: (-margin[w], w))[:4000]
             bad_rows |= {w: 1 + np.log(clean[w]) for w in alarms}
-    top = np.array([max((margin[w] for w in bag), default=-3.0) for bag in bags])
+    top = np.array([max((margin[w] for w in bag), default=NOTHING) for bag in bags])
     model.slope, model.shift = _logistic(top, np.array(labels, float))
     return model
 
@@ -298,18 +303,24 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, cle
 
 
 class Scorer(dict):
-    """Margin of a word, kept per worker; new words are taken in whole batches."""
+    """Margin of a white-space separated token, kept per worker in two generations; new ones are taken in whole batches."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.kernel = model, Kernel(model.landmarks)
+        self.model, self.kernel, self.old = model, Kernel(model.landmarks), {}
 
-    def learn(self, words) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_WORDS:
+    def learn(self, tokens: set[str]) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-            new = list(words)
-        self.update(zip(new, self.model.margins(new, self.kernel).tolist()))
+        new = [t for t in tokens if t not in self]
+        if self.old:
+            self.update((t, self.old[t]) for t in new if t in self.old)
+            new = [t for t in new if t not in self]
+        bare = [_EDGE.sub("", t) for t in new]
+        words = sorted({w for w in bare if w})
+        margin = dict(zip(words, self.model.margins([mark(w) for w in words], self.kernel).tolist()))
+        self.update((t, margin.get(w, NOTHING)) for t, w in zip(new, bare))
 
 
 _scorers: dict[int, Scorer] = {}
@@ -333,16 +344,16 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         if model is not None:
             key = hash(tuple(model.landmarks) + (model.bias,))
             if key not in _scorers:
-                _scorers.clear()
+                _scorers.clear()  # one model at a time
                 _scorers[key] = Scorer(model)
             scorer = _scorers[key]
         for b in batches:
-            bags = [set(words_of(t)) for t in b.column(at).to_pylist()]
+            bags = [set((t or "").lower().split()) for t in b.column(at).to_pylist()]
             if scorer is None:
                 scores = np.zeros(len(bags))
             else:
                 scorer.learn(set().union(*bags))
-                scores = model.score(np.array([max(map(scorer.__getitem__, bag), default=-3.0) for bag in bags]))
+                scores = model.score(np.array([max(map(scorer.__getitem__, bag), default=NOTHING) for bag in bags]))
             columns = [b.column(k) for k in range(len(names)) if keep or k != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
 
