@@ -68,9 +68,14 @@ def train(docs: DataFrame, rows_each: int = TRAIN_ROWS) -> TextModel:
     """Fit on the rows of each language with the smallest hash of their id."""
     known = docs.where("lang is not null and text is not null and text <> ''")
     names = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    rows = []
-    for name in names:
-        rows += [(name, r[0]) for r in known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(rows_each).collect()]
+    picked = None
+    for name in names:  # ids alone compete; the texts of those chosen are fetched once
+        some = known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "lang").limit(rows_each)
+        picked = some if picked is None else picked.unionByName(some)
+    if picked is None:
+        return TextModel([])
+    chosen = F.broadcast(picked.distinct())  # at most rows_each x MOST_LANGUAGES rows
+    rows = sorted((r[0], r[1]) for r in known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text").distinct().collect())
     return TextModel(rows)
 
 
