@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows per Arrow batch for text; keeps a Python worker's memory small when texts are long.
 TEXT_BATCH_ROWS = 500
 #: Distinct words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,11 +112,8 @@ class WordHash(dict):
         return value
 
 
-_words = WordHash()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(Held.get("word hashes", WordHash).__getitem__, words), np.uint64, len(words))
 
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -169,6 +166,19 @@ def text_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+class Held:
+    """One cache a worker: making one for another purpose frees the last, so an executor's memory stays bounded."""
+
+    key, value = None, None
+
+    @classmethod
+    def get(cls, key, make):
+        if cls.key != key:
+            cls.key, cls.value = None, None
+            cls.key, cls.value = key, make()
+        return cls.value
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it while df has such a column."""
     taken = {c.lower() for c in df.columns}

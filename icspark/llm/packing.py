@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icspark.llm.common import small_batches
+from icspark.llm.common import Held, small_batches
 
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 2048, 256, 1
 #: Pieces that a task keeps open for the heuristic.
@@ -122,20 +122,14 @@ class WordTokens:
         return out
 
 
-_coders: dict[str, WordTokens] = {}
-
-
 def coder_of(path: str | None) -> WordTokens:
     """One coder a worker and vocabulary; its words stay known from task to task."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    if path not in _coders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        _coders.clear()
-        _coders[path] = WordTokens(path)
-    return _coders[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    return Held.get(("packing", path), lambda: WordTokens(path))
 
 
 @dataclass

@@ -23,15 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icspark.llm.common import CACHE_WORDS, small_batches
+from icspark.llm.common import Held, small_batches
 
 ORDER, DECAY, PIECE = 3, 0.6, 24
 #: Bound of the labelled sample, by class.
-TRAIN_TOXIC, TRAIN_CLEAN = 1200, 4000
+TRAIN_TOXIC, TRAIN_CLEAN = 1200, 5000
 LANDMARKS = 28
+#: Tokens that a worker knows the margins of, in each of two generations.
+KNOWN_TOKENS = 150_000
 #: Margin of a text without words.
 NOTHING = -3.0
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -177,28 +180,38 @@ def fragments(word: str) -> set[str]:
     return {word[k : k + n] for n in range(4, 9) for k in range(len(word) - n + 1)}
 
 
-def cover(bags: list[set[str]], labels: list[int], most: int) -> list[str]:
+def cover(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, most: int) -> list[str]:
     """Fragments that mark toxic texts and hardly any clean one; each next one covers most texts not yet covered.
 
-    A second pass adds other fragments, unlike those found, that mark many texts already covered.
+    bags: ids of the distinct words of each text. Fragments are counted by hash, so only those of
+    three texts or more are ever held as strings. A second pass adds other fragments, unlike those
+    found, that mark many texts already covered.
     """
-    seen: dict[str, int] = {}
+    n1 = max(int(labels.sum()), 1)
+    n0 = max(len(labels) - n1, 1)
+    seen = np.zeros(len(vocabulary), np.int64)
     for bag, y in zip(bags, labels):
         if not y:
-            for w in bag:
-                seen[w] = seen.get(w, 0) + 1
-    n1 = max(sum(labels), 1)
-    n0 = max(len(labels) - n1, 1)
+            seen[bag] += 1
+    rare = seen < 0.005 * n0
+    mine = [(k, bag[rare[bag]]) for k, (bag, y) in enumerate(zip(bags, labels)) if y]
+    of = lambda bag: set().union(*(fragments(vocabulary[w]) for w in bag.tolist()))
+    digest = xxhash.xxh3_64_intdigest
+    every = np.concatenate([np.empty(0, np.uint64), *(np.fromiter(map(digest, of(bag)), np.uint64) for _, bag in mine)])
+    values, counts = np.unique(every, return_counts=True)
+    often = set(values[counts >= 3].tolist())
+    del every, values, counts
     toxic: dict[str, set[int]] = {}
-    for k, (bag, y) in enumerate(zip(bags, labels)):
-        for f in set().union(*(fragments(w) for w in bag if seen.get(w, 0) < 0.005 * n0)) if y else ():
-            toxic.setdefault(f, set()).add(k)
+    for k, bag in mine:
+        for f in of(bag):
+            if digest(f) in often:
+                toxic.setdefault(f, set()).add(k)
     toxic = {f: at for f, at in toxic.items() if len(at) >= 3}
     clean: dict[str, int] = {}
-    for w, c in seen.items():
-        for f in fragments(w):
+    for w in np.flatnonzero(seen).tolist():
+        for f in fragments(vocabulary[w]):
             if f in toxic:
-                clean[f] = clean.get(f, 0) + c
+                clean[f] = clean.get(f, 0) + int(seen[w])
     pure = {f: at for f, at in toxic.items() if clean.get(f, 0) / n0 < 0.02 * len(at) / n1}
     out: list[str] = []
     for least in (3, max(3, n1 // 50)):
@@ -229,48 +242,44 @@ def loosened(word: str) -> list[str]:
 
 def fit(texts: list[str], labels: list[int]) -> Model | None:
     """Train on labelled texts. Deterministic: ties go to the alphabetically first word."""
-    known: dict[str, str] = {}
-    bags = [{known.setdefault(w, w) for w in words_of(t)} for t in texts]  # each word once in memory
-    del known
-    n1 = sum(labels)
-    if not n1 or n1 == len(labels):
+    y_doc = np.array(labels, bool)
+    if not len(y_doc) or y_doc.all() or not y_doc.any():
         return None
-    clean: dict[str, int] = {}
-    for bag, y in zip(bags, labels):
-        if not y:
-            for w in bag:
-                clean[w] = clean.get(w, 0) + 1
-    found = cover(bags, labels, LANDMARKS - 6)
+    ids: dict[str, int] = {}
+    bags = [np.array(sorted({ids.setdefault(w, len(ids)) for w in words_of(t)}), np.int32) for t in texts]
+    vocabulary = list(ids)
+    found = cover(vocabulary, bags, y_doc, LANDMARKS - 6)
     if not found:
         return None
-    strong: dict[str, int] = {}
-    for bag, y in zip(bags, labels):
-        for w in bag if y else ():
-            if w not in clean and any(f in w for f in found):
-                strong[w] = strong.get(w, 0) + 1
-    common = sorted((w for w in clean if w not in strong), key=lambda w: (-clean[w], w))
-    marks = found + [w for w in common if 5 <= len(w) <= 8][: LANDMARKS - len(found)]
-    kernel = Kernel([m[:PIECE] for m in marks])
+    clean, strong = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+    for bag, y in zip(bags, y_doc):
+        (strong if y else clean)[bag] += 1
+    hit = np.array([any(f in w for f in found) for w in vocabulary])
+    strong[(clean > 0) | ~hit] = 0
+    order = np.array(sorted(range(len(vocabulary)), key=vocabulary.__getitem__))
+    common = [int(k) for k in order[np.argsort(-clean[order], kind="stable")] if clean[k]]
+    best = [int(k) for k in order[np.argsort(-strong[order], kind="stable")] if strong[k]]
+    kernel = Kernel([m[:PIECE] for m in found + [vocabulary[k] for k in common if 5 <= len(vocabulary[k]) <= 8][: LANDMARKS - len(found)]])
     gram = kernel(kernel.landmarks).astype(float)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     good = value > 1e-4
     root = vector[:, good] / np.sqrt(value[good])  # Nystroem map: kernel row @ root
-    good_rows = {w: 1 + np.log(c) for w, c in strong.items()} | {x: 1.0 for w in sorted(strong, key=lambda w: (-strong[w], w))[:40] for x in loosened(w) if x not in clean}
-    bad_rows = {w: 1 + np.log(clean[w]) for w in common[:4000]}
-    every = sorted({w for bag in bags for w in bag})
+    toxic_rows = {vocabulary[k]: 1 + np.log(strong[k]) for k in best}
+    toxic_rows |= {x: 1.0 for k in best[:40] for x in loosened(vocabulary[k]) if not (x in ids and clean[ids[x]])}
+    clean_rows = {vocabulary[k]: 1 + np.log(clean[k]) for k in common[:4000]}
     for turn in range(2):
-        x = kernel([p[:PIECE] for p in [*good_rows, *bad_rows]]).astype(float) @ root
-        y = np.r_[np.ones(len(good_rows)), -np.ones(len(bad_rows))]
-        weight = np.array([*good_rows.values(), *bad_rows.values()])
+        x = kernel([p[:PIECE] for p in [*toxic_rows, *clean_rows]]).astype(float) @ root
+        y = np.r_[np.ones(len(toxic_rows)), -np.ones(len(clean_rows))]
+        weight = np.array([*toxic_rows.values(), *clean_rows.values()])
         weight /= np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
         w, b = machine(x, y, weight * len(y))
         model = Model(kernel.landmarks, (root @ w).astype(np.float32), b, 1.0, 0.0)
-        margin = dict(zip(every, model.margins(every, kernel)))
+        margin = np.concatenate([model.margins(vocabulary[k : k + 20_000], kernel) for k in range(0, len(vocabulary), 20_000)])
         if not turn:  # words of clean texts that look toxic
-            alarms = sorted((w for w in clean if margin[w] > -0.8 and w not in bad_rows), key=lambda w: (-margin[w], w))[:4000]
-            bad_rows |= {w: 1 + np.log(clean[w]) for w in alarms}
-    top = np.array([max((margin[w] for w in bag), default=NOTHING) for bag in bags])
-    model.slope, model.shift = _logistic(top, np.array(labels, float))
+            alarms = sorted((k for k in np.flatnonzero((clean > 0) & (margin > -0.8)).tolist() if vocabulary[k] not in clean_rows), key=lambda k: (-margin[k], vocabulary[k]))[:4000]
+            clean_rows |= {vocabulary[k]: 1 + np.log(clean[k]) for k in alarms}
+    top = np.array([margin[bag].max() if len(bag) else NOTHING for bag in bags])
+    model.slope, model.shift = _logistic(top, y_doc.astype(float))
     return model
 
 
@@ -310,7 +319,7 @@ class Scorer(dict):
         self.model, self.kernel, self.old = model, Kernel(model.landmarks), {}
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self) > CACHE_WORDS:
+        if len(self) > KNOWN_TOKENS:
             self.old = dict(self)
             self.clear()
         new = [t for t in tokens if t not in self]
@@ -323,9 +332,6 @@ class Scorer(dict):
         self.update((t, margin.get(w, NOTHING)) for t, w in zip(new, bare))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(doc_id, score) of every row; with keep, all columns of docs and the column `score`."""
     spark = docs.sparkSession
@@ -342,11 +348,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         model = shared.value
         scorer = None
         if model is not None:
-            key = hash(tuple(model.landmarks) + (model.bias,))
-            if key not in _scorers:
-                _scorers.clear()  # one model at a time
-                _scorers[key] = Scorer(model)
-            scorer = _scorers[key]
+            scorer = Held.get(("toxicity", tuple(model.landmarks), model.bias), lambda: Scorer(model))
         for b in batches:
             bags = [set((t or "").lower().split()) for t in b.column(at).to_pylist()]
             if scorer is None:
