@@ -14,6 +14,8 @@ from operator import or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from icspark.sources.staging import staged
+
 #: Rows from which sampled data are cut down, and the most orientations that are listed.
 MOST_ROWS, MOST_DAGS = 200_000_000, 10_000
 
@@ -44,9 +46,12 @@ def shifted_pairs(df: DataFrame, key: list[str], columns: list[str] | None = Non
     positions come from per-partition counts, so no task holds the table.
     """
     columns = columns or [c for c in df.columns if c not in key]
-    spark, out = df.sparkSession, None
+    out = None
     for c in columns:
-        ordered = df.select(*[F.col(f"`{x}`") for x in dict.fromkeys([*key, *columns])]).repartitionByRange(*[F.col(f"`{x}`") for x in dict.fromkeys([c, *key])]).sortWithinPartitions(*dict.fromkeys([c, *key])).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+        by = list(dict.fromkeys([c, *key]))
+        ordered = df.select(*[F.col(f"`{x}`") for x in dict.fromkeys([*key, *columns])]).repartitionByRange(*[F.col(f"`{x}`") for x in by]).sortWithinPartitions(*[F.col(f"`{x}`") for x in by])
+        # range bounds are sampled anew by each run: the positions need one written order
+        ordered = staged(ordered).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
         ordered = ordered.withColumn("_at", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
         sizes = [(r[0], r[1]) for r in ordered.groupBy("_p").count().orderBy("_p").collect()]  # one row a partition
         total, offsets = 0, {}
@@ -61,7 +66,6 @@ def shifted_pairs(df: DataFrame, key: list[str], columns: list[str] | None = Non
             nxt = ranked.select(F.pmod(F.col("_i") - 1, F.lit(total)).alias("_i"), *[F.col(f"`{x}`").alias(f"_n_{x}") for x in columns])
             block = ranked.join(nxt, "_i").select(*[F.col(f"`{x}`").eqNullSafe(F.col(f"`_n_{x}`")).alias(x) for x in columns], F.lit(c).alias("block"))
         out = block if out is None else out.unionByName(block)
-    del spark
     return out
 
 
