@@ -13,6 +13,7 @@ by `remove` only.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,18 +92,19 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> list[DataFram
 def _set_of(block: DataFrame, item_id: str, item_text: str, window: int):
     # bounded: a block holds about BLOCK_BYTES of text
     rows = block.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long"), F.col(item_text)).collect()
-    return block.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in rows])
+    return block.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r[0], r[1].encode()) for r in rows]))
 
 
 _built: dict[tuple, NgramSet] = {}
 
 
 def _ngrams(shared, window: int) -> NgramSet:
-    key = (shared.id if hasattr(shared, "id") else id(shared), window)
-    if key not in _built:
+    """The broadcast's set, built once a worker."""
+    name, items = shared.value
+    if (name, window) not in _built:
         _built.clear()
-        _built[key] = NgramSet(shared.value, window)
-    return _built[key]
+        _built[name, window] = NgramSet(items, window)
+    return _built[name, window]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -134,7 +134,7 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     said = {r["declared"]: np.array(r["s"]) for r in seen.groupBy("declared").agg(*sums).select("declared", packed.alias("s")).collect()}
     whole = sum(said.values(), np.zeros(n)) + 1
     world = whole / whole.sum()
-    says = F.create_map(*[x for tag, s in sorted(said.items()) for x in (F.lit(tag), F.array(*[F.lit(float(v)) for v in np.log((s + 1 / len(said)) / (whole))]))]) if said else F.create_map()
+    says = F.create_map(*[x for tag, s in sorted(said.items()) for x in (F.lit(tag), F.array(*[F.lit(float(v)) for v in np.log((s + 1 / len(said)) / (whole))]))]) if said else None
     base = F.array(*[F.lit(float(v)) for v in world])
 
     def smoothed(sums_, prior):
@@ -145,7 +145,8 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     suffixes = hosts.groupBy("suffix").agg(*[F.sum(F.col("host_sum")[k]).alias(f"s{k}") for k in range(n)]).select("suffix", smoothed(packed, base).alias("suffix_p"))
     priors = Scratch(spark).cut(hosts.join(suffixes, "suffix").select("host", "host_sum", "suffix_p"))
     fused = seen.join(priors, "host", "left").withColumn("rest", F.zip_with("host_sum", "own", lambda s, o: F.greatest(s - o, F.lit(0.0))))
-    log_post = _added(F.transform("loglik", lambda v: v * TEXT_WEIGHT), _logged(smoothed(F.col("rest"), F.col("suffix_p"))), F.coalesce(says[F.col("declared")], F.array_repeat(F.lit(0.0), n)))
+    even = F.array_repeat(F.lit(0.0), n)
+    log_post = _added(F.transform("loglik", lambda v: v * TEXT_WEIGHT), _logged(smoothed(F.col("rest"), F.col("suffix_p"))), F.coalesce(says[F.col("declared")], even) if says is not None else even)
     names = F.array(*[F.lit(x) for x in model.languages])
     best = lambda x: names[(F.array_position(x, F.array_max(x)) - 1).cast("int")]
     out = fused.withColumn("post", _softmax(log_post))

@@ -224,4 +224,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
     copy = F.col("doc_id") > F.col("first")  # null for short texts
     nothing = F.sha2(F.lit(""), 256)
     columns = ["doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(copy, nothing).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256")]
-    return out.select(*columns, *([F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept")] if with_text else []))
+    if not with_text:
+        return out.select(*columns)
+    plain = F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
+    whole = thin.select(F.col("doc_id").alias("own_id"), F.coalesce(plain, F.lit("")).alias("own")).dropDuplicates(["own_id"])
+    return out.join(whole, F.col("doc_id") == F.col("own_id")).select(*columns, F.when(copy, F.lit("")).otherwise(F.coalesce("kept", "own")).alias("kept"))
