@@ -174,11 +174,28 @@ class Held:
     @classmethod
     def get(cls, key, make):
         if cls.key != key:
-            cls.key, cls.value = None, None
+            if cls.key is not None:
+                cls.key, cls.value = None, None
+                give_back()
             cls.key, cls.value = key, make()
         return cls.value
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the allocators can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it while df has such a column."""
     taken = {c.lower() for c in df.columns}

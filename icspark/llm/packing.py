@@ -87,7 +87,7 @@ class WordTokens:
         for c in map(chr, [*range(33, 127), *range(0xA1, 0x250)]):
             for raw, shown in zip(c.encode(), level.pre_tokenize_str(c)[0][0]):
                 self.letters[raw] = shown
-        self.words, self.parts = Recent(self.word), Recent(self.part)
+        self.words, self.parts = Recent(self.word), Recent(self.part, KNOWN_WORDS // 2)
 
     def whole(self, text: str) -> list[int]:
         return self.coder.encode(text, add_special_tokens=False).ids

@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icspark.llm.common import Held, small_batches
+from icspark.llm.common import Held, free_name, give_back, small_batches
 
 ORDER, DECAY, PIECE = 3, 0.6, 24
 #: Bound of the labelled sample, by class.
-TRAIN_TOXIC, TRAIN_CLEAN = 1200, 5000
+TRAIN_TOXIC, TRAIN_CLEAN = 1200, 4000
 LANDMARKS = 28
 #: Tokens that a worker knows the margins of, in each of two generations.
 KNOWN_TOKENS = 150_000
@@ -184,7 +184,7 @@ def cover(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, mos
     """Fragments that mark toxic texts and hardly any clean one; each next one covers most texts not yet covered.
 
     bags: ids of the distinct words of each text. Fragments are counted by hash, so only those of
-    three texts or more are ever held as strings. A second pass adds other fragments, unlike those
+    three texts or more (of n1 / 150 in large samples) are ever held as strings. A second pass adds other fragments, unlike those
     found, that mark many texts already covered.
     """
     n1 = max(int(labels.sum()), 1)
@@ -194,12 +194,12 @@ def cover(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, mos
         if not y:
             seen[bag] += 1
     rare = seen < 0.005 * n0
-    mine = [(k, bag[rare[bag]]) for k, (bag, y) in enumerate(zip(bags, labels)) if y]
+    mine = [(k, bag[rare[bag]]) for k, bag in unlike([(k, bag) for k, (bag, y) in enumerate(zip(bags, labels)) if y])]
     of = lambda bag: set().union(*(fragments(vocabulary[w]) for w in bag.tolist()))
     digest = xxhash.xxh3_64_intdigest
     every = np.concatenate([np.empty(0, np.uint64), *(np.fromiter(map(digest, of(bag)), np.uint64) for _, bag in mine)])
     values, counts = np.unique(every, return_counts=True)
-    often = set(values[counts >= 3].tolist())
+    often = set(values[counts >= max(3, n1 // 150)].tolist())
     del every, values, counts
     toxic: dict[str, set[int]] = {}
     for k, bag in mine:
@@ -228,6 +228,24 @@ def cover(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, mos
     return out
 
 
+def unlike(bags: list[tuple[int, np.ndarray]], words: int = 8, least: int = 6) -> list[tuple[int, np.ndarray]]:
+    """Bags without near copies of earlier ones, so that one copied text counts once: they share `least` of their `words` smallest-hash words."""
+    seen: dict[int, set[int]] = {}
+    out = []
+    for k, bag in bags:
+        first = sorted(bag.tolist(), key=lambda w: (w * 2654435761) % (1 << 32))[:words]
+        shared: dict[int, int] = {}
+        for w in first:
+            for other in seen.get(w, ()):
+                shared[other] = shared.get(other, 0) + 1
+        if max(shared.values(), default=0) >= min(least, len(first)):
+            continue
+        out.append((k, bag))
+        for w in first:
+            seen.setdefault(w, set()).add(k)
+    return out
+
+
 def _alike(a: str, b: str) -> bool:
     """Whether two fragments share four characters in a row."""
     return a in b or b in a or any(a[k : k + 4] in b for k in range(len(a) - 3))
@@ -248,6 +266,12 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     ids: dict[str, int] = {}
     bags = [np.array(sorted({ids.setdefault(w, len(ids)) for w in words_of(t)}), np.int32) for t in texts]
     vocabulary = list(ids)
+    # every fourth text is left for the logistic curve: its words are as new to the machine as those of other texts
+    aside = np.arange(len(bags)) % 4 == 3
+    if not (y_doc[aside].any() and y_doc[~aside].any() and not y_doc[~aside].all()):
+        aside[:] = False
+    every, y_every = bags, y_doc
+    bags, y_doc = [b for b, out in zip(bags, aside) if not out], y_doc[~aside]
     found = cover(vocabulary, bags, y_doc, LANDMARKS - 6)
     if not found:
         return None
@@ -278,8 +302,9 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
         if not turn:  # words of clean texts that look toxic
             alarms = sorted((k for k in np.flatnonzero((clean > 0) & (margin > -0.8)).tolist() if vocabulary[k] not in clean_rows), key=lambda k: (-margin[k], vocabulary[k]))[:4000]
             clean_rows |= {vocabulary[k]: 1 + np.log(clean[k]) for k in alarms}
-    top = np.array([margin[bag].max() if len(bag) else NOTHING for bag in bags])
-    model.slope, model.shift = _logistic(top, y_doc.astype(float))
+    held = aside if aside.any() else np.ones(len(every), bool)
+    top = np.array([margin[bag].max() if len(bag) else NOTHING for bag, use in zip(every, held) if use])
+    model.slope, model.shift = _logistic(top, y_every[held].astype(float))
     return model
 
 
@@ -308,7 +333,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, cle
     chosen = F.broadcast(sample[0].unionByName(sample[1]))  # at most toxic_rows + clean_rows rows
     rows = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("doc_id", "y", "text").distinct().collect()
     rows.sort(key=lambda r: (r["doc_id"], r["y"], r["text"]))
-    return fit([r["text"] for r in rows], [int(r["y"]) for r in rows])
+    texts, marks = [r["text"] for r in rows], [int(r["y"]) for r in rows]
+    del rows
+    model = fit(texts, marks)
+    give_back()
+    return model
 
 
 class Scorer(dict):
@@ -333,7 +362,7 @@ class Scorer(dict):
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(doc_id, score) of every row; with keep, all columns of docs and the column `score`."""
+    """(doc_id, score) of every row; with keep, all columns of docs and at the end `score`, or a free name like it."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -342,7 +371,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     at = names.index(text_col if keep else "text")
     from pyspark.sql import types as T
 
-    schema = T.StructType([f for f, n in zip(rows.schema.fields, names) if keep or n != "text"] + [T.StructField("score", T.DoubleType())])
+    last = free_name(docs, "score") if keep else "score"
+    schema = T.StructType([f for f, n in zip(rows.schema.fields, names) if keep or n != "text"] + [T.StructField(last, T.DoubleType())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -364,8 +394,5 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those that score `threshold` or more; null texts stay."""
-    from icspark.llm.common import free_name
-
     scored = score(docs, train(docs, labels), keep=True)
-    last = scored.columns[-1]
-    return scored.toDF(*scored.columns[:-1], free_name(docs, last)).where(f"`{free_name(docs, last)}` < {threshold}").select(*[f"`{c}`" for c in docs.columns])
+    return scored.where(f"`{scored.columns[-1]}` < {threshold}").select(*[f"`{c}`" for c in docs.columns])
