@@ -36,7 +36,7 @@ MAX_TOKENS, MAX_SEGMENTS, END_ID = 2048, 256, 1
 #: Pieces that a task keeps open for the heuristic.
 POOL = 256
 #: Words that a worker knows the ids of, in each of two generations.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 400_000
 _CONTROLS = "\x1c\x1d\x1e\x1f"
 _PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -87,7 +87,7 @@ class WordTokens:
         for c in map(chr, [*range(33, 127), *range(0xA1, 0x250)]):
             for raw, shown in zip(c.encode(), level.pre_tokenize_str(c)[0][0]):
                 self.letters[raw] = shown
-        self.words, self.parts = Recent(self.word), Recent(self.part, KNOWN_WORDS // 2)
+        self.words, self.parts = Recent(self.word), Recent(self.part)
 
     def whole(self, text: str) -> list[int]:
         return self.coder.encode(text, add_special_tokens=False).ids
