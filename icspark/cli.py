@@ -1,15 +1,43 @@
-"""Command line: run a query file, synthesise a program, detect errors."""
+"""Command line: run query files, train a model with its program, synthesise, show and apply programs, split, inject noise."""
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 
+from icspark.operators.guard import MODES, Guard
+from icspark.operators.models import Registry, save, train
+from icspark.operators.noise import inject, split
 from icspark.operators.program import Program, row_errors
-from icspark.operators.search import Search
+from icspark.operators.search import LEARNERS, SAMPLERS, Search
+from icspark.plans.grammar import parse
 from icspark.plans.planner import run_query
-from icspark.sources.catalog import Catalog, query_texts, read_table
+from icspark.sources.catalog import Catalog, markdown, query_texts, read_table, write_table
+
+
+def run_queries(spark: SparkSession, path: str, catalog: Catalog, modes: list[str], noise: str | None = None, compat: bool = False, registry: Registry | None = None, out: str | None = None) -> dict[str, list[dict]]:
+    """Rows by "file,mode" of every query file under every mode; also printed as Markdown, and written as JSON to `out`.
+
+    Mode gt reads the clean version of the data, unguarded. Results are meant to be aggregates: the first 100 rows are kept.
+    """
+    registry, found = registry or Registry(spark=spark), {}
+    for mode in modes:
+        for name, text in query_texts(path, "gt" if mode == "gt" else noise).items():
+            guards = {}
+            for ref in parse(text, compat).models.values():
+                registry.get(ref.path, ref.kind)
+                if mode not in ("gt", "ignore"):
+                    guards[ref.path] = Guard(mode, registry.programs.get(ref.path))
+            result = run_query(text, catalog, registry, guards, compat).limit(100).persist()
+            found[f"{name},{mode}"] = [r.asDict() for r in result.collect()]
+            print(f"{name}, {mode}\n{markdown(result)}\n")
+            result.unpersist()
+    if out:
+        with open(out, "w") as f:
+            json.dump(found, f, default=str, indent=1)
+    return found
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -17,25 +45,48 @@ def main(argv: list[str] | None = None) -> None:
     sub = p.add_subparsers(dest="what", required=True)
     q = sub.add_parser("query", help="run .sql files over named tables")
     q.add_argument("path"), q.add_argument("--table", action="append", default=[], help="name=path"), q.add_argument("--noise"), q.add_argument("--compat", action="store_true")
+    q.add_argument("--mode", action="append", choices=[*MODES, "gt"], help="ignore by default; may be repeated"), q.add_argument("--out", help="JSON file for the results")
+    t = sub.add_parser("train", help="train a model and learn the program that guards it")
+    t.add_argument("table"), t.add_argument("label"), t.add_argument("out"), t.add_argument("--balanced", action="store_true")
     s = sub.add_parser("synthesize", help="learn a program from a table")
-    s.add_argument("table"), s.add_argument("out"), s.add_argument("--key", required=True), s.add_argument("--epsilon", type=float, default=0.01), s.add_argument("--min-support", type=int, default=10), s.add_argument("--learner", default="score")
+    s.add_argument("table"), s.add_argument("out")
+    for x in (t, s):
+        x.add_argument("--key", required=True), x.add_argument("--epsilon", type=float, default=0.01), x.add_argument("--min-support", type=int, default=10)
+        x.add_argument("--learner", default="score", choices=list(LEARNERS)), x.add_argument("--sampler", default="shift", choices=SAMPLERS)
     d = sub.add_parser("detect", help="show rows that violate a program")
     d.add_argument("table"), d.add_argument("program"), d.add_argument("--rows", type=int, default=20)
+    w = sub.add_parser("show", help="print a program")
+    w.add_argument("program")
+    c = sub.add_parser("split", help="write train and test versions of a table")
+    c.add_argument("table"), c.add_argument("--key", required=True), c.add_argument("--test", type=float, default=0.15), c.add_argument("--seed", type=int, default=42)
+    n = sub.add_parser("noise", help="write a version of a table with injected errors")
+    n.add_argument("table"), n.add_argument("program"), n.add_argument("out"), n.add_argument("--key", required=True), n.add_argument("--level", type=float, default=0.05), n.add_argument("--label"), n.add_argument("--seed", type=int, default=42)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("icspark").getOrCreate()
     if a.what == "query":
-        catalog = Catalog(spark, dict(x.split("=", 1) for x in a.table))
-        for name, text in query_texts(a.path, a.noise).items():
-            print(name)
-            run_query(text, catalog, compat=a.compat).show(truncate=False)
-    elif a.what == "synthesize":
-        program = Search(a.epsilon, a.min_support, a.learner).run(read_table(spark, a.table), a.key.split(","))
-        with open(a.out, "w") as f:
-            f.write(program.to_json())
+        run_queries(spark, a.path, Catalog(spark, dict(x.split("=", 1) for x in a.table)), a.mode or ["ignore"], a.noise, a.compat, out=a.out)
+    elif a.what in ("train", "synthesize"):
+        df, key = read_table(spark, a.table), a.key.split(",")
+        program = Search(a.epsilon, a.min_support, a.learner, sampler=a.sampler).run(df, key)
+        if a.what == "train":
+            save(spark, train(df.drop(*key), a.label, balanced=a.balanced), a.out, program)
+        else:
+            with open(a.out, "w") as f:
+                f.write(program.to_json())
         print(program.statistics)
+    elif a.what == "split":
+        stem, dot, suffix = a.table.rpartition(".")
+        for version, part in zip(("train", "test"), split(read_table(spark, a.table), a.key.split(","), a.test, a.seed)):
+            write_table(part, f"{stem}.{version}{dot}{suffix}")
     else:
         with open(a.program) as f:
-            row_errors(read_table(spark, a.table), Program.from_json(f.read())).show(a.rows, truncate=False)
+            program = Program.from_json(f.read())
+        if a.what == "show":
+            print(program, program.statistics, sep="\n")
+        elif a.what == "detect":
+            row_errors(read_table(spark, a.table), program).show(a.rows, truncate=False)
+        else:
+            write_table(inject(read_table(spark, a.table), program, a.key.split(","), a.level, a.label, a.seed), a.out)
 
 
 if __name__ == "__main__":

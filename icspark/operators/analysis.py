@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def relevance(df: DataFrame, prediction: str, label: str, alert: str = "alert") -> DataFrame:
-    """Counts of alerts and errors, precision, recall and their correlation, in one row."""
-    wrong, bad = ~F.col(f"`{prediction}`").eqNullSafe(F.col(f"`{label}`")), F.col(alert)
+def relevance(df: DataFrame, prediction: str, label: str, alert: str = "alert", noise: str | None = None) -> DataFrame:
+    """Counts of alerts and errors, precision, recall and their correlation, in one row.
+
+    With the flag column of injected noise also: noisy rows, those alerted, falsely alerted and mispredicted, and both correlations with it.
+    """
+    wrong, bad = ~F.col(f"`{prediction}`").eqNullSafe(F.col(f"`{label}`")), F.col(f"`{alert}`")
     n = lambda c: F.count(F.when(c, 1))
-    t = df.agg(F.count(F.lit(1)).alias("rows"), n(bad).alias("alerts"), n(wrong).alias("errors"), n(bad & wrong).alias("both"), F.corr(bad.cast("double"), wrong.cast("double")).alias("correlation"))
-    return t.select("*", F.try_divide("both", "alerts").alias("precision"), F.try_divide("both", "errors").alias("recall"))
+    corr = lambda a, b: F.corr(a.cast("double"), b.cast("double"))
+    made = [F.count(F.lit(1)).alias("rows"), n(bad).alias("alerts"), n(wrong).alias("errors"), n(bad & wrong).alias("both"), corr(bad, wrong).alias("correlation")]
+    if noise:
+        hit = F.coalesce(F.col(f"`{noise}`"), F.lit(False))
+        made += [n(hit).alias("noisy"), n(hit & bad).alias("noisy_alerts"), n(~hit & bad).alias("false_alerts"), n(hit & wrong).alias("noisy_errors"), corr(wrong, hit).alias("correlation_error_noise"), corr(bad, hit).alias("correlation_alert_noise")]
+    return df.agg(*made).select("*", F.try_divide("both", "alerts").alias("precision"), F.try_divide("both", "errors").alias("recall"))
 
 
 def comparison(df: DataFrame, before: str, after: str, label: str) -> DataFrame:
@@ -36,3 +43,15 @@ def relative_error(result: DataFrame, truth: DataFrame, key: str, value: str) ->
     both = truth.select(key, F.col(value).alias("_gt")).join(result.select(key, F.col(value).alias("_x")), key, "left")
     gt, x = F.coalesce("_gt", F.lit(0.0)), F.coalesce("_x", F.lit(0.0))
     return both.agg(F.try_divide(F.sum(F.abs(gt - x)), F.sum(F.abs(gt))).alias("relative_l1"))
+
+
+def error_reduction(errors: DataFrame, before: str, after: str) -> DataFrame:
+    """Mean and population deviation of before - after over all queries; a missing error is 0."""
+    d = F.coalesce(F.col(f"`{before}`"), F.lit(0.0)) - F.coalesce(F.col(f"`{after}`"), F.lit(0.0))
+    return errors.agg(F.avg(d).alias("mean_reduction"), F.stddev_pop(d).alias("std_reduction"))
+
+
+def min_max(values: list[float]) -> list[float]:
+    """Values moved to 0..1; all 0 if they are alike."""
+    low, high = min(values, default=0), max(values, default=0)
+    return [(v - low) / (high - low) if high > low else 0.0 for v in values]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from icspark.functions.predicates import in_cell
 from icspark.operators.program import Branch, Program, Statement, force_fit, kept_branches, branch_counts
+from icspark.operators.structure import shifted_pairs
 
 
 def _c(name: str):
@@ -165,6 +166,13 @@ def lasso_dependencies(pairs: DataFrame, columns: list[str], penalty: float = 0.
     return out
 
 
+def lasso_program(df: DataFrame, key: list[str], columns: list[str] | None = None, penalty: float = 0.01, least: float = 0.1) -> Program:
+    """Dependencies of the shifted pairs by graphical lasso, force-fitted on the rows."""
+    columns = columns or [c for c in df.columns if c not in key]
+    pairs = shifted_pairs(df, key, columns)
+    return Program([s for left, right in lasso_dependencies(pairs, columns, penalty, least) if (s := force_fit(df, left, right))])
+
+
 def violation_ratio(pairs: DataFrame, left: list[str], right: str) -> DataFrame:
     """On pairwise-equality data: among rows equal on the left, the share that differ on the right."""
     equal = reduce(and_, [_c(c) for c in left])

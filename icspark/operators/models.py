@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from icspark.operators.program import Program
+
 #: Rows of a lookup model that may be broadcast.
 MOST_BROADCAST = 100_000
 
@@ -131,13 +135,43 @@ def train(df: DataFrame, label: str, features: list[str] | None = None, balanced
     return PipelineModelAdapter(label, tuple(features), fitted, tuple(index.labels))
 
 
+def save(spark: SparkSession, model: PipelineModelAdapter, path: str, program: Program | None = None) -> None:
+    """The pipeline, and what is known about it with the program that guards it, under one folder of any file system."""
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    about = json.dumps({"label": model.label, "features": model.features, "labels": model.labels, "program": program.to_json() if program else None})
+    spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> tuple[PipelineModelAdapter, Program | None]:
+    """A saved model and its program."""
+    from pyspark.ml import PipelineModel
+
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    model = PipelineModelAdapter(about["label"], tuple(about["features"]), PipelineModel.load(f"{path}/pipeline"), tuple(about["labels"]))
+    return model, Program.from_json(about["program"]) if about["program"] else None
+
+
 @dataclass
 class Registry:
-    """Models by path. Only registered kinds exist; an unknown path is an error."""
+    """Models and their programs by path. With a session, an unknown path is looked for under `models/`, then as it is."""
 
     models: dict[str, Model] = field(default_factory=dict)
+    programs: dict[str, Program] = field(default_factory=dict)
+    spark: SparkSession | None = None
+    roots: tuple[str, ...] = ("models/", "")
 
     def get(self, path: str, kind: str = "") -> Model:
+        if path not in self.models and self.spark is not None:
+            for root in self.roots:
+                try:
+                    self.models[path], program = load(self.spark, root + path)
+                except AnalysisException as e:
+                    if e.getCondition() != "PATH_NOT_FOUND":
+                        raise
+                    continue
+                if program:
+                    self.programs[path] = program
+                break
         if path not in self.models:
             raise KeyError(f"no model {path!r} of kind {kind!r} is registered")
         return self.models[path]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from icspark.operators.models import MOST_BROADCAST, Model
 from icspark.operators.program import Program, with_expected
+from icspark.sources.staging import ranked
 
 
 def _uniform(key: list[str], seed: int):
@@ -25,7 +27,7 @@ def controllable(df: DataFrame, program: Program, name: str = "controllable") ->
     return wide.withColumn(name, F.array_distinct(F.array_compact(F.array(*cells)))).drop(*names)
 
 
-def inject(df: DataFrame, program: Program, key: list[str], level: float, label: str | None = None, seed: int = 42, most_values: int = 10_000) -> DataFrame:
+def inject(df: DataFrame, program: Program, key: list[str], level: float, label: str | None = None, seed: int = 42) -> DataFrame:
     """One controllable cell of about `level` of the rows is replaced by another value of its column, or by null or 0.
 
     Adds `controllable` and `injected`. The label is never injected. Rows drawn without a controllable cell stay as
@@ -37,12 +39,29 @@ def inject(df: DataFrame, program: Program, key: list[str], level: float, label:
     marked = marked.withColumn("_cell", pick)
     targets = sorted({s.dependent for s in program.statements} - {label})
     for c in targets:
-        domain = [r[0] for r in df.select(c).where(F.col(f"`{c}`").isNotNull()).distinct().orderBy(c).limit(most_values).collect()]
-        col = F.col(f"`{c}`")
-        if len(domain) > 1:
-            others = F.filter(F.array(*[F.lit(v) for v in domain]), lambda v: ~v.eqNullSafe(col))  # noqa: B023
-            other = F.element_at(others, (1 + F.pmod(F.xxhash64(*key, F.lit(seed + 2)), F.size(others))).cast("int"))
+        kind, col = df.schema[c].dataType, F.col(f"`{c}`")
+        values, count = ranked(df.where(col.isNotNull()).select(c).distinct(), [c])
+        due = F.col("_cell") == c
+        if count > 1:
+            # slot k holds value k and the next one, which is taken where value k is the cell's own
+            side = values.select("_i", F.col(f"`{c}`").alias("_one"))
+            after = values.select(F.pmod(F.col("_i") - 1, F.lit(count)).alias("_i"), F.col(f"`{c}`").alias("_two"))
+            side = side.join(after, "_i")
+            side = F.broadcast(side) if count <= MOST_BROADCAST else side
+            slot = F.when(due, F.pmod(F.xxhash64(*key, F.lit(seed + 2)), F.lit(count)))
+            marked = marked.withColumn("_i", slot).join(side, "_i", "left")
+            other = F.when(F.col("_one").eqNullSafe(col), F.col("_two")).otherwise(F.col("_one"))
         else:
-            other = F.lit(None) if df.schema[c].dataType.simpleString() == "string" else F.lit(0)
-        marked = marked.withColumn(c, F.when(F.col("_cell") == c, other.cast(df.schema[c].dataType)).otherwise(col))
+            other = (F.lit(None) if kind.simpleString() == "string" else F.lit(0)).cast(kind)
+        marked = marked.withColumn(c, F.when(due, other).otherwise(col)).drop("_i", "_one", "_two")
     return marked.withColumn("injected", F.coalesce(F.col("_cell").isin(*targets), F.lit(False))).drop("_cell")
+
+
+def correct_rows(df: DataFrame, model: Model, label: str) -> DataFrame:
+    """Rows whose prediction equals the label; null equals nothing."""
+    return model.apply(df, "_predicted").where(F.col("_predicted") == F.col(f"`{label}`")).drop("_predicted")
+
+
+def ground_truth(df: DataFrame, program: Program, model: Model, label: str) -> DataFrame:
+    """Correctly predicted rows with their controllable columns, unharmed: the clean side of an injected table."""
+    return controllable(correct_rows(df, model, label), program)

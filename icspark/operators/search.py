@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icspark.operators.program import Program, Statement, fit
-from icspark.operators.structure import Graph, member_dags, pc, score_search, shifted_pairs, some_true
+from icspark.operators.structure import Graph, encode, member_dags, order_search, pc, score_search, shifted_pairs, some_true
 
-LEARNERS: dict[str, Callable[[DataFrame, list[str]], Graph]] = {"pc": pc, "score": score_search}
+LEARNERS: dict[str, Callable[[DataFrame, list[str]], Graph]] = {"pc": pc, "score": score_search, "order": order_search}
+SAMPLERS = ("shift", "identity")
 
 
 @dataclass
@@ -20,15 +21,27 @@ class Search:
     """epsilon and min_support are strict bounds of a branch.
 
     keep_false learns on all sampled pairs; by default pairs that differ in every column are dropped first,
-    which hides dependencies of columns that hardly ever differ.
+    which hides dependencies of columns that hardly ever differ. sampler "identity" learns on the encoded rows instead
+    of pairs; columns that encoding drops as too wide take no part.
     """
 
     epsilon: float = 0.01
     min_support: int = 10
     learner: str = "score"
     keep_false: bool = False
+    sampler: str = "shift"
+
+    def __post_init__(self):
+        if self.sampler not in SAMPLERS:
+            raise ValueError(f"unknown sampler {self.sampler!r}")
 
     def graph(self, df: DataFrame, key: list[str], columns: list[str]) -> Graph:
+        if self.sampler == "identity":
+            codes = encode(df.select(*columns)).persist()
+            try:
+                return LEARNERS[self.learner](codes, codes.columns)
+            finally:
+                codes.unpersist()
         shuffled = df.withColumn("_order", F.xxhash64(*key))  # equal values stand in an order that says nothing about the rest
         every = shifted_pairs(shuffled, ["_order", *key], columns)
         pairs = (every if self.keep_false else some_true(every, columns)).select(*columns).persist()

@@ -11,13 +11,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icspark.sources.staging import staged
+from icspark.sources.staging import ranked
 
-#: Rows from which sampled data are cut down, and the most orientations that are listed.
-MOST_ROWS, MOST_DAGS = 200_000_000, 10_000
+#: Rows from which sampled data are cut down, the most orientations that are listed, and the most joint cells that the driver holds.
+MOST_ROWS, MOST_DAGS, MOST_CELLS = 200_000_000, 10_000, 100_000
 
 
 def wide_columns(df: DataFrame) -> list[str]:
@@ -34,7 +34,7 @@ def encode(df: DataFrame) -> DataFrame:
     out = kept
     for c in kept.columns:
         values = kept.select(c).distinct()
-        codes = values.select(F.col(f"`{c}`").alias("_v"), (F.row_number().over(Window.orderBy(F.col(f"`{c}`"))) - 1).alias("_k"))
+        codes = ranked(values, [c], "_k")[0].select(F.col(f"`{c}`").alias("_v"), F.col("_k").cast("int").alias("_k"))
         out = out.join(codes, F.col(f"`{c}`") == F.col("_v")).drop("_v", c).withColumnRenamed("_k", c)
     return out.select(*kept.columns)
 
@@ -49,22 +49,12 @@ def shifted_pairs(df: DataFrame, key: list[str], columns: list[str] | None = Non
     out = None
     for c in columns:
         by = list(dict.fromkeys([c, *key]))
-        ordered = df.select(*[F.col(f"`{x}`") for x in dict.fromkeys([*key, *columns])]).repartitionByRange(*[F.col(f"`{x}`") for x in by]).sortWithinPartitions(*[F.col(f"`{x}`") for x in by])
-        # range bounds are sampled anew by each run: the positions need one written order
-        ordered = staged(ordered).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-        ordered = ordered.withColumn("_at", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
-        sizes = [(r[0], r[1]) for r in ordered.groupBy("_p").count().orderBy("_p").collect()]  # one row a partition
-        total, offsets = 0, {}
-        for p, n in sizes:
-            offsets[p] = total
-            total += n
+        placed, total = ranked(df.select(*[F.col(f"`{x}`") for x in dict.fromkeys([*key, *columns])]), by)
         if not total:
             block = df.select(*[F.lit(None).cast("boolean").alias(x) for x in columns], F.lit(c).alias("block")).limit(0)
         else:
-            at = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))])
-            ranked = ordered.withColumn("_i", at[F.col("_p")] + F.col("_at")).drop("_p", "_m", "_at")
-            nxt = ranked.select(F.pmod(F.col("_i") - 1, F.lit(total)).alias("_i"), *[F.col(f"`{x}`").alias(f"_n_{x}") for x in columns])
-            block = ranked.join(nxt, "_i").select(*[F.col(f"`{x}`").eqNullSafe(F.col(f"`_n_{x}`")).alias(x) for x in columns], F.lit(c).alias("block"))
+            nxt = placed.select(F.pmod(F.col("_i") - 1, F.lit(total)).alias("_i"), *[F.col(f"`{x}`").alias(f"_n_{x}") for x in columns])
+            block = placed.join(nxt, "_i").select(*[F.col(f"`{x}`").eqNullSafe(F.col(f"`_n_{x}`")).alias(x) for x in columns], F.lit(c).alias("block"))
         out = block if out is None else out.unionByName(block)
     return out
 
@@ -163,14 +153,27 @@ def chi2_sf(x: float, df: int) -> float:
 
 
 class Counts:
-    """Cell counts of the sampled table, fetched once per set of columns; each set has at most 2^|set| cells for booleans."""
+    """Cell counts by set of columns.
 
-    def __init__(self, df: DataFrame):
-        self.df, self.held = df, {}
+    While the table has at most MOST_CELLS distinct rows, they are fetched once and every set is summed from them;
+    beyond that each set is counted by itself.
+    """
+
+    def __init__(self, df: DataFrame, columns: list[str]):
+        self.df, self.columns, self.held = df, list(columns), {}
+        joint = df.groupBy(*[F.col(f"`{c}`") for c in columns]).count().limit(MOST_CELLS + 1).collect()
+        self.joint = [(tuple(r[:-1]), r[-1]) for r in joint] if len(joint) <= MOST_CELLS else None
 
     def of(self, columns: tuple[str, ...]) -> dict[tuple, int]:
         if columns not in self.held:
-            self.held[columns] = {tuple(r[:-1]): r[-1] for r in self.df.groupBy(*[F.col(f"`{c}`") for c in columns]).count().collect()}
+            if self.joint is None:
+                cells = {tuple(r[:-1]): r[-1] for r in self.df.groupBy(*[F.col(f"`{c}`") for c in columns]).count().collect()}
+            else:
+                at, cells = [self.columns.index(c) for c in columns], {}
+                for row, n in self.joint:
+                    cell = tuple(row[k] for k in at)
+                    cells[cell] = cells.get(cell, 0) + n
+            self.held[columns] = cells
         return self.held[columns]
 
 
@@ -192,7 +195,8 @@ def independent(counts: Counts, a: str, b: str, given: tuple[str, ...], alpha: f
 
 def pc(df: DataFrame, columns: list[str], alpha: float = 0.05, deepest: int = 3) -> Graph:
     """Skeleton by conditional independence, colliders from separating sets, then the orientation rules."""
-    counts, nodes = Counts(df), sorted(columns)
+    nodes = sorted(columns)
+    counts = Counts(df, nodes)
     g = Graph(nodes, {frozenset(p) for p in itertools.combinations(nodes, 2)})
     apart: dict[frozenset[str], tuple[str, ...]] = {}
     for size in range(deepest + 1):
@@ -231,7 +235,8 @@ def bdeu(counts: Counts, node: str, parents: tuple[str, ...], sample: float = 1.
 
 def score_search(df: DataFrame, columns: list[str], most_parents: int = 3, sample: float = 1.0) -> Graph:
     """Greedy hill climbing over DAGs by BDeu (add, drop, turn), returned as its equivalence class."""
-    counts, nodes = Counts(df), sorted(columns)
+    nodes = sorted(columns)
+    counts = Counts(df, nodes)
     parents: dict[str, frozenset[str]] = {n: frozenset() for n in nodes}
     cache: dict[tuple[str, frozenset[str]], float] = {}
 
@@ -262,6 +267,33 @@ def score_search(df: DataFrame, columns: list[str], most_parents: int = 3, sampl
         parents |= best
 
 
+def order_search(df: DataFrame, columns: list[str], most_parents: int = 3, sample: float = 1.0) -> Graph:
+    """Search over orders of the nodes: each takes its best parent set among those before it; one node at a time moves to where the total gains most."""
+    nodes = sorted(columns)
+    counts = Counts(df, nodes)
+    scored = {}
+    for n in nodes:
+        others = [o for o in nodes if o != n]
+        sets = [ps for k in range(min(most_parents, len(others)) + 1) for ps in itertools.combinations(others, k)]
+        scored[n] = sorted(((bdeu(counts, n, ps, sample), ps) for ps in sets), key=lambda x: (-x[0], len(x[1]), x[1]))
+
+    def choose(order: list[str]) -> list[tuple[float, tuple[str, ...]]]:
+        return [next(x for x in scored[n] if set(order[:k]).issuperset(x[1])) for k, n in enumerate(order)]
+
+    order = nodes
+    value = sum(s for s, _ in choose(order))
+    while True:
+        tried = []
+        for n in nodes:
+            rest = [o for o in order if o != n]
+            tried += [[*rest[:k], n, *rest[k:]] for k in range(len(nodes))]
+        best = max(tried, key=lambda o: sum(s for s, _ in choose(o)), default=order)
+        gained = sum(s for s, _ in choose(best))
+        if gained <= value + 1e-9:
+            return equivalence_class(Graph(nodes, set(), {(p, n) for n, (_, ps) in zip(order, choose(order)) for p in ps}))
+        order, value = best, gained
+
+
 def equivalence_class(dag: Graph) -> Graph:
     """The DAG's skeleton with its colliders, closed under the orientation rules."""
     g = Graph(list(dag.nodes), {frozenset(a) for a in dag.arcs})

@@ -270,13 +270,13 @@ def _(spark, sf_dir):
 
 @_own("ci_contingency", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
 def _(spark, sf_dir):
-    counts = structure.Counts(tables(spark, sf_dir).load("lineitem"))
+    counts = structure.Counts(tables(spark, sf_dir).load("lineitem"), ["l_returnflag", "l_linestatus"])
     return spark.createDataFrame([(*k, n) for k, n in counts.of(("l_returnflag", "l_linestatus")).items()], "l_returnflag string, l_linestatus string, n long")
 
 
 @_own("bdeu_counts", "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
 def _(spark, sf_dir):
-    counts = structure.Counts(tables(spark, sf_dir).load("orders"))
+    counts = structure.Counts(tables(spark, sf_dir).load("orders"), ["o_orderpriority", "o_orderstatus"])
     structure.bdeu(counts, "o_orderpriority", ("o_orderstatus",))
     return spark.createDataFrame([(*k, n) for k, n in counts.held[("o_orderpriority", "o_orderstatus")].items()], "o_orderpriority string, o_orderstatus string, n long")
 

@@ -91,3 +91,10 @@ def query_texts(path: str, noise: str | None = None) -> dict[str, str]:
     if noise:
         texts = {k: t.replace("noisy", "gt" if noise == "gt" else f"noisy_level_{noise}") for k, t in texts.items()}
     return texts
+
+
+def markdown(df: DataFrame, rows: int = 100) -> str:
+    """The first rows as a Markdown table."""
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    line = lambda cells: "| " + " | ".join(map(cell, cells)) + " |"
+    return "\n".join([line(df.columns), "|" + "---|" * len(df.columns), *[line(r) for r in df.limit(rows).collect()]])

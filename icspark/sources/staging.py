@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -17,3 +18,21 @@ def staged(df: DataFrame) -> DataFrame:
         given = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="icspark-"))
     return df.checkpoint()
+
+
+def ranked(df: DataFrame, by: list[str], name: str = "_i") -> tuple[DataFrame, int]:
+    """(df with the position of each row in the order of `by` from 0, number of rows).
+
+    Rows are range-partitioned and sorted, so no task holds the table; one count a partition reaches the driver.
+    """
+    keys = [F.col(f"`{c}`") for c in by]
+    # range bounds are sampled anew by each run: the positions need one written order
+    held = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    sizes = dict(held.groupBy("_p").count().collect())
+    total, offsets = 0, []
+    for p in range(max(sizes, default=-1) + 1):
+        offsets.append(total)
+        total += sizes.get(p, 0)
+    before = F.array(*[F.lit(o).cast("long") for o in offsets or [0]])
+    within = F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)
+    return held.withColumn(name, F.get(before, F.col("_p")) + within).drop("_p", "_m"), total

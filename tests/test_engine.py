@@ -5,14 +5,16 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from icspark.operators import miners, noise, structure
+from icspark import cli
+from icspark.operators import analysis, miners, noise, structure
 from icspark.operators.guard import Guard, guarded
-from icspark.operators.models import ArrowModel, LinearModel, Registry, RuleModel, train
+from icspark.operators.models import ArrowModel, LinearModel, Registry, RuleModel, load, save, train
 from icspark.operators.program import Branch, Program, Statement, alerts, detection, fit, rectified, row_errors, violated
 from icspark.operators.search import Search
 from icspark.plans.grammar import QueryError
 from icspark.plans.planner import run_query
-from icspark.sources.catalog import Catalog
+from icspark.sources.catalog import Catalog, markdown
+from icspark.sources.staging import ranked
 
 CITIES = {"California": ["Los Angeles", "San Diego", "San Jose"], "Texas": ["Austin", "Houston", "Dallas"], "Washington": ["Seattle", "Spokane"], "Virginia": ["Norfolk", "Richmond", "Arlington"]}
 
@@ -159,7 +161,7 @@ def test_learners_find_a_collider(spark):
     r = np.random.default_rng(1)
     a, b = r.integers(0, 2, 3000), r.integers(0, 2, 3000)
     df = spark.createDataFrame(pd.DataFrame({"a": a == 1, "b": b == 1, "c": ((a | b) == 1) ^ (r.random(3000) < 0.05)})).cache()
-    for learn in (structure.pc, structure.score_search):
+    for learn in (structure.pc, structure.score_search, structure.order_search):
         assert learn(df, ["a", "b", "c"]).arcs == {("a", "c"), ("b", "c")}
 
 
@@ -202,3 +204,80 @@ def test_stream(spark, places, tmp_path):
     p = Program([fit(places, ["City"], "State")])
     start(spark.readStream.schema(places.schema).parquet(str(tmp_path / "in")), p, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where("alert").count() == 1
+
+
+def test_ranked(spark):
+    df = spark.createDataFrame([(k * 7 % 20, "x") for k in range(20)], "a int, b string").repartition(6)
+    out, total = ranked(df, ["a"])
+    assert total == 20 and all(r.a == r._i for r in out.collect())
+    assert ranked(df.limit(0), ["a"])[1] == 0
+
+
+def test_encode(spark):
+    df = spark.createDataFrame([("b", 5), ("a", 7), (None, 7), ("c", 5)], "s string, n int")
+    assert sorted(map(tuple, structure.encode(df).collect())) == [(0, 1), (1, 0), (2, 0)]
+
+
+def test_counts_agree_beyond_the_joint_bound(spark, places, monkeypatch):
+    near = structure.Counts(places, ["State", "City"])
+    monkeypatch.setattr(structure, "MOST_CELLS", 3)
+    far = structure.Counts(places, ["State", "City"])
+    assert far.joint is None and all(near.of(c) == far.of(c) for c in (("State",), ("City", "State")))
+
+
+def test_identity_sampler(places):
+    assert any(s.dependent in ("State", "City") for s in Search(0.1, 10, "order", sampler="identity").run(places, ["id"]).statements)
+    with pytest.raises(ValueError):
+        Search(sampler="none")
+
+
+def test_noise_takes_another_value_of_the_column(spark, places):
+    p = Program([fit(places, ["City"], "State")])
+    out = noise.inject(places, p, ["id"], 0.3).join(places.withColumnRenamed("State", "was"), ["id", "City"])
+    hit = out.where("injected")
+    assert hit.where("State = was").count() == 0 and out.where("not injected and State <> was").isEmpty()
+    assert {r[0] for r in hit.select("State").distinct().collect()} <= {*CITIES, "Texs"}
+    one = spark.createDataFrame([(k, "a", "b") for k in range(50)], "id long, State string, City string")
+    assert noise.inject(one, Program([fit(one, ["City"], "State")]), ["id"], 0.5).where("injected and State is not null").isEmpty()
+
+
+def test_ground_truth(spark):
+    df = spark.createDataFrame([(1, "a", "p"), (2, "a", None), (3, "b", "p")], "id long, g string, y string")
+    out = noise.ground_truth(df, Program([Statement(("g",), "y", (Branch({"g": "a"}, "p"),))]), RuleModel("y", ("g",), "'p'"), "y")
+    assert {r.id: r.controllable for r in out.collect()} == {1: ["y"], 3: []}
+
+
+def test_lasso_program(spark, places):
+    p = miners.lasso_program(places, ["id"])
+    assert all(s.cardinality > 0 and s.dependent in ("State", "City") for s in p.statements)
+
+
+def test_analysis(spark):
+    df = spark.createDataFrame([("x", "x", True, True), ("y", "x", True, True), ("x", "x", False, None), ("y", "x", False, True)], "p string, y string, alert boolean, noisy boolean")
+    r = analysis.relevance(df, "p", "y", noise="noisy").first()
+    assert (r.rows, r.alerts, r.errors, r.both, r.noisy, r.noisy_alerts, r.false_alerts, r.noisy_errors) == (4, 2, 2, 1, 3, 2, 0, 2)
+    e = analysis.error_reduction(spark.createDataFrame([(0.5, 0.1), (None, 0.2)], "a double, b double"), "a", "b").first()
+    assert abs(e.mean_reduction - 0.1) < 1e-12 and abs(e.std_reduction - 0.3) < 1e-12
+    assert analysis.min_max([2, 4, 3]) == [0, 1, 0.5] and analysis.min_max([1, 1]) == [0, 0] and analysis.min_max([]) == []
+
+
+def test_saved_models_and_query_modes(spark, tmp_path, capsys):
+    rows = [(k, "abc"[k % 3], "hi" if k % 3 else "lo") for k in range(150)]
+    clean = spark.createDataFrame(rows, "id long, g string, y string").withColumn("h", F.col("g"))
+    program = Program([fit(clean, ["h"], "g")])
+    save(spark, train(clean.drop("id", "h"), "y"), str(tmp_path / "m"), program)
+    model, same = load(spark, str(tmp_path / "m"))
+    assert same == program and model.features == ("g",)
+    noisy = clean.withColumn("g", F.when(F.col("id") % 10 == 0, "a").otherwise(F.col("g")))
+    (tmp_path / "q1.sql").write_text(f"SELECT count(M1) FROM t.noisy WHERE M1 == 'hi'\nM1: {tmp_path}/m, mllib\n")
+    shop = Catalog(spark, frames={"t.noisy_level_05": noisy, "t.gt": clean})
+    found = cli.run_queries(spark, str(tmp_path), shop, ["ignore", "coerce", "rectify", "gt"], "05", out=str(tmp_path / "out.json"))
+    count = {k.split(",")[1]: list(v[0].values())[0] for k, v in found.items()}
+    assert count == {"ignore": 90, "coerce": 90, "rectify": 100, "gt": 100}
+    assert (tmp_path / "out.json").exists() and "| 90 |" in capsys.readouterr().out
+    with pytest.raises(KeyError):
+        Registry(spark=spark).get(str(tmp_path / "none"))
+
+
+def test_markdown(spark):
+    assert markdown(spark.createDataFrame([("a|b", None)], "x string, y int")) == "| x | y |\n|---|---|\n| a\\|b |  |"
