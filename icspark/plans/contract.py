@@ -209,7 +209,7 @@ def _guarded_agg(mode: str):
 for _mode, _value in {"ignore": "r_name", "coerce": "CASE WHEN NOT alert THEN r_name END", "rectify": "coalesce(expected, r_name)"}.items():
     _inner = REGION_MODEL.replace("r_name", "x")
     _value_sql = f"CASE WHEN x IS NOT NULL THEN {_inner} END"
-    _own(f"guard_{_mode}_agg", _geo_sql() + f"SELECT n_name, round(coalesce(sum({_value_sql}), 0), 3) AS v FROM (SELECT n_name, {_value} AS x FROM checked) GROUP BY n_name")(_guarded_agg(_mode))
+    _own(f"guard_{_mode}_agg", _geo_sql() + f"SELECT n_name, round(coalesce(sum({_value_sql}), 0), 3)::DOUBLE AS v FROM (SELECT n_name, {_value} AS x FROM checked) GROUP BY n_name")(_guarded_agg(_mode))
 
 
 @_own("guard_raise_count", _geo_sql() + "SELECT CASE WHEN count(*) FILTER (alert) > 0 THEN 1 ELSE 0 END AS raised FROM checked")
