@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from icspark.llm import decontam, lines, minhash, packing, toxicity
 from icspark.llm.common import Scratch, table
 
+#: The stage joins documents from 0.8 on; op7 by itself, as its SQL, from 0.85.
+NEAR_PERCENT = 80
+
 
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars agrees with the text again."""
@@ -29,8 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return minhash.keep_one(docs)
+    """One document of each group of word-shingle similarity NEAR_PERCENT or more stays."""
+    return minhash.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 SuperMinHash gives each shingle a random permutation of the slots; its value in the slot it
 meets at step j is j plus a uniform fraction, so the slots of one signature are negatively
 correlated and estimates vary less than with independent hashes. A document stops early, at the first
-step that no slot can still gain from. With BANDS bands of ROWS slots a pair at similarity 0.85
-is missed with probability below 1e-6.
+step that no slot can still gain from. The bands follow the threshold: a pair at it
+is missed with probability below 1e-6 (26 bands of 5 slots at 0.85, 38 of 5 at 0.8).
 
 1. One pass over the texts writes set size, sequence digest, bands and a one-byte-a-slot signature.
 2. Equal word sequences collapse to their smallest id.
@@ -22,6 +22,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,27 @@ from pyspark.sql import functions as F
 from icspark.llm.common import Scratch, components, mixed, small_batches, text_bytes, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 26, 5
+ROWS, MISSED, MOST_SLOTS = 5, 3e-7, 255
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): as many rows as ROWS and MOST_SLOTS allow, so many bands that a pair at `percent` is missed with probability MISSED at most."""
+    for rows in range(ROWS, 0, -1):
+        share = (percent / 100) ** rows
+        bands = 1 if share >= 1 else math.ceil(math.log(MISSED) / math.log1p(-share))
+        if bands * rows <= MOST_SLOTS:
+            return bands, rows
+    raise ValueError(f"no banding within {MOST_SLOTS} slots finds pairs at {percent} percent")
+
+
+def least_agree(percent: int) -> float:
+    """Share of agreeing slots below which a pair at `percent` is more than 5.4 standard deviations off."""
+    p, (bands, rows) = percent / 100, banding(percent)
+    return p - 5.43 * math.sqrt(p * (1 - p) / (bands * rows))
+
+
+BANDS = banding(PERCENT)[0]
 SLOTS = BANDS * ROWS
-#: A pair whose signatures agree in fewer slots is, at 0.85, more than five standard deviations off.
-LEAST_AGREE = 0.68
 #: Members of a bucket that one tile holds; shingles that one vector step holds.
 TILE, STEP_SHINGLES = 128, 150_000
 #: A bucket with more members is hot. Rows of a table that may be broadcast.
@@ -104,15 +122,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs: doc_id, text. Gives doc_id, n_shingles, seq, bands, sig."""
+    bands, rows = banding(percent)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [words_of(t) for t in text_bytes(b.column(1))]
             sets = [shingles(w) for w in words]
-            sig = signatures(sets)
-            keys = band_keys(sig).view(np.int64)
+            sig = signatures(sets, bands * rows)
+            keys = band_keys(sig, bands, rows).view(np.int64)
             low = (mixed(sig) & np.uint64(255)).astype(np.uint8)
             some = [bool(len(s)) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -129,8 +148,9 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(go, "doc_id long, n_shingles long, seq binary, bands array<long>, sig binary")
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough."""
+    least = least_agree(percent)
     x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
     both = x.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
 
@@ -139,7 +159,7 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             if not t.num_rows:
                 continue
             left, right = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint8).reshape(t.num_rows, -1) for k in (2, 3))
-            yield t.select(["a", "b"]).filter(pa.array((left == right).mean(1) >= LEAST_AGREE))
+            yield t.select(["a", "b"]).filter(pa.array((left == right).mean(1) >= least))
 
     return both.mapInArrow(go, "a long, b long")
 
@@ -162,8 +182,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     return both.mapInArrow(go, "a long, b long")
 
 
-def _unmet(open_rows: DataFrame) -> DataFrame:
+def _unmet(open_rows: DataFrame, percent: int) -> DataFrame:
     """open_rows: k, hub, doc_id, root, sig of small buckets with several components. Pairs that agree across components."""
+    least = least_agree(percent)
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), -1)
@@ -171,7 +192,7 @@ def _unmet(open_rows: DataFrame) -> DataFrame:
         out = []
         for x in np.flatnonzero(ids != hub).tolist():  # pairs with the hub were tried
             y = np.flatnonzero((ids > ids[x]) & (root != root[x]))
-            out += [(ids[k], ids[x]) for k in y[(sig[y] == sig[x]).mean(1) >= LEAST_AGREE]]
+            out += [(ids[k], ids[x]) for k in y[(sig[y] == sig[x]).mean(1) >= least]]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return open_rows.groupBy("k").applyInPandas(go, "a long, b long").distinct()
@@ -183,6 +204,7 @@ def _joined_in_tiles(members: DataFrame, percent: int) -> DataFrame:
     Every pair of a set meets in one tile. There a union-find over components skips what is
     already joined, signatures sift, full shingle sets decide, and only joining links leave.
     """
+    least = least_agree(percent)
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     placed = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), tiles).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), tiles - 1)))
     placed = placed.withColumn("i", F.least("own", "t")).withColumn("j", F.greatest("own", "t"))
@@ -204,7 +226,7 @@ def _joined_in_tiles(members: DataFrame, percent: int) -> DataFrame:
         first, second = np.flatnonzero(own == pdf.i.iloc[0]), np.flatnonzero(own == pdf.j.iloc[0])
         for x in first.tolist():
             y = second[root[second] != root[x]]
-            y = y[(100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])) & ((sig[y] == sig[x]).mean(1) >= LEAST_AGREE)]
+            y = y[(100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])) & ((sig[y] == sig[x]).mean(1) >= least)]
             for k in y.tolist():
                 a, b = top(root[x]), top(root[k])
                 if a != b and similar(sets[x], sets[k], percent):
@@ -221,7 +243,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
     small_batches(spark)
     scratch = Scratch(spark)
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = scratch.cut(sketch(thin))
+    every = scratch.cut(sketch(thin, percent))
     reps = scratch.cut(every.where("n_shingles > 0").groupBy("seq").agg(F.min("doc_id").alias("rep")))
     chosen = scratch.cut(every.where("n_shingles > 0").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sig"))
     sigs = chosen.select("doc_id", "sig")
@@ -229,7 +251,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
     hubs = scratch.cut(keyed.groupBy("k").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = scratch.cut(keyed.join(hubs, "k"))  # members of buckets of two or more
     pairs = scratch.cut(met.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
-    links = scratch.cut(confirm(scratch.cut(_agreeing(pairs, sigs)), thin, percent))
+    links = scratch.cut(confirm(scratch.cut(_agreeing(pairs, sigs, percent)), thin, percent))
     roots = scratch.cut(components(scratch, links))
     # buckets of three or more that the stars left in pieces
     labelled = met.where("n > 2").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
@@ -237,7 +259,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
     broken = scratch.cut(labelled.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"))
     open_rows = scratch.cut(labelled.join(broken, "k"))
     small = open_rows.where(F.col("n") <= HOT_BUCKET).join(sigs, "doc_id").select("k", "hub", "doc_id", "root", "sig")
-    more = scratch.cut(confirm(scratch.cut(_unmet(small)), thin, percent))
+    more = scratch.cut(confirm(scratch.cut(_unmet(small, percent)), thin, percent))
     # hot buckets that share members form sets; each set is compared once, whatever its buckets
     hot = scratch.cut(open_rows.where(F.col("n") > HOT_BUCKET).select("doc_id", "hub", "root").distinct())
     if not hot.isEmpty():

@@ -366,3 +366,24 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out.collect(), out.schema)
         assert 0 < docs.count() <= before
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
+def test_near_dedup_stage_takes_080(spark):
+    """The pipeline's stage against brute force, with pairs between 0.80 and 0.85."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    rows = []
+    for k in range(40):
+        w = text(r, 150).split()
+        rows.append((2 * k, " ".join(w)))
+        for at in (30, 80, 110)[: 2 + k % 2]:
+            w[at] = f"z{k}"
+        rows.append((2 * k + 1, " ".join(w)))
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(146)} for d, t in rows}
+    pairs = [(a, a + 1) for a in range(0, 80, 2) if 100 * len(sets[a] & sets[a + 1]) >= 80 * len(sets[a] | sets[a + 1])]
+    assert sum(100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b]) for a, b in pairs) >= 20
+    top = roots(pairs, list(sets))
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {x.doc_id for x in kept.collect()} == {d for d in sets if top[d] == d}
+    assert minhash.banding(85) == (26, 5) and abs(minhash.least_agree(85) - 0.68) < 0.002 and minhash.least_agree(80) < 0.65
