@@ -387,3 +387,23 @@ def test_near_dedup_stage_takes_080(spark):
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {x.doc_id for x in kept.collect()} == {d for d in sets if top[d] == d}
     assert minhash.banding(85) == (26, 5) and abs(minhash.least_agree(85) - 0.68) < 0.002 and minhash.least_agree(80) < 0.65
+
+
+def test_nested_clusters(spark, monkeypatch):
+    """Two tight clusters whose cross links lie in no list of the K best, without the exact pass."""
+    monkeypatch.setattr(nndescent, "EXACT_ROWS", 0, raising=False)
+    monkeypatch.setattr(nndescent, "_missed", None, raising=False)
+    r = np.random.default_rng(8)
+    c, d = np.linalg.qr(r.standard_normal((64, 2)))[0].T
+    centres = [c, 0.93 * c + (1 - 0.93**2) ** 0.5 * d]
+    x = np.concatenate([m + 0.0125 * r.standard_normal((20, 64)) for m in centres] + [r.standard_normal((60, 64))])
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    sims = y @ y.T
+    assert (sims[:20, 20:40] >= 0.9).mean() > 0.9
+    tight = sims[:40, :40] - 2 * np.eye(40)
+    assert all((np.argsort(-tight[k])[:8] < 20).all() == (k < 20) for k in range(40))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = {a.vec_id: (a.n_links, a.component_id, a.kept) for a in nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near = (sims >= 0.9) & ~np.eye(100, dtype=bool)
+    top = roots(np.argwhere(np.triu(near)).tolist(), range(100))
+    assert got == {k: (int(near[k].sum()), top[k], top[k] == k) for k in range(100)}
