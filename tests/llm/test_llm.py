@@ -407,3 +407,22 @@ def test_nested_clusters(spark, monkeypatch):
     near = (sims >= 0.9) & ~np.eye(100, dtype=bool)
     top = roots(np.argwhere(np.triu(near)).tolist(), range(100))
     assert got == {k: (int(near[k].sum()), top[k], top[k] == k) for k in range(100)}
+
+
+def test_missed_vectors_are_finished(spark, monkeypatch):
+    """Small groups that no table has met are found, though one hot component holds almost all links."""
+    monkeypatch.setattr(nndescent, "EXACT_ROWS", 0, raising=False)
+    monkeypatch.setattr(nndescent, "TABLES", 64)
+    real = nndescent._seeded
+    monkeypatch.setattr(nndescent, "_seeded", lambda reps, *a: real(reps.where("vec_id < 150"), *a))
+    r = np.random.default_rng(12)
+    x = r.standard_normal((300, 32))
+    x[:150] = x[0] + 0.1 * r.standard_normal((150, 32))
+    x[151:300:2] = x[150:300:2] + 0.2 * r.standard_normal((75, 32))
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (y @ y.T >= 0.9) & ~np.eye(300, dtype=bool)
+    top = roots(np.argwhere(np.triu(near)).tolist(), range(300))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {a.vec_id: (a.n_links, a.component_id) for a in nndescent.near_duplicates(df).collect()}
+    assert got == {k: (int(near[k].sum()), top[k]) for k in range(300)}
+    assert 64 < nndescent._tables(10_000_000) < nndescent._tables(100_000_000)
