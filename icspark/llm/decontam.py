@@ -2,7 +2,7 @@
 
 Documents stream past the set once, with no shuffle. A hash hit is verified on the words
 themselves. A benchmark beyond `BLOCK_BYTES` is split into blocks of bounded size by a hash
-of the item id; each block is broadcast in turn and its hits are merged per document.
+of the item id; each block is broadcast in turn, scans the original text of every row, and adds its hits to the row's.
 
 Defined cases: a null or empty text has no words and no hits; an item of fewer words than
 the window is one window, one of none is ignored; repeated items all count; repeated rows of a document
@@ -14,14 +14,15 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from icspark.llm.common import sha256_hex, small_batches, text_bytes, window_hashes, word_hashes
+from icspark.llm.common import Scratch, free_name, sha256_hex, small_batches, text_bytes, window_hashes, word_hashes
 
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast may hold.
@@ -107,34 +108,48 @@ def _ngrams(shared, window: int) -> NgramSet:
     return _built[name, window]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row of docs: id, n_words, spans (flat array of start, end word), items (array of item ids)."""
-    small_batches(docs.sparkSession)
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_words long, spans array<int>, items array<long>"
+def _scanned(docs: DataFrame, at: int, blocks: list[DataFrame], item_id: str, item_text: str, window: int, finish: Callable, schema) -> DataFrame:
+    """finish(batch of docs, n_words, spans, items) on every batch, with each row's hits of all blocks on the text in column `at`.
 
-    def scan(shared):
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows carry their hits from block to block; between blocks they are written, so a task holds one block's set at a time.
+    """
+    spark, width = docs.sparkSession, len(docs.columns)
+    scratch, out = Scratch(spark), docs
+    carried = T.StructType(docs.schema.fields + [T.StructField(free_name(docs, n), T.ArrayType(t)) for n, t in (("spans", T.IntegerType()), ("items", T.LongType()))])
+    for turn, block in enumerate(blocks):
+        shared, last = _set_of(block, item_id, item_text, window), turn == len(blocks) - 1
+
+        def go(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn, last=last) -> Iterator[pa.RecordBatch]:
             grams = _ngrams(shared, window)
             for b in batches:
                 n_words, spans, items = [], [], []
-                for text in text_bytes(b.column(1)):
+                before = zip(b.column(width).to_pylist(), b.column(width + 1).to_pylist()) if turn else iter([([], [])] * b.num_rows)
+                for text, (s0, i0) in zip(text_bytes(b.column(at)), before):
                     words = words_of(text)
                     s, i = grams.scan(words)
                     n_words.append(len(words))
-                    spans.append([x for p in s for x in p])
-                    items.append(sorted(i))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
+                    spans.append(s0 + [x for p in s for x in p])
+                    items.append(sorted(i.union(i0)))
+                if last:
+                    yield finish(b.columns[:width], n_words, spans, items)
+                else:
+                    yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=carried.names)
 
-        return thin.mapInArrow(go, schema)
+        if last:
+            return out.mapInArrow(go, schema)
+        old, out = out, scratch.cut(out.mapInArrow(go, carried))
+        scratch.drop(old) if turn else None
 
-    parts = [scan(_set_of(block, item_id, item_text, window)) for block in _blocks(benchmark, item_id, item_text)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per row of docs: id, n_words, spans (flat array of start, end word), items (array of item ids)."""
+    small_batches(docs.sparkSession)
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def finish(columns, n_words, spans, items) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[0], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
+
+    return _scanned(thin, 1, _blocks(benchmark, item_id, item_text), item_id, item_text, window, finish, "doc_id long, n_words long, spans array<int>, items array<long>")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -171,26 +186,19 @@ def without_spans(text: str, spans: list[int]) -> str:
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, document_share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without benchmark passages: hit spans are cut; a document goes if hits make up `document_share` of its words.
 
-    Columns of docs are kept as they are. Oversized benchmarks are cut out block by block.
+    Columns of docs are kept as they are. Share and cuts are those of all blocks together on the original text.
     """
     small_batches(docs.sparkSession)
-    out, names = docs, docs.columns
+    names = docs.columns
     at = names.index(text_col)
-    for block in _blocks(benchmark, "item_id", "text"):
-        shared = _set_of(block, "item_id", "text", window)
 
-        def go(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            grams = _ngrams(shared, window)
-            for b in batches:
-                texts, keep = [], []
-                for text in b.column(at).to_pylist():
-                    words = words_of((text or "").encode())
-                    spans, _ = grams.scan(words)
-                    share = hit_mask(len(words), spans).mean() if spans else 0
-                    keep.append(share < document_share)
-                    texts.append(without_spans(text, [x for p in spans for x in p]) if spans and keep[-1] else text)
-                columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(go, docs.schema)
-    return out
+    def finish(columns, n_words, spans, items) -> pa.RecordBatch:
+        texts, keep = [], []
+        for text, n, flat in zip(columns[at].to_pylist(), n_words, spans):
+            share = hit_mask(n, zip(flat[::2], flat[1::2])).mean() if flat else 0
+            keep.append(share < document_share)
+            texts.append(without_spans(text, flat) if flat and keep[-1] else text)
+        columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(columns)]
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return _scanned(docs, at, _blocks(benchmark, "item_id", "text"), "item_id", "text", window, finish, docs.schema)

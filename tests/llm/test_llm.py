@@ -426,3 +426,18 @@ def test_missed_vectors_are_finished(spark, monkeypatch):
     got = {a.vec_id: (a.n_links, a.component_id) for a in nndescent.near_duplicates(df).collect()}
     assert got == {k: (int(near[k].sum()), top[k]) for k in range(300)}
     assert 64 < nndescent._tables(10_000_000) < nndescent._tables(100_000_000)
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Several blocks cut and drop as one does, row by row, also where an id repeats."""
+    r = random.Random(13)
+    items = [(k, text(r, 50)) for k in range(12)]
+    rows = [(k, f"{text(r, 30)} {items[k][1]} {text(r, 30)}") for k in range(12)]
+    rows += [(50 + k, f"{items[k][1]} {items[(k + 1) % 12][1]} {text(r, 8)}") for k in range(12)]
+    rows += [(0, text(r, 20)), (0, items[3][1]), (90, None), (91, "")]
+    docs = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, spans int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: (sorted(map(str, decontam.remove(docs, bench).collect())), sorted(map(str, decontam.report(docs, bench).collect())))
+    one = found()
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1500)
+    assert found() == one and len(one[0]) == 15 and len(one[1]) == len(rows)
