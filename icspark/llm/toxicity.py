@@ -1,6 +1,7 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
 
-A text is a bag of words and is as toxic as its most toxic word (multiple-instance learning
+A text is a bag of words, and of its runs of short neighbouring tokens joined, so that a word
+written with spaces or line breaks is seen; it is as toxic as its most toxic word (multiple-instance learning
 from labelled texts). The kernel of two words sums over shared character subsequences of
 length `ORDER`, each weighted by DECAY to the length it spans in both, so insertions and
 gaps lower it only step by step. Landmark words span a Nystroem feature space; a squared-hinge
@@ -33,6 +34,8 @@ ORDER, DECAY, PIECE = 3, 0.6, 24
 #: Bound of the labelled sample, by class.
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 4000
 LANDMARKS = 28
+#: Most letters of a token that is also joined with its neighbours.
+SHORT = 3
 #: Tokens that a worker knows the margins of, in each of two generations.
 KNOWN_TOKENS = 150_000
 #: Margin of a text without words.
@@ -131,8 +134,23 @@ def mark(word: str) -> str:
     return f"^{word}$"
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """White-space separated tokens, then each run of two or more tokens of one to SHORT letters, joined."""
+    tokens = (text or "").lower().split()
+    out, run = list(tokens), []
+    for x in [*tokens, " " * (SHORT + 1)]:
+        w = x if len(x) <= SHORT and x.isalnum() else _EDGE.sub("", x) if x[0] != " " else x
+        if len(w) > SHORT:
+            if len(run) > 1:
+                out.append("".join(run))
+            run = []
+        elif w:
+            run.append(w)
+    return out
+
+
 def words_of(text: str | None) -> list[str]:
-    return [mark(w) for x in (text or "").lower().split() if (w := _EDGE.sub("", x))]
+    return [mark(w) for x in tokens_of(text) if (w := _EDGE.sub("", x))]
 
 
 @dataclass
@@ -380,7 +398,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         if model is not None:
             scorer = Held.get(("toxicity", tuple(model.landmarks), model.bias), lambda: Scorer(model))
         for b in batches:
-            bags = [set((t or "").lower().split()) for t in b.column(at).to_pylist()]
+            bags = [set(tokens_of(t)) for t in b.column(at).to_pylist()]
             if scorer is None:
                 scores = np.zeros(len(bags))
             else:

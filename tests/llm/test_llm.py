@@ -441,3 +441,16 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     one = found()
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1500)
     assert found() == one and len(one[0]) == 15 and len(one[1]) == len(rows)
+
+
+def test_toxicity_of_spaced_insults(spark):
+    """Insults with spaces or line breaks between their letters score as insults."""
+    r = random.Random(14)
+    words = [f"word{k}" for k in range(300)] + ["a", "to", "is", "it", "of"]
+    rows = [(k, " ".join(r.choices(words, k=30) + ([r.choice(["idiot", "moron", "loser"])] if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(400)]
+    odd = [(900, "word1 word2 i d i o t word3"), (901, "word4 id\niot word5"), (902, "word6 m o\nr o n word7"), (903, "word8 it is a word9 to it of word2")]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + odd, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
+    assert all(got[d] >= 0.5 for d in (900, 901, 902)) and got[903] < 0.5
+    assert all(got[d] < 0.5 for d, _, y in rows if not y)
