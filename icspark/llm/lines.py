@@ -58,35 +58,35 @@ def _hash64(data: bytes) -> int:
 
 
 def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first_line, n_lines) of every chunk that goes."""
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    """(doc_id, row, first_line, n_lines) of every chunk that goes; row is the hash of the row's text."""
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at, n, h = [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            ids, rows, at, n, h = [], [], [], [], []
+            for doc, row, text in zip(*(b.column(k).to_pylist() for k in (0, 1)), b.column(2).cast(pa.binary()).to_pylist()):
                 for first, lines, data in chunks_of(text):
-                    ids.append(doc), at.append(first), n.append(lines), h.append(_hash64(data))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], ["doc_id", "first_line", "n_lines", "h"])
+                    ids.append(doc), rows.append(row), at.append(first), n.append(lines), h.append(_hash64(data))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], ["doc_id", "row", "first_line", "n_lines", "h"])
 
-    every = scratch.cut(thin.mapInArrow(listed, "doc_id long, first_line int, n_lines int, h long"))
+    every = scratch.cut(thin.mapInArrow(listed, "doc_id long, row long, first_line int, n_lines int, h long"))
     twice = scratch.cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
-    wanted = every.join(twice, "h").groupBy("doc_id").agg(F.collect_set("first_line").alias("wanted"))
+    wanted = every.join(twice, "h").groupBy("doc_id", "row").agg(F.collect_set("first_line").alias("wanted"))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at, n, body = [], [], [], []
-            for doc, text, want in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+            ids, rows, at, n, body = [], [], [], [], []
+            for doc, row, text, want in zip(*(b.column(k).to_pylist() for k in (0, 1)), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
                 want = set(want)
                 for first, lines, data in chunks_of(text):
                     if first in want:
-                        ids.append(doc), at.append(first), n.append(lines), body.append(data)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(body, pa.binary())], ["doc_id", "first_line", "n_lines", "body"])
+                        ids.append(doc), rows.append(row), at.append(first), n.append(lines), body.append(data)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(body, pa.binary())], ["doc_id", "row", "first_line", "n_lines", "body"])
 
     # the chunks that may repeat, with their bytes
-    full = scratch.cut(thin.join(scratch.cut(wanted), "doc_id").select("doc_id", "text", "wanted").mapInArrow(bodies, "doc_id long, first_line int, n_lines int, body binary"))
-    first = scratch.cut(full.groupBy("body").agg(F.min(F.struct("doc_id", "first_line")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("body", "keep"))
-    return full.join(first, "body").where(F.struct("doc_id", "first_line") > F.col("keep")).select("doc_id", "first_line", "n_lines")
+    full = scratch.cut(thin.join(scratch.cut(wanted), ["doc_id", "row"]).select("doc_id", "row", "text", "wanted").mapInArrow(bodies, "doc_id long, row long, first_line int, n_lines int, body binary"))
+    first = scratch.cut(full.groupBy("body").agg(F.min(F.struct("doc_id", "row", "first_line")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("body", "keep"))
+    return full.join(first, "body").where(F.struct("doc_id", "row", "first_line") > F.col("keep")).select("doc_id", "row", "first_line", "n_lines")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
@@ -95,9 +95,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
     small_batches(spark)
     scratch = Scratch(spark)
     gone = repeats(docs, scratch, id_col, text_col)
-    cut, key = free_name(docs, "cut_lines"), free_name(docs, "cut_id")
-    by_doc = scratch.cut(gone.groupBy("doc_id").agg(F.collect_set(F.struct("first_line", "n_lines")).alias(cut)).withColumnRenamed("doc_id", key))
-    joined = docs.join(by_doc, F.col(id_col).cast("long") == F.col(key), "left").select(*[docs[c] for c in docs.columns], cut)
+    cut, key, row = (free_name(docs, n) for n in ("cut_lines", "cut_id", "cut_row"))
+    by_doc = scratch.cut(gone.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first_line", "n_lines")).alias(cut)).withColumnsRenamed({"doc_id": key, "row": row}))
+    joined = docs.join(by_doc, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text_col) == F.col(row)), "left").select(*[docs[c] for c in docs.columns], cut)
     names, at = docs.columns, docs.columns.index(text_col)
     from pyspark.sql import types as T
 

@@ -454,3 +454,12 @@ def test_toxicity_of_spaced_insults(spark):
     got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
     assert all(got[d] >= 0.5 for d in (900, 901, 902)) and got[903] < 0.5
     assert all(got[d] < 0.5 for d, _, y in rows if not y)
+
+
+def test_lines_of_one_id(spark):
+    """Rows of one id with different texts keep their own lines."""
+    r = random.Random(15)
+    shared, own = ("\n".join(text(r, 6) for _ in range(40)) for _ in range(2))
+    rows = [(1, shared), (5, shared), (5, own)]
+    got = {(x.doc_id, len(x.text)) for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, len(shared)), (5, len(own))} < got and min(n for d, n in got if d == 5) < len(shared) / 2
