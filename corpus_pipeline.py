@@ -6,11 +6,13 @@ the last return the columns of documents; `n_chars` follows the text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icspark.llm import decontam, lines, minhash, packing, toxicity
-from icspark.llm.common import Scratch, table
+from icspark.llm.common import Scratch, free_name, table
 
 #: The stage joins documents from 0.8 on; op7 by itself, as its SQL, from 0.85.
 NEAR_PERCENT = 80
@@ -21,14 +23,23 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+BLANK = "text is null or trim(text) = ''"
+
+
+def _unless_emptied(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stage without the documents that it emptied; those null or blank before stay."""
+    before = free_name(docs, "blank_before")
+    return stage(docs.withColumn(before, F.expr(BLANK))).where(F.col(before) | ~F.expr(BLANK)).drop(before)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; the model learns from the labelled rows among docs."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks are cut; a document of which nothing is left goes."""
-    return _measured(lines.dedup(docs)).where("text is not null and trim(text) <> ''")
+    """Repeated multi-line chunks are cut; a document of which nothing is left goes, one blank before stays."""
+    return _unless_emptied(docs, lambda d: _measured(lines.dedup(d)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +48,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; a document that is mostly benchmark goes."""
-    return _measured(decontam.remove(docs, table(spark, sf_dir, "benchmark"))).where("text is not null and trim(text) <> ''")
+    """Benchmark passages are cut out; a document that is mostly benchmark goes, one blank before stays."""
+    return _unless_emptied(docs, lambda d: _measured(decontam.remove(d, table(spark, sf_dir, "benchmark"))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -278,6 +278,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group, that of the smallest id."""
-    kept = groups(docs, percent).where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("kept_doc_id"), "left_semi")
+    """docs with one document of each group, that of the smallest id; rows without an id stay."""
+    kept = groups(docs.where(F.col("doc_id").cast("long").isNotNull()), percent).where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
+    key = docs["doc_id"].cast("long")
+    return docs.join(kept, key == F.col("kept_doc_id"), "left_semi").union(docs.where(key.isNull()))

@@ -463,3 +463,13 @@ def test_lines_of_one_id(spark):
     rows = [(1, shared), (5, shared), (5, own)]
     got = {(x.doc_id, len(x.text)) for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {(1, len(shared)), (5, len(own))} < got and min(n for d, n in got if d == 5) < len(shared) / 2
+
+
+def test_clean_rows_stay(spark):
+    """Stages drop blank rows and rows without an id only by a decision of their own."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, " "), (4, ""), (None, "c d")], "doc_id long, text string")
+    for stage in (corpus_pipeline.drop_repeated_lines, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_benchmark):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
