@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -306,10 +307,10 @@ def equivalence_class(dag: Graph) -> Graph:
 
 
 def member_dags(g: Graph, most: int = MOST_DAGS) -> list[Graph]:
-    """All DAGs of the class, in a fixed order, at most `most`."""
+    """All DAGs of the class, in a fixed order; warns if there are more than `most` and gives the first `most`."""
     colliders = lambda x: {(frozenset((a, b)), c) for c in x.nodes for a, b in itertools.combinations(x.parents(c), 2) if not x.adjacent(a, b)}
     want, out, stack = colliders(g), [], [g]
-    while stack and len(out) < most:
+    while stack and len(out) <= most:
         now = stack.pop()
         if not now.edges:
             if now.acyclic() and colliders(now) == want:
@@ -322,4 +323,6 @@ def member_dags(g: Graph, most: int = MOST_DAGS) -> list[Graph]:
             new.close()
             if new.acyclic():
                 stack.append(new)
-    return out
+    if len(out) > most:
+        warnings.warn(f"the class holds more than {most} DAGs; only the first {most} are tried, the best may lie beyond", stacklevel=2)
+    return out[:most]

@@ -281,3 +281,9 @@ def test_saved_models_and_query_modes(spark, tmp_path, capsys):
 
 def test_markdown(spark):
     assert markdown(spark.createDataFrame([("a|b", None)], "x string, y int")) == "| x | y |\n|---|---|\n| a\\|b |  |"
+
+
+def test_cut_class_warns():
+    full = structure.Graph(list("abcd"), {frozenset(x) for x in itertools.combinations("abcd", 2)})
+    with pytest.warns(UserWarning, match="more than 23"):
+        assert len(structure.member_dags(full, 23)) == 23
