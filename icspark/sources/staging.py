@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder, so its rows and partitions stay as they are.
-
-    The folder is the one the session names in spark.checkpoint.dir; a temporary one only where it names none.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it in spark.checkpoint.dir; a temporary one only in local mode and where it names none."""
+    context = spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        given = context.getConf().get("spark.checkpoint.dir")
+        if not given and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="icspark-"))
+    return given or context._jsc.sc().getCheckpointDir().get()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, so its rows and partitions stay as they are."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
