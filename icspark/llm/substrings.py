@@ -14,12 +14,13 @@ positions are anchors.
    found is extended to both sides word by word, so every match is decided by the words
    themselves; matches of SPAN words or more from a smaller document are removed.
 
-Any window match holds one whole block, so none is lost. Equal texts collapse first: of them
-only the smallest id is scanned.
+Any window match holds one whole block, so none is lost. Texts of equal words collapse first: of them
+only the row of the smallest id is scanned. Rows are told apart by id and text.
 
 Defined cases: null and empty texts have no words; fewer words than SPAN: nothing goes; repeats
-within one document stay; repeated rows of an id are answered each; an empty table gives no rows; other columns are
-ignored.
+within one document, and between rows of one id, stay; repeated rows of an id are answered each, one row for one row, and
+several texts of an id each by itself; a row without an id loses nothing and takes nothing from others; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +35,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icspark.llm.common import Scratch, sha256_hex, small_batches, text_bytes, window_hashes, word_hashes
+from icspark.llm.common import Scratch, mixed, sha256_hex, small_batches, text_bytes, window_hashes, word_hashes
 
 SPAN, ANCHOR = 50, 20
 BLOCK = SPAN // 2
-#: Documents that a shard of the last step holds, about.
-SHARD_DOCS = 400
+#: Bytes of compressed text that a shard of the last step holds, about; its passages are no longer than its texts, but for a window's rest each.
+SHARD_BYTES = 1 << 19
+#: Another order of a word's hash, so that a window has 128 bits.
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def anchors_of(h: np.ndarray, span: int = SPAN, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -132,100 +135,100 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, mark, sha, anchors = [], [], [], []
-            for text in text_bytes(b.column(1)):
+            n, sha, anchors = [], [], []
+            for text in text_bytes(b.column(2)):
                 words = text.split()
                 at, grams = anchors_of(word_hashes(words))
                 n.append(len(words))
-                joined = b" ".join(words)
-                sha.append(sha256_hex(joined))
-                mark.append(int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "little", signed=True))
+                sha.append(hashlib.sha256(b" ".join(words)).digest())
                 anchors.append(np.unique(grams[np.unique(at)]).view(np.int64).tolist() if len(at) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.int64()), pa.array(sha), pa.array(anchors, pa.list_(pa.int64()))], ["doc_id", "n_words", "mark", "sha", "anchors"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["doc_id", "row", "n_words", "sha", "anchors"])
 
-    every = scratch.cut(thin.mapInArrow(listed, "doc_id long, n_words long, mark long, sha string, anchors array<long>"))
-    long_ = every.where(F.col("n_words") >= SPAN)
-    firsts = scratch.cut(long_.groupBy("sha").agg(F.min("doc_id").alias("first")))
-    apart = every.select("doc_id", "mark", F.explode("anchors").alias("anchor"))
-    recurring = scratch.cut(apart.groupBy("anchor").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("anchor"))
-    first_ids = firsts.select(F.col("first").alias("doc_id"))
-    wanted = apart.select("doc_id", "anchor").join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
-    wanted = scratch.cut(wanted.join(first_ids, "doc_id", "left_semi"))
+    every = scratch.cut(thin.mapInArrow(listed, "doc_id long, row long, n_words long, sha binary, anchors array<long>"))
+    long_ = every.where((F.col("n_words") >= SPAN) & F.col("doc_id").isNotNull())
+    # texts of different words, each with the row of its smallest id
+    firsts = scratch.cut(long_.groupBy("sha").agg(F.min(F.struct("doc_id", "row")).alias("s"), F.first("anchors").alias("anchors")).select("sha", "s.doc_id", "s.row", "anchors"))
+    apart = firsts.select("doc_id", "row", F.explode("anchors").alias("anchor"))
+    recurring = scratch.cut(apart.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    wanted = scratch.cut(apart.join(recurring, "anchor").groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("wanted")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places, hashes, squeezed = [], [], []
-            for text, want in zip(text_bytes(b.column(1)), b.column(2).to_pylist()):
+            places, hashes, seconds, squeezed = [], [], [], []
+            for text, want in zip(text_bytes(b.column(2)), b.column(3).to_pylist()):
                 words = text.split()
                 h = word_hashes(words)
                 at, grams = anchors_of(h)
                 ok = np.flatnonzero(np.isin(grams[at], np.array(want, np.int64).view(np.uint64)))
                 places.append(ok.astype(np.int32))
                 hashes.append(window_hashes(h, SPAN)[ok].view(np.int64))
+                seconds.append(window_hashes(mixed(h ^ _SECOND), SPAN)[ok].view(np.int64))
                 squeezed.append(_squeezed(text))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(squeezed, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "z", "places", "hashes"])
+            lists = [pa.array(x, pa.list_(t)) for x, t in ((places, pa.int32()), (hashes, pa.int64()), (seconds, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(squeezed, pa.binary()), *lists], ["doc_id", "row", "z", "places", "hashes", "seconds"])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_squeezed, text_bytes(b.column(1))), pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(_squeezed, text_bytes(b.column(2))), pa.binary())], ["doc_id", "row", "z"])
 
     def loosen(go):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return go(pa.RecordBatch.from_arrays([b.column(0), pa.array([zstandard.decompress(z) if z else b"" for z in b.column(1).to_pylist()], pa.binary()), *b.columns[2:]], b.schema.names) for b in batches)
+            return go(pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([zstandard.decompress(z) if z else b"" for z in b.column(2).to_pylist()], pa.binary()), *b.columns[3:]], b.schema.names) for b in batches)
 
         return run
 
-    # one compressed shuffle of the texts
-    involved = thin.mapInArrow(squeeze, "doc_id long, z binary").join(wanted, "doc_id").select("doc_id", "z", "wanted")
-    involved = scratch.cut(involved.mapInArrow(loosen(windows), "doc_id long, z binary, places array<int>, hashes array<long>"))
-    texts = involved.select("doc_id", "z")
-    rows = involved.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select(F.col("x.hashes").alias("w"), "doc_id", F.col("x.places").alias("place"))
-    sources = rows.groupBy("w").agg(F.min(F.struct("doc_id", "place")).alias("s"), F.max("doc_id").alias("most")).where("s.doc_id < most").select("w", F.col("s.doc_id").alias("source"), F.col("s.place").alias("at"))
-    sources = scratch.cut(sources)
-    matched = rows.select("w", "doc_id").join(sources, "w").where("source < doc_id")
-    n_docs = wanted.count()
-    shards = 1 + n_docs // SHARD_DOCS
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    # one compressed shuffle of the texts; equal rows leave one
+    involved = thin.mapInArrow(squeeze, "doc_id long, row long, z binary").join(wanted, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "z", "wanted")
+    involved = scratch.cut(involved.mapInArrow(loosen(windows), "doc_id long, row long, z binary, places array<int>, hashes array<long>, seconds array<long>"))
+    texts = involved.select("doc_id", "row", "z")
+    rows = involved.select("doc_id", "row", F.explode(F.arrays_zip("hashes", "seconds", "places")).alias("x")).select(F.col("x.hashes").alias("w"), F.col("x.seconds").alias("w2"), "doc_id", "row", F.col("x.places").alias("place"))
+    sources = rows.groupBy("w", "w2").agg(F.min(F.struct("doc_id", "row", "place")).alias("s"), F.max("doc_id").alias("most")).where("s.doc_id < most")
+    sources = scratch.cut(sources.select("w", "w2", F.col("s.doc_id").alias("source"), F.col("s.row").alias("source_row"), F.col("s.place").alias("at")))
+    matched = rows.select("w", "w2", "doc_id", "row").join(sources, ["w", "w2"]).where("source < doc_id")
+    receivers = scratch.cut(matched.select("doc_id", "row").distinct())
+    scanned = scratch.cut(texts.join(receivers, ["doc_id", "row"], "left_semi"))
+    size = scanned.agg(F.sum(F.octet_length("z"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 + size // SHARD_BYTES)).cast("int").alias("shard")
     # each shard and source once, with the places of the source's windows: combined before the shuffle
-    sent = matched.select(shard.alias("shard"), "source", "at").distinct().groupBy("shard", "source").agg(F.collect_set("at").alias("ats"))
-    receivers = scratch.cut(matched.select("doc_id").distinct())
+    sent = matched.select(shard, "source", "source_row", "at").distinct().groupBy("shard", "source", "source_row").agg(F.collect_set("at").alias("ats"))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shard_, source, body = [], [], []
-            for s, doc, ats, text in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(1).to_pylist()):
+            for doc, text, s, ats in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4))):
                 words = text.split()
                 for lo, hi in runs(np.sort(np.array(ats))):
                     shard_.append(s), source.append(doc), body.append(_squeezed(b" ".join(words[lo : hi + SPAN])))
             yield pa.RecordBatch.from_arrays([pa.array(shard_, pa.int32()), pa.array(source, pa.int64()), pa.array(body, pa.binary())], ["shard", "source", "z"])
 
-    phrases = sent.withColumnRenamed("source", "doc_id").join(texts, "doc_id").select("doc_id", "z", "shard", "ats").mapInArrow(loosen(passages), "shard int, source long, z binary")
-    scanned = texts.join(receivers, "doc_id", "left_semi").select(shard.alias("shard"), "doc_id", "z")
-    schema = "doc_id long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    known = sent.withColumnsRenamed({"source": "doc_id", "source_row": "row"}).join(texts, ["doc_id", "row"]).select("doc_id", "row", "z", "shard", "ats")
+    phrases = known.mapInArrow(loosen(passages), "shard int, source long, z binary")
+    schema = "found_id long, found_row long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         machine = Automaton([(s, zstandard.decompress(z).split()) for s, z in zip(right.source, right.z)])
         out = []
-        for doc, z in zip(left.doc_id, left.z):
+        for doc, row, z in zip(left.doc_id, left.row, left.z):
             words = zstandard.decompress(z).split()
             gone = machine.covered(doc, words)
             kept = b" ".join([w for w, g in zip(words, gone) if not g])
-            out.append((doc, int(gone.sum()), sha256_hex(kept), *([kept.decode()] if with_text else [])))
+            out.append((doc, row, int(gone.sum()), sha256_hex(kept), *([kept.decode()] if with_text else [])))
         return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    found = scratch.cut(scanned.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInPandas(scan, schema))
-    info = every.select("doc_id", "n_words", "sha")
-    named = info.join(firsts, "sha", "left")
-    out = named.join(found.withColumnRenamed("doc_id", "found_id"), (F.col("doc_id") == F.col("found_id")) & (F.col("doc_id") == F.col("first")), "left")
-    copy = F.col("doc_id") > F.col("first")  # null for short texts
-    nothing = F.sha2(F.lit(""), 256)
-    columns = ["doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(copy, nothing).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256")]
+    found = scratch.cut(scanned.select(shard, "doc_id", "row", "z").groupBy("shard").cogroup(phrases.groupBy("shard")).applyInPandas(scan, schema))
+    info = every.select("doc_id", "row", "n_words", "sha")
+    named = info.join(firsts.select("sha", F.col("doc_id").alias("first"), F.col("row").alias("first_row")), "sha", "left")
+    # a row of the first id answers as its first row does, whose words are the same
+    out = named.join(found, (F.col("doc_id") == F.col("found_id")) & (F.col("first_row") == F.col("found_row")) & (F.col("doc_id") == F.col("first")), "left")
+    copy = F.col("doc_id") > F.col("first")  # null for short texts and rows without an id
+    nothing, whole = F.sha2(F.lit(""), 256), F.lower(F.hex("sha"))
+    columns = ["doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(copy, nothing).otherwise(F.coalesce("kept_sha256", whole)).alias("kept_sha256")]
     if not with_text:
         return out.select(*columns)
     plain = F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
-    whole = thin.select(F.col("doc_id").alias("own_id"), F.coalesce(plain, F.lit("")).alias("own")).dropDuplicates(["own_id"])
-    return out.join(whole, F.col("doc_id") == F.col("own_id")).select(*columns, F.when(copy, F.lit("")).otherwise(F.coalesce("kept", "own")).alias("kept"))
+    own = thin.select(F.col("doc_id").alias("own_id"), F.col("row").alias("own_row"), F.coalesce(plain, F.lit("")).alias("own")).dropDuplicates(["own_id", "own_row"])
+    return out.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row") == F.col("own_row"))).select(*columns, F.when(copy, F.lit("")).otherwise(F.coalesce("kept", "own")).alias("kept"))
