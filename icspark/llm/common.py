@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import atexit
 import hashlib
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from icspark.sources.staging import ranked, shared_folder
+
 #: Rows per Arrow batch for text; keeps a Python worker's memory small when texts are long.
 TEXT_BATCH_ROWS = 500
 #: Distinct words that a Python worker remembers before it starts afresh.
@@ -28,17 +31,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="icspark-"))
-    return jsc.getCheckpointDir().get()
-
-
 class Scratch:
     """Written tables that cut lineage. A lost executor costs only the stage that was running."""
 
@@ -57,6 +49,12 @@ class Scratch:
         out._icspark_path = path  # keeps the pairing when ids are reused
         return out
 
+    def watched(self, df: DataFrame, *sums) -> tuple[DataFrame, tuple]:
+        """df written, and aggregates of it that are taken on the way."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, *[x.alias(f"x{k}") for k, x in enumerate(sums)]))
+        return out, tuple(seen.get[f"x{k}"] for k in range(len(sums)))
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for df in frames:
@@ -75,33 +73,73 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Edges that one union-find inside a task holds.
+FOREST_EDGES = 500_000
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) as stars (u, v) of the same components, by union-find over FOREST_EDGES at a time."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while (above := up.get(root, root)) != root:
+            root = above
+        while x != root:
+            up[x], x = root, up[x]
+        return root
+
+    def stars() -> pa.RecordBatch:
+        rows = [(x, top(x)) for x in up]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    for t in batches:
+        for a, b in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
+            x, y = top(a), top(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if len(up) > FOREST_EDGES:
+            yield stars()
+    if up:
+        yield stars()
+
+
 def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     edges: columns a, b (long). Returns (id, root) for every node that is not its own root;
-    root is the smallest id reachable. Each round is two grouped minima and two joins, all
+    root is the smallest id reachable. Edges become stars inside each task first. Each round is two grouped minima and two joins, all
     shuffled by key; joins are left to adaptive skew splitting, minima combine before the
-    shuffle. Nothing is gathered on the driver but two sums that show a fixed point.
+    shuffle. Nothing is gathered on the driver but two sums a round, taken while it is written, that show a fixed point.
     """
-    now = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    for _ in range(most_rounds):
-        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark or not seen[0]:
-            break
-        mark = seen
+    mark = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    now, seen = scratch.watched(edges.select("a", "b").where("a <> b").mapInArrow(_forests, "u long, v long").distinct(), *mark)
+    rounds = 0
+    while seen[0]:
+        if rounds == most_rounds:  # they grow with the logarithm of the nodes
+            raise RuntimeError(f"no fixed point of the components after {most_rounds} rounds")
+        rounds += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.cut(large)
-        least = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = scratch.cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        then = scratch.cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        scratch.drop(now, low, large, least)
-        now = then
+        then, after = scratch.watched(moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), *mark)
+        scratch.drop(now, large)
+        now, seen, before = then, after, seen
+        if seen == before:
+            break
     return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
 
 
+def numbered(scratch: Scratch, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """rows (id_col, row, ...) with a distinct long `node` that stands in the order of (id, row): the id itself unless an id has several rows."""
+    if rows.groupBy(id_col).count().where("count > 1").isEmpty():
+        return rows.withColumn("node", F.col(id_col))
+    return scratch.cut(ranked(rows, [id_col, "row"], "node")[0])
+
+
 class WordHash(dict):
     """Word (bytes) to a 64-bit hash, computed once per worker and word."""
 
@@ -161,8 +199,6 @@ def sha256_hex(data: bytes) -> str:
 
 def text_bytes(column) -> list[bytes]:
     """UTF-8 of an Arrow string column; null gives b''."""
-    import pyarrow as pa
-
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
@@ -186,8 +222,6 @@ def give_back() -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -7,16 +7,17 @@ step that no slot can still gain from. The bands follow the threshold: a pair at
 is missed with probability below 1e-6 (26 bands of 5 slots at 0.85, 38 of 5 at 0.8).
 
 1. One pass over the texts writes set size, sequence digest, bands and a one-byte-a-slot signature.
-2. Equal word sequences collapse to their smallest id.
+2. Equal word sequences collapse to the row of their smallest id, a node. Rows are told apart by id and text.
 3. In every bucket of equal bands, members are paired with the smallest member only. Buckets
    whose members then still lie in several components are compared in full, in tiles of bounded size,
-   by signature; only pairs that look similar and lie in different components leave a tile.
-4. Every pair so found is confirmed on the full shingle sets before it links.
+   by signature; the texts of only those members are fetched that look similar to one of another component.
+4. Every pair so found is confirmed on the full shingle sets before it links. Only texts of such pairs travel.
 5. Links become components by alternating star rounds.
 
 Defined cases: null and empty texts have no shingles and link with nothing; fewer words than
-a shingle are one shingle; repeated rows of an id are one document each with the same result; an empty
-table gives no rows; other columns are ignored.
+a shingle are one shingle; repeated rows of an id are answered each with the same result, and several texts of an id each by
+itself; a row without an id links with nothing, has no component and is kept; of a component all rows of its smallest
+id are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icspark.llm.common import Scratch, components, mixed, small_batches, text_bytes, window_hashes, word_hashes
+from icspark.llm.common import Scratch, components, mixed, numbered, small_batches, text_bytes, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 5, 85
 ROWS, MISSED, MOST_SLOTS = 5, 3e-7, 255
@@ -55,10 +56,10 @@ def least_agree(percent: int) -> float:
 
 BANDS = banding(PERCENT)[0]
 SLOTS = BANDS * ROWS
-#: Members of a bucket that one tile holds; shingles that one vector step holds.
+#: Members of a set that one tile holds, on either side; shingles that one vector step holds.
 TILE, STEP_SHINGLES = 128, 150_000
-#: A bucket with more members is hot. Rows of a table that may be broadcast.
-HOT_BUCKET, MOST_BROADCAST = 64, 100_000
+#: A bucket with more members is hot. Rows of three numbers that may be broadcast.
+HOT_BUCKET, MOST_BROADCAST = 64, 500_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -123,12 +124,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs: doc_id, text. Gives doc_id, n_shingles, seq, bands, sig."""
+    """docs: doc_id, row, text. Gives doc_id, row, n_shingles, seq, bands, sig."""
     bands, rows = banding(percent)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [words_of(t) for t in text_bytes(b.column(1))]
+            words = [words_of(t) for t in text_bytes(b.column(2))]
             sets = [shingles(w) for w in words]
             sig = signatures(sets, bands * rows)
             keys = band_keys(sig, bands, rows).view(np.int64)
@@ -137,22 +138,23 @@ def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
+                    b.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() if ok else None for w, ok in zip(words, some)], pa.binary()),
                     pa.array([k.tolist() if ok else None for k, ok in zip(keys, some)], pa.list_(pa.int64())),
                     pa.array([x.tobytes() if ok else None for x, ok in zip(low, some)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "seq", "bands", "sig"],
+                ["doc_id", "row", "n_shingles", "seq", "bands", "sig"],
             )
 
-    return docs.mapInArrow(go, "doc_id long, n_shingles long, seq binary, bands array<long>, sig binary")
+    return docs.mapInArrow(go, "doc_id long, row long, n_shingles long, seq binary, bands array<long>, sig binary")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough."""
     least = least_agree(percent)
-    x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    both = x.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
+    x = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+    both = x.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -164,10 +166,18 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(go, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar. Texts meet by id; b may be hot, its joins split."""
-    left = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def texts_of(scratch: Scratch, wanted: DataFrame, chosen: DataFrame, thin: DataFrame) -> DataFrame:
+    """wanted: node. (node, text), written: each node's text once, and no others."""
+    rows = chosen.select("node", "doc_id", "row").join(wanted.distinct(), "node")
+    return scratch.cut(thin.join(rows, ["doc_id", "row"]).dropDuplicates(["node"]).select("node", "text"))
+
+
+def confirm(scratch: Scratch, pairs: DataFrame, chosen: DataFrame, thin: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets are similar, written. Texts meet by node; b may be hot, its joins split."""
+    pairs = scratch.cut(pairs)
+    texts = texts_of(scratch, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), chosen, thin)
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = None, None
@@ -179,16 +189,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
                 keep.append(similar(shingles(words_of(x)), last, percent))
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(go, "a long, b long")
+    return scratch.cut(both.mapInArrow(go, "a long, b long"))
 
 
 def _unmet(open_rows: DataFrame, percent: int) -> DataFrame:
-    """open_rows: k, hub, doc_id, root, sig of small buckets with several components. Pairs that agree across components."""
+    """open_rows: k, hub, node, root, sig of small buckets with several components. Pairs that agree across components."""
     least = least_agree(percent)
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), -1)
-        ids, root, hub = (pdf[c].to_numpy() for c in ("doc_id", "root", "hub"))
+        ids, root, hub = (pdf[c].to_numpy() for c in ("node", "root", "hub"))
         out = []
         for x in np.flatnonzero(ids != hub).tolist():  # pairs with the hub were tried
             y = np.flatnonzero((ids > ids[x]) & (root != root[x]))
@@ -198,23 +208,44 @@ def _unmet(open_rows: DataFrame, percent: int) -> DataFrame:
     return open_rows.groupBy("k").applyInPandas(go, "a long, b long").distinct()
 
 
-def _joined_in_tiles(members: DataFrame, percent: int) -> DataFrame:
-    """members: doc_id, root, g, size, sig, text of large sets of documents that may be similar.
+_TILED = "g long, i int, j int, own int, node long, root long, n_shingles long, sig binary"
+
 
-    Every pair of a set meets in one tile. There a union-find over components skips what is
-    already joined, signatures sift, full shingle sets decide, and only joining links leave.
+def _alike(pdf: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Members of a tile, by place, with those on its other side whose size and signature look similar, in other components."""
+    sig, least = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), -1), least_agree(percent)
+    root, own, size = (pdf[c].to_numpy() for c in ("root", "own", "n_shingles"))
+    first, second = np.flatnonzero(own == pdf.i.iloc[0]), np.flatnonzero(own == pdf.j.iloc[0])
+    for x in first.tolist():
+        y = second[(root[second] != root[x]) & (100 * np.minimum(size[second], size[x]) >= percent * np.maximum(size[second], size[x]))]
+        y = y[(sig[y] == sig[x]).mean(1) >= least]
+        if len(y):
+            yield x, y
+
+
+def _open_in_tiles(members: DataFrame, percent: int) -> DataFrame:
+    """members: node, root, g, size, n_shingles, sig of large sets that may be similar. The members of each tile that look similar to one of another component.
+
+    Every pair of a set meets in one tile; only signatures travel to it.
     """
-    least = least_agree(percent)
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    placed = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), tiles).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    placed = members.withColumn("own", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), tiles - 1)))
     placed = placed.withColumn("i", F.least("own", "t")).withColumn("j", F.greatest("own", "t"))
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", ignore_index=True)
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), -1)
-        ids, own = pdf.doc_id.to_numpy(), pdf.own.to_numpy()
+        met = {k for x, y in _alike(pdf, percent) for k in (x, *y.tolist())}
+        return pdf.iloc[sorted(met)]
+
+    return placed.select(*[x.split()[0] for x in _TILED.split(", ")]).groupBy("g", "i", "j").applyInPandas(go, _TILED)
+
+
+def _joined_in_tiles(members: DataFrame, percent: int) -> DataFrame:
+    """members: as `_open_in_tiles` gives them, with text. A union-find over components skips what is already joined, full shingle sets decide, and only joining links leave."""
+
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        ids, root = pdf.node.to_numpy(), pdf.root.to_numpy()
         sets = [shingles(words_of(t.encode())) for t in pdf.text]
-        size = np.array([len(s) for s in sets])
         up: dict[int, int] = {}
 
         def top(r: int) -> int:
@@ -222,11 +253,8 @@ def _joined_in_tiles(members: DataFrame, percent: int) -> DataFrame:
                 r = up[r]
             return r
 
-        root, out = pdf.root.to_numpy().copy(), []
-        first, second = np.flatnonzero(own == pdf.i.iloc[0]), np.flatnonzero(own == pdf.j.iloc[0])
-        for x in first.tolist():
-            y = second[root[second] != root[x]]
-            y = y[(100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])) & ((sig[y] == sig[x]).mean(1) >= least)]
+        out = []
+        for x, y in _alike(pdf, percent):
             for k in y.tolist():
                 a, b = top(root[x]), top(root[k])
                 if a != b and similar(sets[x], sets[k], percent):
@@ -234,51 +262,54 @@ def _joined_in_tiles(members: DataFrame, percent: int) -> DataFrame:
                     out.append((max(ids[x], ids[k]), min(ids[x], ids[k])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return placed.groupBy("g", "i", "j").applyInPandas(go, "a long, b long").distinct()
+    return members.groupBy("g", "i", "j").applyInPandas(go, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; with_row adds `row`, the hash of its text."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     every = scratch.cut(sketch(thin, percent))
-    reps = scratch.cut(every.where("n_shingles > 0").groupBy("seq").agg(F.min("doc_id").alias("rep")))
-    chosen = scratch.cut(every.where("n_shingles > 0").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sig"))
-    sigs = chosen.select("doc_id", "sig")
-    keyed = chosen.select("doc_id", F.explode("bands").alias("k"))
-    hubs = scratch.cut(keyed.groupBy("k").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    able = every.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    # each word sequence once, as the row of its smallest id
+    least = able.groupBy("seq").agg(F.min(F.struct("doc_id", "row")).alias("s"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")])
+    chosen = numbered(scratch, scratch.cut(least.select("seq", "s.doc_id", "s.row", "n_shingles", "bands", "sig")))
+    sigs = chosen.select("node", "sig")
+    keyed = chosen.select("node", F.explode("bands").alias("k"))
+    hubs = scratch.cut(keyed.groupBy("k").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = scratch.cut(keyed.join(hubs, "k"))  # members of buckets of two or more
-    pairs = scratch.cut(met.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
-    links = scratch.cut(confirm(scratch.cut(_agreeing(pairs, sigs, percent)), thin, percent))
-    roots = scratch.cut(components(scratch, links))
+    pairs = scratch.cut(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    links = confirm(scratch, _agreeing(pairs, sigs, percent), chosen, thin, percent)
+    roots = scratch.cut(components(scratch, links)).withColumnRenamed("id", "node")
     # buckets of three or more that the stars left in pieces
-    labelled = met.where("n > 2").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    labelled = scratch.cut(labelled)
+    labelled = scratch.cut(met.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     broken = scratch.cut(labelled.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"))
     open_rows = scratch.cut(labelled.join(broken, "k"))
-    small = open_rows.where(F.col("n") <= HOT_BUCKET).join(sigs, "doc_id").select("k", "hub", "doc_id", "root", "sig")
-    more = scratch.cut(confirm(scratch.cut(_unmet(small, percent)), thin, percent))
+    small = open_rows.where(F.col("n") <= HOT_BUCKET).join(sigs, "node").select("k", "hub", "node", "root", "sig")
+    more = confirm(scratch, _unmet(small, percent), chosen, thin, percent)
     # hot buckets that share members form sets; each set is compared once, whatever its buckets
-    hot = scratch.cut(open_rows.where(F.col("n") > HOT_BUCKET).select("doc_id", "hub", "root").distinct())
+    hot = scratch.cut(open_rows.where(F.col("n") > HOT_BUCKET).select("node", "hub", "root").distinct())
     if not hot.isEmpty():
-        sets = scratch.cut(components(scratch, hot.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))))
-        within = hot.select("doc_id", "root").distinct().join(sets.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce(sets["root"], "doc_id")).drop(sets["root"])
-        within = scratch.cut(within)
+        sets = scratch.cut(components(scratch, hot.select(F.col("node").alias("a"), F.col("hub").alias("b")))).select(F.col("id").alias("node"), F.col("root").alias("set"))
+        within = scratch.cut(hot.select("node", "root").distinct().join(sets, "node", "left").select("node", "root", F.coalesce("set", "node").alias("g")))
         size = scratch.cut(within.groupBy("g").agg(F.count(F.lit(1)).alias("size")))
-        members = within.join(F.broadcast(size) if size.count() <= MOST_BROADCAST else size, "g").join(sigs, "doc_id").join(thin, "doc_id")
-        more = more.unionByName(scratch.cut(_joined_in_tiles(members, percent)))
+        members = within.join(F.broadcast(size) if size.count() <= MOST_BROADCAST else size, "g").join(chosen.select("node", "n_shingles", "sig"), "node")
+        still = scratch.cut(_open_in_tiles(members, percent))
+        more = more.unionByName(scratch.cut(_joined_in_tiles(still.join(texts_of(scratch, still.select("node"), chosen, thin), "node"), percent)))
     if not more.isEmpty():
-        roots = scratch.cut(components(scratch, links.unionByName(more)))
-    named = every.select("doc_id", "n_shingles", "seq").join(reps, "seq", "left").drop("seq")
-    out = named.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("root", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+        roots = scratch.cut(components(scratch, links.unionByName(more))).withColumnRenamed("id", "node")
+    heads = chosen.select(F.col("node").alias("root"), F.col("doc_id").alias("head"))
+    placed = chosen.select("seq", "node", F.col("doc_id").alias("own")).join(roots, "node", "left").join(heads, "root", "left")
+    named = every.join(placed.select("seq", F.coalesce("head", "own").alias("smallest")), "seq", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+    return named.select("doc_id", *["row"] * with_row, "n_shingles", component.alias("component_id"), kept)
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group, that of the smallest id; rows without an id stay."""
-    kept = groups(docs.where(F.col("doc_id").cast("long").isNotNull()), percent).where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
+    """docs with one document of each group, that of the smallest id, and the rows without an id; every row is decided by itself."""
+    kept = groups(docs, percent, with_row=True).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row")).distinct()
     key = docs["doc_id"].cast("long")
-    return docs.join(kept, key == F.col("kept_doc_id"), "left_semi").union(docs.where(key.isNull()))
+    return docs.join(kept, (key == F.col("kept_id")) & (F.xxhash64(docs["text"]) == F.col("kept_row")), "left_semi").union(docs.where(key.isNull()))
