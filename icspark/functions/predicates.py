@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,16 @@ def _kind(value: Literal) -> str:
 
 
 def _type_kind(kind: T.DataType) -> str:
-    return "bool" if isinstance(kind, T.BooleanType) else "num" if isinstance(kind, T.NumericType) else "str" if isinstance(kind, T.StringType) else "other"
+    kinds = {"bool": T.BooleanType, "num": T.NumericType, "str": T.StringType, "time": (T.DateType, T.TimestampType, T.TimestampNTZType)}
+    return next((name for name, types in kinds.items() if isinstance(kind, types)), "other")
+
+
+def _moment(value: Literal) -> str | None:
+    """A literal that is the text of a date or a time, in the usual form."""
+    try:
+        return datetime.datetime.fromisoformat(value).isoformat(sep=" ") if isinstance(value, str) else None
+    except ValueError:
+        return None
 
 
 def compare(column: Column, kind: T.DataType, op: str, value: Literal) -> Column:
@@ -27,13 +38,16 @@ def compare(column: Column, kind: T.DataType, op: str, value: Literal) -> Column
         column, have = column.cast("int"), "num"
     if have == "num" and given == "bool":
         given, value = "num", int(value)
+    lit = F.lit(value)
+    if have == "time" and (moment := _moment(value)):  # a day means its first moment
+        given, lit = "time", F.lit(moment).cast("timestamp_ntz" if isinstance(kind, T.TimestampNTZType) else "timestamp")
+        column = column.cast("timestamp") if isinstance(kind, T.DateType) else column
     if have != given:
         if op == "==":
             return F.lit(False)
         if op == "!=":
             return F.lit(True)
         raise TypeError(f"can't order {kind.simpleString()} and {value!r}")
-    lit = F.lit(value)
     if op == "==":
         return F.coalesce(column == lit, F.lit(False))
     if op == "!=":
@@ -46,12 +60,11 @@ def in_cell(column: Column, kind: T.DataType, value: str) -> Column:
     """A cell of a conditional dependency: a value, or `lo-hi` on a numeric column."""
     if _type_kind(kind) == "num":
         low, dash, high = value.partition("-") if not value.startswith("-") else (value, "", "")
-        if dash and high:
-            return F.coalesce(column.between(float(low), float(high)), F.lit(False))
         try:
-            return F.coalesce(column == float(value), F.lit(False))
-        except ValueError:
+            made = column.between(float(low), float(high)) if dash and high else column == float(value)
+        except ValueError:  # no number: nothing equals it
             return F.lit(False)
+        return F.coalesce(made, F.lit(False))
     return F.coalesce(column.cast("string") == value, F.lit(False))
 
 

@@ -11,33 +11,40 @@ from pyspark.sql import types as T
 
 #: The strings that CSV readers of data-science tools take for missing.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+#: What a cell of each type looks like; the first type that all cells of a column fit is the column's.
+_LOOKS = {"boolean": r"(?i)^(true|false)$", "bigint": r"^[+-]?[0-9]{1,18}$", "double": r"(?i)^[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf|infinity)$"}
 
 
-def missing_to_null(df: DataFrame) -> DataFrame:
-    """NaN and missing-value strings become null, so aggregates skip them."""
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV file or folder with a header. Missing-value strings are null; a column is boolean, whole, decimal or text, whichever fits all its other cells.
+
+    Types come from one pass over the whole text. Dates stay text, and compare as such. Quotes inside quotes are doubled;
+    quoted line breaks need multi_line, which reads a file in one task.
+    """
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
+    cells = {c: F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")) for c in raw.columns}
+    names = list(cells)
+    tests = [F.coalesce(F.every(F.trim(cells[c]).rlike(look)), F.lit(t == "double")).alias(f"t{k}_{t}") for k, c in enumerate(names) for t, look in _LOOKS.items()]
+    fits = raw.agg(*tests).first() if names else {}
     out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(~F.isnan(c), c).alias(f.name)
-        elif isinstance(f.dataType, T.StringType):
-            c = F.when(~c.isin(*NA_TOKENS), c).alias(f.name)
-        out.append(c)
-    return df.select(*out)
+    for k, c in enumerate(names):
+        kind = next((t for t in _LOOKS if fits[f"t{k}_{t}"]), "string")
+        # any spelling of infinity
+        value = F.regexp_replace(F.trim(cells[c]), r"(?i)inf(inity)?$", "Infinity") if kind == "double" else cells[c] if kind == "string" else F.trim(cells[c])
+        out.append(value.cast(kind).alias(c))
+    return raw.select(*out)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet or CSV table by its suffix. CSV has a header and inferred types."""
-    if path.endswith(".csv"):
-        return missing_to_null(spark.read.csv(path, header=True, inferSchema=True))
-    return spark.read.parquet(path)
+    """A Parquet or CSV table by its suffix."""
+    return read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """CSV (with header) or Parquet by the suffix; list columns reach CSV as JSON text."""
+    """CSV (with header, as `read_csv` reads it) or Parquet by the suffix; list columns reach CSV as JSON text."""
     if path.endswith(".csv"):
         flat = [F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
-        df.select(*flat).write.mode("overwrite").csv(path, header=True)
+        df.select(*flat).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
     else:
         df.write.mode("overwrite").parquet(path)
 
