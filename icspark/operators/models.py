@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -153,25 +154,32 @@ def load(spark: SparkSession, path: str) -> tuple[PipelineModelAdapter, Program
 
 @dataclass
 class Registry:
-    """Models and their programs by path. With a session, an unknown path is looked for under `models/`, then as it is."""
+    """Models and their programs by path, or by `kind:path` where kinds share a path.
+
+    With a session, an unknown path is looked for under `models/`, then as it is, and read by the loader of its kind.
+    """
 
     models: dict[str, Model] = field(default_factory=dict)
     programs: dict[str, Program] = field(default_factory=dict)
     spark: SparkSession | None = None
     roots: tuple[str, ...] = ("models/", "")
+    loaders: dict[str, Callable[[SparkSession, str], tuple[Model, Program | None]]] = field(default_factory=lambda: {"": load, "mllib": load})
 
     def get(self, path: str, kind: str = "") -> Model:
-        if path not in self.models and self.spark is not None:
+        for name in (f"{kind}:{path}", path):
+            if name in self.models:
+                return self.models[name]
+        if self.spark is not None:
+            if kind not in self.loaders:
+                raise ValueError(f"no loader for models of kind {kind!r}; there are {sorted(k for k in self.loaders if k)}")
             for root in self.roots:
                 try:
-                    self.models[path], program = load(self.spark, root + path)
+                    self.models[f"{kind}:{path}"], program = self.loaders[kind](self.spark, root + path)
                 except AnalysisException as e:
                     if e.getCondition() != "PATH_NOT_FOUND":
                         raise
                     continue
                 if program:
                     self.programs[path] = program
-                break
-        if path not in self.models:
-            raise KeyError(f"no model {path!r} of kind {kind!r} is registered")
-        return self.models[path]
+                return self.models[f"{kind}:{path}"]
+        raise KeyError(f"no model {path!r} of kind {kind!r} is registered")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from icspark.functions.predicates import aggregate, compare
+from icspark.operators.analysis import Analyst
 from icspark.operators.guard import Guard, guarded
 from icspark.operators.models import Registry
 from icspark.plans.grammar import Case, Condition, Operand, QueryError, QuerySpec, parse
@@ -24,8 +25,8 @@ def _col(name: str) -> Column:
 class Plan:
     """One query being planned: the frame so far and the prediction columns it holds."""
 
-    def __init__(self, spec: QuerySpec, catalog: Catalog, models: Registry, guards: dict[str, Guard] | None):
-        self.spec, self.models, self.guards = spec, models, guards or {}
+    def __init__(self, spec: QuerySpec, catalog: Catalog, models: Registry, guards: dict[str, Guard] | None, analyst: Analyst | None = None):
+        self.spec, self.models, self.guards, self.analyst = spec, models, guards or {}, analyst
         self.df = catalog.load(spec.dataset, spec.version)
         self.base = list(self.df.columns)
         self.predicted: dict[int, str] = {}
@@ -38,7 +39,10 @@ class Plan:
             name = f"{model.label} [predicted]"
             while name in self.df.columns:
                 name += "'"
-            self.df = guarded(self.df, model, self.guards.get(ref.path, Guard()), name)
+            guard = self.guards.get(ref.path, Guard())
+            if self.analyst:
+                self.analyst.see(self.df, model, ref.path, guard)
+            self.df = guarded(self.df, model, guard, name)
             self.predicted[number] = name
         return self.predicted[number]
 
@@ -123,6 +127,10 @@ class Plan:
         return self.df.groupBy(_col(k)).agg(aggregate(p.agg, _col(name), kind).alias(f"{p.agg}({name})"))
 
 
-def run_query(text: str, catalog: Catalog, models: Registry | None = None, guards: dict[str, Guard] | None = None, compat: bool = False) -> DataFrame:
-    """The result of a query text, lazily."""
-    return Plan(parse(text, compat), catalog, models or Registry(), guards).run()
+def run_query(text: str, catalog: Catalog, models: Registry | None = None, guards: dict[str, Guard] | None = None, compat: bool = False, analyst: Analyst | None = None) -> DataFrame:
+    """The result of a query text, lazily. An analyst looks at each prediction while the query is planned, with actions of its own."""
+    spec = parse(text, compat)
+    if analyst:
+        dataset = spec.dataset + (f".{spec.version}" if spec.version else "")
+        analyst.begin(text.strip().splitlines()[0], dataset, {m.path: m.kind for m in spec.models.values()})
+    return Plan(spec, catalog, models or Registry(), guards, analyst).run()
