@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-import re
+import warnings
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icspark.functions.predicates import in_cell
-from icspark.operators.program import Branch, Program, Statement, force_fit, kept_branches, branch_counts
+from icspark.operators.program import Branch, Program, Statement, branch_counts, force_fit
 from icspark.operators.structure import shifted_pairs
 
 
@@ -22,11 +23,24 @@ def _c(name: str):
 
 
 def group_counts(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[int, int]]:
-    """(rows, distinct combinations, null as a value) of column sets, one aggregation for all of a level."""
+    """(rows, distinct combinations, null as a value) of column sets: each set is grouped by itself, combined before its shuffle, all in one job."""
     if not sets:
         return {}
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.countDistinct(F.struct(*map(_c, s))).alias(f"d{k}") for k, s in enumerate(sets)]).first()
-    return {s: (row["n"], row[f"d{k}"]) for k, s in enumerate(sets)}
+    parts = [df.groupBy(*map(_c, s)).agg(F.count(F.lit(1)).alias("n")).agg(F.lit(k).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("d")) for k, s in enumerate(sets)]
+    found = reduce(DataFrame.unionByName, parts).collect()
+    return {sets[r["k"]]: (r["n"], r["d"]) for r in found}
+
+
+def partition_classes(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
+    """The stripped partition of a column set, row by row: (class values, size, key) of classes of two rows or more, null as a value.
+
+    The product of two partitions is that of the union of their columns. A class is never gathered; its size comes from a grouped count.
+    """
+    on = [_c(c) for c in columns]
+    sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = sizes.select(*[_c(c).alias(f"_k{k}") for k, c in enumerate(columns)], "size")
+    same = reduce(and_, [_c(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(columns)])
+    return df.join(sizes, same).select(*on, "size", *map(_c, key))
 
 
 def fd_error(df: DataFrame, left: list[str], right: str) -> DataFrame:
@@ -39,6 +53,14 @@ def fd_error(df: DataFrame, left: list[str], right: str) -> DataFrame:
 def functional_dependencies(df: DataFrame, columns: list[str] | None = None, most_left: int = 3) -> list[tuple[tuple[str, ...], str]]:
     """Minimal dependencies by levelwise search with candidate right-hand sides; partitions are compared by their counts."""
     columns = sorted(columns or df.columns)
+    rows = df.select(*map(_c, columns)).persist()  # each level counts it anew
+    try:
+        return _lattice(rows, columns, most_left)
+    finally:
+        rows.unpersist()
+
+
+def _lattice(df: DataFrame, columns: list[str], most_left: int) -> list[tuple[tuple[str, ...], str]]:
     full, out = frozenset(columns), []
     held: dict[tuple[str, ...], int] = {(): 1}
     rows = 0
@@ -94,22 +116,42 @@ class Cfd:
 
 
 def parse_cfd(line: str) -> Cfd:
-    """`(A=v, B=w) => C=z`"""
-    m = re.fullmatch(r"\s*\((.*)\)\s*=>\s*([^=]+)=(.*?)\s*", line)
-    if not m:
+    """`(A=v, B=w) => C=z`; cells on the left without `=` are passed over."""
+    left, arrow, right = (x.strip() for x in line.partition("=>"))
+    if not arrow or not left.startswith("(") or not left.endswith(")") or "=" not in right:
         raise ValueError(f"no conditional dependency: {line!r}")
-    cells = [tuple(x.strip() for x in part.split("=", 1)) for part in m[1].split(",") if part.strip()]
-    return Cfd(tuple(cells), (m[2].strip(), m[3].strip()))
+    cell = lambda x: tuple(y.strip() for y in x.split("=", 1))
+    return Cfd(tuple(cell(x) for x in left[1:-1].split(",") if "=" in x), cell(right))
+
+
+def parse_cfds(lines: Iterable[str]) -> dict[int, Cfd]:
+    """Dependencies by the number of their line, from 1. Lines that are none are passed over with a warning, blank ones without."""
+    found = {}
+    for k, line in enumerate(lines, 1):
+        try:
+            found[k] = parse_cfd(line)
+        except ValueError as e:
+            if line.strip():
+                warnings.warn(f"line {k}: {e}", stacklevel=2)
+    return found
 
 
-def apply_cfds(df: DataFrame, cfds: list[Cfd], name: str = "cfd_error") -> DataFrame:
-    """df with the comma-joined names CFD_<i> of the violated ones. Unknown columns on the left never match, on the right are skipped."""
+def read_cfds(path: str) -> dict[int, Cfd]:
+    """Dependencies of a text file, one a line."""
+    with open(path) as f:
+        return parse_cfds(f)
+
+
+def apply_cfds(df: DataFrame, cfds: Mapping[int, Cfd] | Sequence[Cfd], name: str = "cfd_error") -> DataFrame:
+    """df with the comma-joined names CFD_<number> of the violated ones; a sequence is numbered from 1.
+
+    Unknown columns on the left never match, on the right are skipped.
+    """
     marks = []
-    for k, d in enumerate(cfds):
-        if d.right[0] not in df.columns:
-            continue
-        cell = lambda a, v: in_cell(_c(a), df.schema[a].dataType, v) if a in df.columns else F.lit(False)
-        marks.append(F.when(reduce(and_, [cell(a, v) for a, v in d.left], F.lit(True)) & ~cell(*d.right), F.lit(f"CFD_{k}")))
+    cell = lambda a, v: in_cell(_c(a), df.schema[a].dataType, v) if a in df.columns else F.lit(False)
+    for k, d in sorted(cfds.items()) if isinstance(cfds, Mapping) else enumerate(cfds, 1):
+        if d.right[0] in df.columns:
+            marks.append(F.when(reduce(and_, [cell(a, v) for a, v in d.left], F.lit(True)) & ~cell(*d.right), F.lit(f"CFD_{k}")))
     return df.withColumn(name, F.concat_ws(", ", *marks) if marks else F.lit(""))
 
 
@@ -185,28 +227,62 @@ def fit_error(df: DataFrame, weights: dict[str, float], target: str) -> DataFram
     return df.agg(F.avg(r * r).alias("mse"), F.avg(r).alias("bias"))
 
 
-def bounded_search(df: DataFrame, columns: list[str], most_branches: int = 4, most_filters: int = 2, most_loss: float = 0.01) -> Program:
-    """Per dependent, up to most_branches disjoint-in-order branches of up to most_filters equalities, of highest coverage at bounded loss.
+#: Candidate branches of a dependent that the driver may hold.
+MOST_CANDIDATES = 100_000
+
+
+def _candidates(df: DataFrame, dep: str, dets: tuple[str, ...], most_branches: int, most_lost: int) -> list[tuple[int, int, dict, object]]:
+    """(support, loss, condition, value) of the branches that an optimum may hold: none that most_branches others without loss outdo."""
+    counts = branch_counts(df, dets, dep).where("value is not null").withColumn("lost", F.col("support") - F.col("mode_n"))
+    order = [F.desc("support"), *map(_c, dets)]
+    rows = counts.where("lost = 0").orderBy(*order).limit(most_branches).collect()
+    floor = rows[-1]["support"] if len(rows) == most_branches else 0
+    rows += counts.where((F.col("lost") > 0) & (F.col("lost") <= most_lost) & (F.col("support") > floor)).orderBy(*order).limit(MOST_CANDIDATES + 1).collect()
+    if len(rows) > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidate branches for {dets} -> {dep}; lower most_loss")
+    return [(r["support"], r["lost"], {d: r[d] for d in dets}, r["value"]) for r in rows]
+
+
+def _optimum(found: list[tuple[int, int, dict, object]], most_branches: int, most_lost: int) -> list[tuple[int, int, dict, object]]:
+    """Up to most_branches candidates of the largest total support with a total loss of most_lost at most, by branch and bound."""
+    best: tuple[int, int, list[int]] = (0, 0, [])
+    stack: list[tuple[int, int, int, list[int]]] = [(0, 0, 0, [])]
+    while stack:
+        at, total, lost, chosen = stack.pop()
+        if (-total, lost) < (-best[0], best[1]):
+            best = (total, lost, chosen)
+        room = most_branches - len(chosen)
+        if not room or at == len(found) or total + sum(c[0] for c in found[at : at + room]) <= best[0]:
+            continue
+        stack.append((at + 1, total, lost, chosen))
+        if lost + found[at][1] <= most_lost:
+            stack.append((at + 1, total + found[at][0], lost + found[at][1], [*chosen, at]))
+    return [found[k] for k in best[2]]
+
+
+def bounded_search(df: DataFrame, columns: list[str], most_branches: int = 4, most_filters: int = 2, most_loss: float = 0.01, best_only: bool = False) -> Program:
+    """Per dependent the up to most_branches different conditions, all of one number of filters up to most_filters, that cover most rows
+    at a loss of most_loss of the rows in all: an optimum, from grouped counts.
 
-    All branch candidates come from grouped counts; the choice is greedy by covered rows.
+    A row counts for each condition that it meets; the first that it meets gives its value. Mean coverage is largest for the best
+    statement alone, which best_only keeps.
     """
-    rows, statements = df.count(), []
-    for dep in columns:
-        others = [c for c in columns if c != dep]
-        found = []
-        for size in range(1, most_filters + 1):
-            for dets in itertools.combinations(others, size):
-                top = kept_branches(branch_counts(df, dets, dep), most_loss, 0).orderBy(F.desc("support"), *map(_c, dets)).limit(most_branches).collect()
-                found += [(r["support"], r["support"] - r["mode_n"], {d: r[k] for k, d in enumerate(dets)}, r["value"]) for r in top]
-        found.sort(key=lambda x: (-x[0], x[1], len(x[2]), str(x[2])))
-        chosen, lost = [], 0
-        for support, miss, when, value in found:
-            if len(chosen) == most_branches:
-                break
-            if lost + miss <= most_loss * rows and not any(all(when.get(k) == v for k, v in w.items()) for _, _, w, _ in chosen):
-                chosen.append((support, miss, when, value))
-                lost += miss
-        if chosen:
-            dets = tuple(sorted({k for _, _, w, _ in chosen for k in w}))
-            statements.append(Statement(dets, dep, tuple(Branch(w, v) for _, _, w, v in chosen), sum(c[0] for c in chosen), lost))
+    rows = df.persist()
+    try:
+        most_lost, statements = int(most_loss * rows.count()), []
+        for dep in columns:
+            others, best = [c for c in columns if c != dep], []
+            for size in range(1, most_filters + 1):
+                found = [c for dets in itertools.combinations(others, size) for c in _candidates(rows, dep, dets, most_branches, most_lost)]
+                found.sort(key=lambda c: (-c[0], c[1], str(c[2])))
+                chosen = _optimum(found, most_branches, most_lost)
+                if sum(c[0] for c in chosen) > sum(c[0] for c in best):
+                    best = chosen
+            if best:
+                dets = tuple(sorted({k for c in best for k in c[2]}))
+                statements.append(Statement(dets, dep, tuple(Branch(c[2], c[3]) for c in best), sum(c[0] for c in best), sum(c[1] for c in best)))
+    finally:
+        rows.unpersist()
+    if best_only and statements:
+        statements = [max(statements, key=lambda x: (x.coverage, -x.loss))]
     return Program(statements)

@@ -10,8 +10,14 @@ from icspark.operators.program import Program, with_expected
 from icspark.sources.staging import ranked
 
 
+def draw(key: list[str], seed: int):
+    """A number from 0 to 2^52 - 1 from the MD5 of the key's values and the seed, parted by `|`: the same in any engine."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 def _uniform(key: list[str], seed: int):
-    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    return draw(key, seed) / (1 << 52)
 
 
 def split(df: DataFrame, key: list[str], test: float = 0.15, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +41,7 @@ def inject(df: DataFrame, program: Program, key: list[str], level: float, label:
     """
     marked = controllable(df, program)
     n = F.size("controllable")
-    pick = F.when((_uniform(key, seed) < level) & (n > 0), F.element_at("controllable", (1 + F.pmod(F.xxhash64(*key, F.lit(seed + 1)), n)).cast("int")))
+    pick = F.when((_uniform(key, seed) < level) & (n > 0), F.element_at("controllable", (1 + draw(key, seed + 1) % F.greatest(n, F.lit(1))).cast("int")))
     marked = marked.withColumn("_cell", pick)
     targets = sorted({s.dependent for s in program.statements} - {label})
     for c in targets:
@@ -48,7 +54,7 @@ def inject(df: DataFrame, program: Program, key: list[str], level: float, label:
             after = values.select(F.pmod(F.col("_i") - 1, F.lit(count)).alias("_i"), F.col(f"`{c}`").alias("_two"))
             side = side.join(after, "_i")
             side = F.broadcast(side) if count <= MOST_BROADCAST else side
-            slot = F.when(due, F.pmod(F.xxhash64(*key, F.lit(seed + 2)), F.lit(count)))
+            slot = F.when(due, draw(key, seed + 2) % count)
             marked = marked.withColumn("_i", slot).join(side, "_i", "left")
             other = F.when(F.col("_one").eqNullSafe(col), F.col("_two")).otherwise(F.col("_one"))
         else:

@@ -8,54 +8,116 @@ from __future__ import annotations
 import itertools
 import math
 import warnings
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc_
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from icspark.sources.staging import ranked
+from icspark.sources.staging import ranked, staged
 
-#: Rows from which sampled data are cut down, the most orientations that are listed, and the most joint cells that the driver holds.
-MOST_ROWS, MOST_DAGS, MOST_CELLS = 200_000_000, 10_000, 100_000
+#: Rows from which sampled data are cut down, the most joint cells that the driver holds, and the most values that are broadcast.
+MOST_ROWS, MOST_CELLS, MOST_BROADCAST = 200_000_000, 100_000, 100_000
 
 
-def wide_columns(df: DataFrame) -> list[str]:
+def value_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
+    """(rows, distinct values of each column, null as one)."""
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[(F.countDistinct(f"`{c}`") + F.coalesce(F.max(F.col(f"`{c}`").isNull().cast("int")), F.lit(0))).alias(c) for c in df.columns]).first()
+    return row["_rows"], {c: row[c] for c in df.columns}
+
+
+def wide_columns(rows: int, counts: dict[str, int]) -> list[str]:
     """Columns with too many values to learn on: more than max(15, rows // 1000), in tables of over 5 columns and 400 rows."""
-    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[(F.countDistinct(f"`{c}`") + F.max(F.col(f"`{c}`").isNull().cast("int"))).alias(c) for c in df.columns]).first()
-    if len(df.columns) <= 5 or counts["_rows"] <= 400:
+    if len(counts) <= 5 or rows <= 400:
         return []
-    return [c for c in df.columns if counts[c] > max(15, counts["_rows"] // 1000)]
+    return [c for c, n in counts.items() if n > max(15, rows // 1000)]
 
 
 def encode(df: DataFrame) -> DataFrame:
-    """Complete rows of narrow columns, as codes 0, 1, ... of the sorted values. Codes come from the small table of values."""
-    kept = df.drop(*wide_columns(df)).na.drop()
+    """Complete rows of narrow columns, as codes 0, 1, ... of the sorted values. Codes come from the table of values, broadcast while it is small."""
+    rows, counts = value_counts(df)
+    kept = df.drop(*wide_columns(rows, counts)).na.drop()
     out = kept
     for c in kept.columns:
         values = kept.select(c).distinct()
-        codes = ranked(values, [c], "_k")[0].select(F.col(f"`{c}`").alias("_v"), F.col("_k").cast("int").alias("_k"))
+        if counts[c] <= MOST_BROADCAST:  # a checked size, so one task may number it
+            codes = F.broadcast(values.select(F.col(f"`{c}`").alias("_v"), (F.row_number().over(Window.orderBy(F.col(f"`{c}`"))) - 1).alias("_k")))
+        else:
+            codes = ranked(values, [c], "_k")[0].select(F.col(f"`{c}`").alias("_v"), F.col("_k").cast("int").alias("_k"))
         out = out.join(codes, F.col(f"`{c}`") == F.col("_v")).drop("_v", c).withColumnRenamed("_k", c)
     return out.select(*kept.columns)
 
 
+def _same(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Cell by cell: equal, with nulls and with NaNs alike."""
+    equal = pc_.fill_null(pc_.equal(a, b), False)
+    if pa.types.is_floating(a.type):
+        equal = pc_.or_(equal, pc_.fill_null(pc_.and_(pc_.is_nan(a), pc_.is_nan(b)), False))
+    return pc_.or_(equal, pc_.and_(pc_.is_null(a), pc_.is_null(b)))
+
+
+def _neighbours(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Rows in the order of `by`, each compared with the next and the last with the first: booleans by column.
+
+    Rows are range-partitioned and sorted once. A task compares neighbours as they stream by and gives its first and last row
+    besides; those two rows a partition are all that reaches the driver.
+    """
+    keys = [F.col(f"`{c}`") for c in by]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*[F.col(f"`{c}`") for c in columns])
+    flags = T.StructType([T.StructField(c, T.BooleanType()) for c in columns])
+    ends = T.StructType([T.StructField(c, df.schema[c].dataType) for c in columns])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("same", flags), T.StructField("end", ends)])
+    kinds = to_arrow_schema(schema)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last = TaskContext.get().partitionId(), None
+
+        def made(place: int | None, same, end) -> pa.RecordBatch:
+            n = len(same if same is not None else end)
+            nothing = lambda k: pa.nulls(n, kinds.field(k).type)
+            rows = [pa.array([part] * n, pa.int32()), pa.array([place] * n, pa.int32()), nothing(2) if same is None else same, nothing(3) if end is None else end.cast(kinds.field(3).type)]
+            return pa.RecordBatch.from_arrays(rows, schema=kinds)
+
+        cells = lambda t: pa.StructArray.from_arrays(t.columns, names=columns)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if last is None:
+                yield made(0, None, cells(b.slice(0, 1)))
+            t = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks().to_batches()[0]
+            if t.num_rows > 1:
+                yield made(None, pa.StructArray.from_arrays([_same(t.column(k).slice(0, t.num_rows - 1), t.column(k).slice(1)) for k in range(len(columns))], names=columns), None)
+            last = b.slice(b.num_rows - 1, 1)
+        if last is not None:
+            yield made(1, None, cells(last))
+
+    held = staged(dealt.mapInArrow(go, schema))
+    inner = held.where("place is null").select(*[F.col(f"same.`{c}`").alias(c) for c in columns])
+    border = held.where("place is not null").select("part", "place", "end").orderBy("part", "place").collect()  # two rows a partition
+    first, last = [[r["end"] for r in border if r["place"] == place] for place in (0, 1)]
+    alike = lambda a, b: a == b or isinstance(a, float) and isinstance(b, float) and a != a and b != b
+    across = [tuple(bool(alike(x, y)) for x, y in zip(last[k], first[(k + 1) % len(first)])) for k in range(len(last))]
+    return inner.unionByName(df.sparkSession.createDataFrame(across, flags)) if across else inner
+
+
 def shifted_pairs(df: DataFrame, key: list[str], columns: list[str] | None = None) -> DataFrame:
     """Circular-shift sample: for each column, rows ordered by it (then key) are compared with the next, the last with the first.
 
-    Gives len(columns) * rows rows of booleans and `block`, the ordering column. Every block is ranked by range partitions:
-    positions come from per-partition counts, so no task holds the table.
+    Gives len(columns) * rows rows of booleans and `block`, the ordering column. A block costs one range shuffle; no task holds the table.
     """
     columns = columns or [c for c in df.columns if c not in key]
+    thin = df.select(*[F.col(f"`{x}`") for x in dict.fromkeys([*key, *columns])])
     out = None
     for c in columns:
-        by = list(dict.fromkeys([c, *key]))
-        placed, total = ranked(df.select(*[F.col(f"`{x}`") for x in dict.fromkeys([*key, *columns])]), by)
-        if not total:
-            block = df.select(*[F.lit(None).cast("boolean").alias(x) for x in columns], F.lit(c).alias("block")).limit(0)
-        else:
-            nxt = placed.select(F.pmod(F.col("_i") - 1, F.lit(total)).alias("_i"), *[F.col(f"`{x}`").alias(f"_n_{x}") for x in columns])
-            block = placed.join(nxt, "_i").select(*[F.col(f"`{x}`").eqNullSafe(F.col(f"`_n_{x}`")).alias(x) for x in columns], F.lit(c).alias("block"))
+        block = _neighbours(thin, list(dict.fromkeys([c, *key])), columns).withColumn("block", F.lit(c))
         out = block if out is None else out.unionByName(block)
     return out
 
@@ -65,9 +127,14 @@ def some_true(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(reduce(or_, [F.col(f"`{c}`") for c in columns]))
 
 
-def bounded(df: DataFrame, rows: int, most: int = MOST_ROWS, seed: int = 42) -> DataFrame:
-    """df, or a seeded sample of about `most` rows if it has more."""
-    return df if rows <= most else df.sample(fraction=most / rows, seed=seed)
+def bounded(df: DataFrame, most: int | None = None, seed: int = 42) -> DataFrame:
+    """df, or a seeded sample of about `most` (MOST_ROWS) rows if it has more."""
+    most = MOST_ROWS if most is None else most
+    rows = df.count()
+    if rows <= most:
+        return df
+    warnings.warn(f"{rows} rows are cut down to about {most}", stacklevel=2)
+    return df.sample(fraction=most / rows, seed=seed)
 
 
 @dataclass
@@ -154,44 +221,79 @@ def chi2_sf(x: float, df: int) -> float:
 
 
 class Counts:
-    """Cell counts by set of columns.
+    """Cell counts by set of columns, and what tests and scores need of them.
 
     While the table has at most MOST_CELLS distinct rows, they are fetched once and every set is summed from them;
-    beyond that each set is counted by itself.
+    beyond that each set is counted by itself and only sums, or a histogram of the counts, reach the driver.
     """
 
     def __init__(self, df: DataFrame, columns: list[str]):
         self.df, self.columns, self.held = df, list(columns), {}
-        joint = df.groupBy(*[F.col(f"`{c}`") for c in columns]).count().limit(MOST_CELLS + 1).collect()
+        joint = self.cells(tuple(columns)).limit(MOST_CELLS + 1).collect()
         self.joint = [(tuple(r[:-1]), r[-1]) for r in joint] if len(joint) <= MOST_CELLS else None
 
+    def cells(self, columns: tuple[str, ...]) -> DataFrame:
+        return self.df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_n"))
+
     def of(self, columns: tuple[str, ...]) -> dict[tuple, int]:
+        """Counts by cell, where the joint table is held."""
         if columns not in self.held:
-            if self.joint is None:
-                cells = {tuple(r[:-1]): r[-1] for r in self.df.groupBy(*[F.col(f"`{c}`") for c in columns]).count().collect()}
-            else:
-                at, cells = [self.columns.index(c) for c in columns], {}
-                for row, n in self.joint:
-                    cell = tuple(row[k] for k in at)
-                    cells[cell] = cells.get(cell, 0) + n
+            at, cells = [self.columns.index(c) for c in columns], {}
+            for row, n in self.joint:
+                cell = tuple(row[k] for k in at)
+                cells[cell] = cells.get(cell, 0) + n
             self.held[columns] = cells
         return self.held[columns]
 
+    def chi2(self, a: str, b: str, given: tuple[str, ...]) -> tuple[float, int]:
+        """(statistic, degrees of freedom) of a and b within the strata of `given`."""
+        if self.joint is None:
+            return self._chi2_far(a, b, given)
+        strata: dict[tuple, dict[tuple, int]] = {}
+        for cell, n in self.of((a, b, *given)).items():
+            strata.setdefault(cell[2:], {})[cell[:2]] = n
+        stat, df = 0.0, 0
+        for table in strata.values():
+            rows, cols, n = {}, {}, sum(table.values())
+            for (x, y), c in table.items():
+                rows[x] = rows.get(x, 0) + c
+                cols[y] = cols.get(y, 0) + c
+            df += (len(rows) - 1) * (len(cols) - 1)
+            # cells that don't occur add their expectation, so the sum over those that do is enough
+            stat += sum(c * c * n / (rows[x] * cols[y]) for (x, y), c in table.items()) - n
+        return stat, df
+
+    def _chi2_far(self, a: str, b: str, given: tuple[str, ...]) -> tuple[float, int]:
+        strata = [f"_g{k}" for k in range(len(given))]
+        cells = self.cells((a, b, *given)).toDF("_a", "_b", *strata, "_n")
+        r = cells.groupBy(*strata, "_a").agg(F.sum("_n").alias("_r"))
+        c = cells.groupBy(*strata, "_b").agg(F.sum("_n").alias("_c"))
+        s = r.groupBy(*strata).agg(F.sum("_r").alias("_s"), F.count(F.lit(1)).alias("_x"))
+        k = c.groupBy(*strata).agg(F.count(F.lit(1)).alias("_y"))
+
+        def met(x: DataFrame, y: DataFrame, by: list[str]) -> DataFrame:
+            """x with y's sums of the same values, nulls alike."""
+            side = y.withColumnsRenamed({v: f"{v}_" for v in by})
+            return x.join(side, reduce(and_, [F.col(v).eqNullSafe(F.col(f"{v}_")) for v in by], F.lit(True))).drop(*[f"{v}_" for v in by])
+
+        both = met(met(met(cells, r, [*strata, "_a"]), c, [*strata, "_b"]), s, strata)
+        stat = both.agg(F.sum(F.col("_n") * F.col("_n") * F.col("_s") / (F.col("_r") * F.col("_c")))).first()[0] or 0.0
+        n, df = met(s, k, strata).agg(F.sum("_s"), F.sum((F.col("_x") - 1) * (F.col("_y") - 1))).first()
+        return stat - (n or 0), df or 0
+
+    def values(self, column: str) -> int:
+        return self.cells((column,)).count() if self.joint is None else len(self.of((column,)))
+
+    def histogram(self, columns: tuple[str, ...]) -> dict[int, int]:
+        """How many cells have each count: no more entries than about the root of twice the rows."""
+        if self.joint is None:
+            return dict(map(tuple, self.cells(columns).groupBy("_n").count().collect()))
+        return dict(Counter(self.of(columns).values()))
+
 
 def independent(counts: Counts, a: str, b: str, given: tuple[str, ...], alpha: float = 0.05) -> bool:
     """Chi-square test of a and b within the strata of `given`."""
-    strata: dict[tuple, dict[tuple, int]] = {}
-    for cell, n in counts.of((a, b, *given)).items():
-        strata.setdefault(cell[2:], {})[cell[:2]] = n
-    stat, df = 0.0, 0
-    for table in strata.values():
-        rows, cols, n = {}, {}, sum(table.values())
-        for (x, y), c in table.items():
-            rows[x] = rows.get(x, 0) + c
-            cols[y] = cols.get(y, 0) + c
-        df += (len(rows) - 1) * (len(cols) - 1)
-        stat += sum((table.get((x, y), 0) - r * c / n) ** 2 / (r * c / n) for x, r in rows.items() for y, c in cols.items())
-    return chi2_sf(stat, df) > alpha
+    return chi2_sf(*counts.chi2(a, b, given)) > alpha
 
 
 def pc(df: DataFrame, columns: list[str], alpha: float = 0.05, deepest: int = 3) -> Graph:
@@ -223,15 +325,10 @@ def pc(df: DataFrame, columns: list[str], alpha: float = 0.05, deepest: int = 3)
 
 def bdeu(counts: Counts, node: str, parents: tuple[str, ...], sample: float = 1.0) -> float:
     """BDeu score of a node given its parents; values are taken from the data."""
-    states = {c: len(counts.of((c,))) for c in (node, *parents)}
-    q = math.prod(states[p] for p in parents)
-    a_j, a_jk = sample / q, sample / (q * states[node])
-    totals: dict[tuple, int] = {}
-    score = 0.0
-    for cell, n in counts.of((node, *parents)).items():
-        totals[cell[1:]] = totals.get(cell[1:], 0) + n
-        score += math.lgamma(a_jk + n) - math.lgamma(a_jk)
-    return score + sum(math.lgamma(a_j) - math.lgamma(a_j + n) for n in totals.values())
+    q = math.prod(counts.values(p) for p in parents)
+    a_j, a_jk = sample / q, sample / (q * counts.values(node))
+    score = sum(m * (math.lgamma(a_jk + n) - math.lgamma(a_jk)) for n, m in counts.histogram((node, *parents)).items())
+    return score + sum(m * (math.lgamma(a_j) - math.lgamma(a_j + n)) for n, m in counts.histogram(parents).items())
 
 
 def score_search(df: DataFrame, columns: list[str], most_parents: int = 3, sample: float = 1.0) -> Graph:
@@ -306,15 +403,19 @@ def equivalence_class(dag: Graph) -> Graph:
     return g
 
 
-def member_dags(g: Graph, most: int = MOST_DAGS) -> list[Graph]:
-    """All DAGs of the class, in a fixed order; warns if there are more than `most` and gives the first `most`."""
+def member_dags(g: Graph, most: int | None = None) -> Iterator[Graph]:
+    """The DAGs of the class one by one, in a fixed order. All of them, or with `most` only the first so many and a warning if there are more."""
     colliders = lambda x: {(frozenset((a, b)), c) for c in x.nodes for a, b in itertools.combinations(x.parents(c), 2) if not x.adjacent(a, b)}
-    want, out, stack = colliders(g), [], [g]
-    while stack and len(out) <= most:
+    want, given, stack = colliders(g), 0, [g]
+    while stack:
         now = stack.pop()
         if not now.edges:
             if now.acyclic() and colliders(now) == want:
-                out.append(now)
+                if given == most:
+                    warnings.warn(f"the class holds more than {most} DAGs; only the first {most} are tried, the best may lie beyond", stacklevel=2)
+                    return
+                given += 1
+                yield now
             continue
         a, b = sorted(min(now.edges, key=sorted))
         for x, y in ((b, a), (a, b)):
@@ -323,6 +424,3 @@ def member_dags(g: Graph, most: int = MOST_DAGS) -> list[Graph]:
             new.close()
             if new.acyclic():
                 stack.append(new)
-    if len(out) > most:
-        warnings.warn(f"the class holds more than {most} DAGs; only the first {most} are tried, the best may lie beyond", stacklevel=2)
-    return out[:most]
