@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from icspark.operators import analysis, miners, noise, structure
 from icspark.operators.guard import Guard, guarded
 from icspark.operators.models import LinearModel, LookupModel, Registry, RuleModel
-from icspark.operators.program import Program, Statement, alerts, branch_counts, detection, fit, force_fit, heat_table, kept_branches, loss, rectified, row_errors, violated
+from icspark.operators.program import Program, Statement, alerts, branch_counts, detection, fit, force_fit, heat_table, loss, rectified, row_errors, violated
 from icspark.plans.planner import run_query
 from icspark.sources.catalog import Catalog
 
@@ -129,14 +129,24 @@ def _own(name: str, sql: str | None = None):
 # ---- programs -------------------------------------------------------------------------------
 
 
-@_own("fit_branches", _geo_sql(97) + "SELECT n_name, expected, mode_n, support::BIGINT AS support FROM branches")
+def _branches(spark, s: Statement):
+    """The branches of a statement on n_name, with its coverage and loss."""
+    return spark.createDataFrame([(b.when["n_name"], b.value, s.coverage, s.loss) for b in s.branches], "n_name string, expected string, coverage long, loss long")
+
+
+@_own("fit_branches", _geo_sql(97) + "SELECT n_name, expected, sum(support) OVER ()::BIGINT AS coverage, sum(support - mode_n) OVER ()::BIGINT AS loss FROM branches")
 def _(spark, sf_dir):
-    return kept_branches(branch_counts(geo(spark, sf_dir, 97), ["n_name"], "r_name"), 0.01, 10).select("n_name", F.col("value").alias("expected"), "mode_n", "support")
+    return _branches(spark, fit(geo(spark, sf_dir, 97), ["n_name"], "r_name"))
 
 
-@_own("force_fit", _geo_sql(97) + "SELECT n_name, r_name AS expected, n AS mode_n, support::BIGINT AS support FROM ranked WHERE k = 1")
+@_own("force_fit", _geo_sql(97) + "SELECT n_name, r_name AS expected, sum(support) OVER ()::BIGINT AS coverage, sum(support - n) OVER ()::BIGINT AS loss FROM ranked WHERE k = 1")
 def _(spark, sf_dir):
-    return kept_branches(branch_counts(geo(spark, sf_dir, 97), ["n_name"], "r_name"), 1.0, 0).select("n_name", F.col("value").alias("expected"), "mode_n", "support")
+    return _branches(spark, force_fit(geo(spark, sf_dir, 97), ["n_name"], "r_name"))
+
+
+@_own("branch_counts", _geo_sql(97) + "SELECT n_name, r_name AS value, n AS mode_n, support::BIGINT AS support FROM ranked WHERE k = 1")
+def _(spark, sf_dir):
+    return branch_counts(geo(spark, sf_dir, 97), ["n_name"], "r_name")
 
 
 @_own("stmt_loss", _geo_sql() + "SELECT count(*) FILTER (alert) AS loss FROM checked")
@@ -231,7 +241,7 @@ def _(spark, sf_dir):
     return out.select("rows", "alerts", "errors", "both", F.round("correlation", 6).alias("correlation"))
 
 
-@_own("comparative_metrics", _geo_sql() + "SELECT count(*) FILTER (r_name <> true_region) AS errors_before, count(*) FILTER (coalesce(expected, r_name) <> true_region) AS errors_after, count(*) FILTER (coalesce(expected, r_name) <> r_name) AS changed FROM checked")
+@_own("comparative_metrics", _geo_sql() + "SELECT count(*) AS rows, count(*) FILTER (r_name <> true_region) AS errors_before, count(*) FILTER (coalesce(expected, r_name) <> true_region) AS errors_after, count(*) FILTER (coalesce(expected, r_name) <> r_name) AS changed FROM checked")
 def _(spark, sf_dir):
     df = geo(spark, sf_dir)
     model, program = RuleModel("region", ("r_name",), "r_name"), geo_program(df)
@@ -268,19 +278,6 @@ def _(spark, sf_dir):
     return structure.some_true(_pairs(spark, sf_dir), _BOTH).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_own("ci_contingency", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
-def _(spark, sf_dir):
-    counts = structure.Counts(tables(spark, sf_dir).load("lineitem"), ["l_returnflag", "l_linestatus"])
-    return spark.createDataFrame([(*k, n) for k, n in counts.of(("l_returnflag", "l_linestatus")).items()], "l_returnflag string, l_linestatus string, n long")
-
-
-@_own("bdeu_counts", "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
-def _(spark, sf_dir):
-    counts = structure.Counts(tables(spark, sf_dir).load("orders"), ["o_orderpriority", "o_orderstatus"])
-    structure.bdeu(counts, "o_orderpriority", ("o_orderstatus",))
-    return spark.createDataFrame([(*k, n) for k, n in counts.held[("o_orderpriority", "o_orderstatus")].items()], "o_orderpriority string, o_orderstatus string, n long")
-
-
 # ---- noise ----------------------------------------------------------------------------------
 
 
@@ -290,17 +287,6 @@ def _(spark, sf_dir):
     return noise.controllable(df, geo_program(df)).select("l_orderkey", "l_linenumber", F.array_join("controllable", ",").alias("controllable"))
 
 
-@_own("noise_inject")
-def _(spark, sf_dir):
-    df = geo(spark, sf_dir)
-    return noise.inject(df, geo_program(df), ["l_orderkey", "l_linenumber"], 0.05).select("l_orderkey", "l_linenumber", "r_name", "injected")
-
-
-@_own("noise_flags", _geo_sql() + "SELECT flag, count(*) AS n, count(*) FILTER (r_name <> true_region) AS changed FROM checked GROUP BY flag")
-def _(spark, sf_dir):
-    return geo(spark, sf_dir).groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("r_name") != F.col("true_region"), 1)).alias("changed"))
-
-
 # ---- miners and evaluation ------------------------------------------------------------------
 
 _FD_COLUMNS = ["n_name", "true_region", "l_returnflag"]
@@ -314,12 +300,6 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(a, b, n[(a,)][1] == n[(a, b)][1]) for a, b in pairs], "lhs string, rhs string, holds boolean")
 
 
-@_own("fd_lattice", "SELECT 'n_name' AS lhs, 'true_region' AS rhs")
-def _(spark, sf_dir):
-    found = miners.functional_dependencies(geo(spark, sf_dir), _FD_COLUMNS)
-    return spark.createDataFrame([(",".join(l_), r) for l_, r in found], "lhs string, rhs string")
-
-
 @_own("fd_error", _geo_sql() + "SELECT round(1 - sum(m) / sum(s), 9) AS error FROM (SELECT max(n) AS m, sum(n) AS s FROM counts GROUP BY n_name)")
 def _(spark, sf_dir):
     return miners.fd_error(geo(spark, sf_dir), ["n_name"], "r_name").select(F.round("error", 9).alias("error"))
@@ -332,14 +312,6 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(n == d,)], "superkey boolean")
 
 
-_CFDS = ["(l_linestatus=F) => l_returnflag=A", "(l_quantity=10-20,l_returnflag=R) => l_linestatus=F"]
-
-
-@_own("cfd_apply", "SELECT cfd_error, count(*) AS n FROM (SELECT concat_ws(', ', CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'A' THEN 'CFD_0' END, CASE WHEN l_quantity BETWEEN 10 AND 20 AND l_returnflag = 'R' AND l_linestatus <> 'F' THEN 'CFD_1' END) AS cfd_error FROM lineitem) GROUP BY 1")
-def _(spark, sf_dir):
-    return miners.apply_cfds(tables(spark, sf_dir).load("lineitem"), [miners.parse_cfd(x) for x in _CFDS]).groupBy("cfd_error").agg(F.count(F.lit(1)).alias("n"))
-
-
 @_own("fd_violation_ratio", _PAIRS + "SELECT round(count(*) FILTER (o_orderstatus AND NOT o_orderpriority) / count(*) FILTER (o_orderstatus), 9) AS ratio FROM p")
 def _(spark, sf_dir):
     return miners.violation_ratio(_pairs(spark, sf_dir), ["o_orderstatus"], "o_orderpriority").select(F.round("ratio", 9).alias("ratio"))
@@ -364,3 +336,6 @@ def _(spark, sf_dir):
     ok = (F.col("mode_n") / F.col("support") > 1 - F.col("eps")) & (F.col("support") > 10)
     out = counts.withColumn("eps", F.explode(F.array(*[F.lit(e) for e in (0.01, 0.05, 0.1, 0.15, 0.2, 0.25)]))).where(ok).groupBy("eps").agg(F.count(F.lit(1)).alias("branches"), F.sum("support").alias("coverage"), F.sum(F.col("support") - F.col("mode_n")).alias("loss"))
     return grid.join(out, "eps", "left").na.fill(0)
+
+
+from icspark.plans import checks as _checks  # noqa: E402,F401  registers the rest
