@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icspark.sources.staging import ranked, shared_folder
@@ -50,10 +50,9 @@ class Scratch:
         return out
 
     def watched(self, df: DataFrame, *sums) -> tuple[DataFrame, tuple]:
-        """df written, and aggregates of it that are taken on the way."""
-        seen = Observation()
-        out = self.cut(df.observe(seen, *[x.alias(f"x{k}") for k, x in enumerate(sums)]))
-        return out, tuple(seen.get[f"x{k}"] for k in range(len(sums)))
+        """df written, and aggregates of what was written."""
+        out = self.cut(df)
+        return out, tuple(out.agg(*sums).first())
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later plan reads."""
@@ -111,7 +110,7 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 40) -> Dat
     edges: columns a, b (long). Returns (id, root) for every node that is not its own root;
     root is the smallest id reachable. Edges become stars inside each task first. Each round is two grouped minima and two joins, all
     shuffled by key; joins are left to adaptive skew splitting, minima combine before the
-    shuffle. Nothing is gathered on the driver but two sums a round, taken while it is written, that show a fixed point.
+    shuffle. Nothing is gathered on the driver but two sums a round that show a fixed point.
     """
     mark = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     now, seen = scratch.watched(edges.select("a", "b").where("a <> b").mapInArrow(_forests, "u long, v long").distinct(), *mark)
