@@ -10,8 +10,10 @@ whose lengths are powers of two, which need no padding.
 Packing is local to a task: no shuffle, and at most `POOL` pieces are open at a time. The
 sequence id holds the task's partition in its high bits, so a rerun task gives the same ids.
 
-Defined cases: null text is empty and gives only the end id; repeated rows are packed each; ties go
-to the earlier piece; an empty table gives no rows; other columns are ignored.
+Ids are those of the tokenizer file as it is: special tokens written out in a text are that token's id.
+
+Defined cases: null text is empty and gives only the end id; repeated rows, rows of one id and rows without an id are packed
+each; ties go to the earlier piece; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ class WordTokens:
 
     The vocabulary drops white space, so words never join, and it parts a word into letters, single
     digits and other characters before it merges. Words of Latin letters take that way directly, each
-    part once; all others go through the whole coder.
+    part once; all others go through the whole coder, as do texts that hold a special token's string.
     """
 
     def __init__(self, path: str):
@@ -79,12 +81,12 @@ class WordTokens:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.merge = self.coder.model.tokenize
-        # the byte alphabet, asked of the library: two-byte characters show every byte that Latin text has
+        # the byte alphabet, asked of the library: ASCII and two-byte characters show every byte that Latin text has
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {}
-        for c in map(chr, [*range(33, 127), *range(0xA1, 0x250)]):
+        for c in map(chr, [*range(128), *range(0xA1, 0x250)]):
             for raw, shown in zip(c.encode(), level.pre_tokenize_str(c)[0][0]):
                 self.letters[raw] = shown
         self.words, self.parts = Recent(self.word), Recent(self.part)
@@ -93,7 +95,7 @@ class WordTokens:
         return self.coder.encode(text, add_special_tokens=False).ids
 
     def part(self, part: str) -> bytes:
-        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
         return packed([t.id for t in self.merge(shown)])
 
     def word(self, word: str) -> bytes:
@@ -115,7 +117,8 @@ class WordTokens:
             if not k % 100:
                 self.words.turn()
                 self.parts.turn()
-            if any(c in t for c in _CONTROLS):  # Python's split takes these for white space, the vocabulary doesn't
+            # Python's split takes the controls for white space, the vocabulary doesn't
+            if any(c in t for c in _CONTROLS) or any(x in t for x in self.special):
                 out.append(np.array(self.whole(t), "<u4"))
             else:
                 out.append(np.frombuffer(b"".join(map(self.words.__getitem__, t.split())), "<u4"))
