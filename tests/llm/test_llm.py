@@ -228,7 +228,6 @@ def test_packing(spark, docs, corpus):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    coder.encode_special_tokens = True
     odd = ["İstanbul ΣΑΣ don't a_b x² ½ <|endoftext|>", "e\u0301a 日本語 \x1c ﬁ ß 's ª ÀÉ\u00ad®x", "A1b2!!"]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(odd)], "doc_id long, text string"))
     got = packing.pack(df, with_ids=True).collect()
@@ -251,6 +250,18 @@ def test_packing(spark, docs, corpus):
     assert padding == 0 and packing.pack(empty(df)).count() == 0
 
 
+def test_token_ids_of_all_kinds_of_characters():
+    """Ids equal the tokenizer's around every ASCII and Latin code point, many others, and written special tokens."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(6)
+    points = [*range(0x3100), *range(0xFB00, 0xFFFF, 7), *(r.randrange(0x3100, 0x110000) for _ in range(5000))]
+    texts = [f"a{c}b 1{c}2 {c} Z{c}. .{c}q" for c in map(chr, points) if not 0xD800 <= ord(c) < 0xE000] + ["a\x01b", "x<|endoftext|>y", "<|STARTOFTEXT|> <|startoftext|>", "it's\x00 o'clock's"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in packing.WordTokens(path).batch(texts)] == want
+
+
 def test_packing_limits():
     r = np.random.default_rng(0)
     packer = packing.Packer(packing.Limits(100, 4, 60), 0, pool=16)
@@ -307,6 +318,50 @@ def test_extraction(spark):
     assert got[7][2] == len("long, text " * 20_000) - 1
 
 
+LONG = "A long sentence, with commas, and more of it, so that it scores. " * 6
+
+
+@pytest.mark.parametrize(
+    ("html", "end"),
+    [
+        (f"<article><div><p>{LONG}</p></div><div><p>Short end.</p></div></article>", "Short end."),
+        (f"<article><p>{LONG}</p><section><h2>Head</h2><p>One.</p></section></article>", "Head\n\nOne."),
+        (f"<body><section><p>{LONG}</p></section><section><h2>Head</h2><p>One.</p></section><div>&copy; me</div></body>", "Head\n\nOne."),
+        (f"<body><div id=m><div><div><p>{LONG}</p></div></div><div><div><p>tail</p></div></div><ul><li><a href=x>a</a></li></ul></div></body>", "tail"),
+        (f"<article><p>{LONG}</p><p class='social-science'>Kept.</p><p class='siteHeader x'>gone</p><div id=cookie-banner>gone</div></article>", "Kept."),
+        (f"<body><div class=content><p>{LONG}</p>own text</div><div class='related-links'><p>gone, gone</p></div></body>", "own text"),
+    ],
+)
+def test_whole_articles(html, end):
+    assert extract.main_text(html) == f"{LONG.strip()}\n\n{end}"
+
+
+def test_articles_of_the_pages_table():
+    """Every page's text is its article: blocks end at p and h1, everything else inside is inline."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist():
+        inside = re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
+        assert extract.main_text(page) == "\n\n".join(x for x in blocks if x)
+
+
+def test_nested_pages_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        for part in ("<div><p>t</p>", "<b>", "<td><ul>", "<div><li>x"):
+            extract.main_text(part * n + "</span><div></div>" * n)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 4 * 4 * took(4_000)  # a square would be 16 times and more
+
+
 def brute_kernel(s, t, n, lam):
     import itertools
 
