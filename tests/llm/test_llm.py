@@ -409,6 +409,46 @@ def test_language(spark):
     assert langid.identify(pages, langid.train(empty(docs))).where("lang is not null").count() == 0
 
 
+def test_language_posterior(spark):
+    """Text, declaration, suffix and host fused by brute force, over more languages than a host sees."""
+    import math
+    import re
+
+    r = random.Random(21)
+    names = [f"l{a}{b}" for a in "abcdefgh" for b in "abcdefghij"]
+    speak = {x: ["".join(r.choices("abcdefghij", k=4)) for _ in range(6)] for x in names}
+    say = lambda x, n: " ".join(r.choices(speak[x], k=n))
+    docs = spark.createDataFrame([(k, say(x, 25), x) for k, x in enumerate(names * 3)], "doc_id long, text string, lang string")
+    rows = [(k, f"http://h{k % 7}.{'ab'[k % 2]}/p", f'<html lang="{x if k % 3 else "zz"}"><p>{say(x, k % 5)}</p>') for k, x in enumerate(r.choices(names[:5], k=60))] + [(None, None, None), (3, "http://h1.b/p", "<p>x</p>"), (3, "http://h1.b/p", "<p>x</p>")]
+    assert langid.train(docs).languages == names and langid.dimensions_for(64) == 1 << 16 and langid.dimensions_for(1000) == 4096
+    names = names[:10]
+    model = langid.train(docs.where(docs.lang.isin(names)))
+    got = sorted((str(x.page_id), x.host, x.declared, x.lang, x.probability) for x in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect())
+    n, pages = len(names), []
+    for page, url, html in rows:
+        host = re.match(r"\w+://([^/]+)", url or "")
+        host = host[1] if host else ""
+        declared = re.search(r'lang="(\w+)"', html or "")
+        tag = (declared[1] if declared[1] in names else "other") if declared else "none"
+        log = model.loglik(langid.page_text(html or ""))
+        own = np.exp(log - log.max()) / np.exp(log - log.max()).sum() if log.max() > log.min() else np.zeros(n)
+        pages.append((page, host, host.rpartition(".")[2] if "." in host else "", tag, log, own))
+    total = lambda keep: sum((p[5] for p in pages if keep(p)), np.zeros(n))
+    whole = total(lambda p: True) + 1
+    tags = {p[3] for p in pages}
+    want = []
+    for page, host, suffix, tag, log, own in pages:
+        of_suffix = total(lambda p: p[2] == suffix)
+        by_suffix = (of_suffix + langid.STRENGTH * whole / whole.sum()) / (of_suffix.sum() + langid.STRENGTH)
+        rest = np.maximum(total(lambda p: p[1] == host) - own, 0)
+        prior = (rest + langid.STRENGTH * by_suffix) / (rest.sum() + langid.STRENGTH)
+        post = log + np.log(np.maximum(prior, 1e-12)) + np.log((total(lambda p: p[3] == tag) + 1 / len(tags)) / whole)
+        post = np.exp(post - post.max()) / np.exp(post - post.max()).sum()
+        want.append((str(page), host, tag, names[int(post.argmax())], float(post.max())))
+    want.sort()
+    assert [x[:4] for x in got] == [x[:4] for x in want] and all(math.isclose(a[4], b[4], abs_tol=1e-6) for a, b in zip(got, want))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
