@@ -167,9 +167,10 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
 
 def texts_of(scratch: Scratch, wanted: DataFrame, chosen: DataFrame, thin: DataFrame) -> DataFrame:
-    """wanted: node. (node, text), written: each node's text once, and no others."""
-    rows = chosen.select("node", "doc_id", "row").join(wanted.distinct(), "node")
-    return scratch.cut(thin.join(rows, ["doc_id", "row"]).dropDuplicates(["node"]).select("node", "text"))
+    """wanted: node. (node, text), written: each node's text once, and no others. Only what is wanted is shuffled, while its ids are few enough to broadcast."""
+    rows = scratch.cut(chosen.select("node", "doc_id", "row").join(wanted.distinct(), "node"))
+    few = rows.count() <= MOST_BROADCAST
+    return scratch.cut(thin.join(F.broadcast(rows) if few else rows, ["doc_id", "row"]).dropDuplicates(["node"]).select("node", "text"))
 
 
 def confirm(scratch: Scratch, pairs: DataFrame, chosen: DataFrame, thin: DataFrame, percent: int = PERCENT) -> DataFrame:
