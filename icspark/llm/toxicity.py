@@ -1,23 +1,29 @@
-"""Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
+"""Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine over sentences.
 
-A text is a bag of words, and of its runs of short neighbouring tokens joined, so that a word
-written with spaces or line breaks is seen; it is as toxic as its most toxic word (multiple-instance learning
-from labelled texts). The kernel of two words sums over shared character subsequences of
-length `ORDER`, each weighted by DECAY to the length it spans in both, so insertions and
-gaps lower it only step by step. Landmark words span a Nystroem feature space; a squared-hinge
-linear machine is trained there, false alarms of the training texts are added and it is
-trained again; a logistic curve fitted on the training texts turns margins into scores.
+The kernel of two words sums over shared character subsequences of length `ORDER`, each weighted by
+DECAY to the length it spans in both, so insertions and gaps lower it only step by step. The kernel of a sentence and a
+landmark is the sum over its words, and over its runs of short neighbouring tokens joined, so that a word written with spaces or line
+breaks is seen; values of a word under FLOOR count as 0.
+
+Landmarks are fragments that mark toxic texts beyond chance, so wrong labels don't make landmarks of their own, and the
+words of clean texts that come nearest to them. Labels are those of whole texts, so training is multiple-instance: a clean
+text's sentences are all negative, of a toxic text those are positive that the machine takes for toxic, one at least. A squared-hinge machine over
+the Nystroem map of sentence rows, begun at the sentences near a fragment, is trained until these sentences stay the same. Near
+copies of a toxic text count once. Gapped and stretched forms of the words that mark toxic texts are added as
+positive sentences. A logistic curve over the TOP largest margins of a text's sentences, fitted on texts left aside, gives the score.
 
 Training reads at most `TRAIN_TOXIC` + `TRAIN_CLEAN` labelled texts (those with the smallest
 hash of their id); scoring reads every whole text, once, with no shuffle.
 
 Defined cases: null or empty texts score as a text without toxic words; words longer than
-`PIECE` are scored in overlapping pieces; repeated rows are scored each; null labels are not used;
-with no labelled texts of either class every score is 0; other columns are ignored.
+`PIECE` are scored in overlapping pieces, sentences beyond SENTENCE words in parts; repeated rows and rows of one id are scored each, as are
+rows without an id; null labels are not used; an id with both labels counts as either; ties go to the alphabetically first;
+with no labelled texts of either class, or nothing that tells them apart, every score is 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,14 +39,21 @@ from icspark.llm.common import Held, free_name, give_back, small_batches
 ORDER, DECAY, PIECE = 3, 0.6, 24
 #: Bound of the labelled sample, by class.
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 4000
-LANDMARKS = 28
+#: Landmarks at most: fragments of toxic words, and clean words near them.
+FRAGMENTS, HARD = 40, 16
+#: Kernel values below it count as 0; words of a sentence at most; rounds of the machine at most; sentences that make a text's score.
+FLOOR, SENTENCE, ROUNDS, TOP = 0.5, 64, 6, 3
+#: Kernel with a fragment at which a sentence of a toxic text is positive to begin with.
+NEAR = 0.7
+#: Share of clean texts that a fragment may stand in, against its share of toxic ones.
+IMPURE = 0.2
+#: Chance that some fragment marks toxic texts without meaning to.
+CHANCE = 0.01
 #: Most letters of a token that is also joined with its neighbours.
 SHORT = 3
 #: Tokens that a worker knows the margins of, in each of two generations.
 KNOWN_TOKENS = 150_000
-#: Margin of a text without words.
-NOTHING = -3.0
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_EDGE, _INNER = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[\W_]+")
 
 
 def pieces(word: str) -> list[str]:
@@ -149,32 +162,110 @@ def tokens_of(text: str | None) -> list[str]:
     return out
 
 
+def sentences_of(text: str | None) -> list[list[str]]:
+    """The tokens of each sentence; a token that ends in . ! or ? ends it, as does SENTENCE. A joined run stands where it begins."""
+    out: list[list[str]] = [[]]
+    run: list[str] = []
+    begun = out[0]
+
+    def close() -> None:
+        if len(run) > 1:
+            begun.append("".join(run))
+        run.clear()
+
+    for x in (text or "").lower().split():
+        w = x if len(x) <= SHORT and x.isalnum() else _EDGE.sub("", x)
+        if len(w) > SHORT:
+            close()
+        elif w:
+            begun = begun if run else out[-1]
+            run.append(w)
+        out[-1].append(x)
+        if x[-1] in ".!?" or len(out[-1]) >= SENTENCE:
+            out.append([])
+    close()
+    return [x for x in out if x]
+
+
+def bare(token: str) -> str:
+    """The token without signs at its ends and, among single letters, between them: `i.d.i.o.t` is `idiot`."""
+    word = _EDGE.sub("", token)
+    if not word.isalnum() and len(word) > 2:
+        letters = _INNER.sub("", word)
+        if 2 * len(letters) <= len(word) + 1 or len(word) - len(letters) == 1:
+            return letters
+    return word
+
+
 def words_of(text: str | None) -> list[str]:
-    return [mark(w) for x in tokens_of(text) if (w := _EDGE.sub("", x))]
+    return [mark(w) for x in tokens_of(text) if (w := bare(x))]
 
 
 @dataclass
 class Model:
-    """Landmarks, the machine's weights over the kernel row, and the logistic curve."""
+    """Landmarks: fragments and hard clean words; the machine's weights over a sentence's kernel row; slopes by place of a margin, and shift, of the logistic curve."""
 
-    landmarks: list[str]
+    fragments: list[str]
+    hard: list[str]
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     shift: float
 
-    def margins(self, words: list[str], kernel: "Kernel | None" = None) -> np.ndarray:
-        kernel = kernel or Kernel(self.landmarks)
-        flat, at = [], []
+    def score(self, margins: np.ndarray) -> np.ndarray:
+        """margins: texts by TOP."""
+        return 1 / (1 + np.exp(-np.clip(margins @ self.slopes + self.shift, -40, 40)))
+
+
+class Rows:
+    """Kernel rows of words against landmarks, floored; row 0 is that of words near no fragment. Hard words are compared with words near fragments only."""
+
+    def __init__(self, fragments: list[str], hard: list[str]):
+        self.first, self.second = Kernel(fragments), Kernel(hard) if hard else None
+        self.rows, self.size = np.zeros((1024, len(fragments) + len(hard)), np.float32), 1
+
+    def _of(self, kernel: Kernel, words: list[str]) -> np.ndarray:
+        flat, first = [], []
         for w in words:
-            at.append(len(flat))
+            first.append(len(flat))
             flat += pieces(w)
-        if not flat:
-            return np.empty(0, np.float32)
-        return np.maximum.reduceat(kernel(flat) @ self.weights + self.bias, at)
+        made = np.maximum.reduceat(kernel(flat), first) if flat else np.empty((0, len(kernel.landmarks)), np.float32)
+        made[made < FLOOR] = 0
+        return made
+
+    def add(self, words: list[str]) -> np.ndarray:
+        """Places of the rows of marked words."""
+        at = np.zeros(len(words), np.int64)
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            made = self._of(self.first, part)
+            near = np.flatnonzero(made.any(1))
+            made = made[near]
+            if self.second:
+                made = np.hstack([made, self._of(self.second, [part[x] for x in near])])
+            while self.size + len(near) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[self.size : self.size + len(near)] = made
+            at[k + near] = np.arange(self.size, self.size + len(near))
+            self.size += len(near)
+        return at
+
+
+def pooled(sentences: list[list[str]], place: dict[str, int], rows: np.ndarray) -> np.ndarray:
+    """Rows of the sentences that hold a word near a fragment: the sums over their words."""
+    found = [ks for x in sentences if (ks := [k for w in x if (k := place[w])])]
+    if not found:
+        return np.empty((0, rows.shape[1]), np.float32)
+    return np.add.reduceat(rows[[k for ks in found for k in ks]], np.cumsum([0, *map(len, found)])[:-1])
+
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+def largest(rows: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The TOP largest margins of a text's sentences, in order; sentences near no fragment, and missing ones, have the bias."""
+    margins = np.full(TOP, bias)
+    if len(rows):
+        values = np.sort(np.concatenate([rows @ weights + bias, margins]))[::-1]
+        margins = values[:TOP]
+    return margins
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -199,9 +290,9 @@ def fragments(word: str) -> set[str]:
 
 
 def cover(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, most: int) -> list[str]:
-    """Fragments that mark toxic texts and hardly any clean one; each next one covers most texts not yet covered.
+    """Fragments that mark toxic texts beyond chance and hardly any clean one; each next one covers most texts not yet covered.
 
-    bags: ids of the distinct words of each text. Fragments are counted by hash, so only those of
+    bags: ids of the distinct words of each text, near copies of toxic ones once. Fragments are counted by hash, so only those of
     three texts or more (of n1 / 150 in large samples) are ever held as strings. A second pass adds other fragments, unlike those
     found, that mark many texts already covered.
     """
@@ -212,12 +303,13 @@ def cover(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, mos
         if not y:
             seen[bag] += 1
     rare = seen < 0.005 * n0
-    mine = [(k, bag[rare[bag]]) for k, bag in unlike([(k, bag) for k, (bag, y) in enumerate(zip(bags, labels)) if y])]
+    mine = [(k, bag[rare[bag]]) for k, (bag, y) in enumerate(zip(bags, labels)) if y]
     of = lambda bag: set().union(*(fragments(vocabulary[w]) for w in bag.tolist()))
     digest = xxhash.xxh3_64_intdigest
     every = np.concatenate([np.empty(0, np.uint64), *(np.fromiter(map(digest, of(bag)), np.uint64) for _, bag in mine)])
     values, counts = np.unique(every, return_counts=True)
     often = set(values[counts >= max(3, n1 // 150)].tolist())
+    n_values = len(values)
     del every, values, counts
     toxic: dict[str, set[int]] = {}
     for k, bag in mine:
@@ -230,15 +322,17 @@ def cover(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, mos
         for f in fragments(vocabulary[w]):
             if f in toxic:
                 clean[f] = clean.get(f, 0) + int(seen[w])
-    pure = {f: at for f, at in toxic.items() if clean.get(f, 0) / n0 < 0.02 * len(at) / n1}
+    pure = {f: at for f, at in toxic.items() if clean.get(f, 0) / n0 < IMPURE * len(at) / n1 and _chance(len(at), (clean.get(f, 0) + 1) * n1 / n0) < CHANCE / max(n_values, 1)}
     out: list[str] = []
     for least in (3, max(3, n1 // 50)):
         left = {f: set(at) for f, at in pure.items() if not any(_alike(f, g) for g in out)}
         while left and len(out) < most:
-            best = max(left, key=lambda f: (len(left[f]), len(f), f))
+            best = max(left, key=lambda f: (len(left[f]) - 3 * clean.get(f, 0) * n1 / n0, len(f), f))
             gone = left.pop(best)
             if len(gone) < least:
-                break
+                if max(map(len, left.values()), default=0) < least:
+                    break
+                continue
             out.append(best)
             left = {f: rest for f, at in left.items() if (rest := at - gone) and (least == 3 or not _alike(f, best))}
             if least > 3:
@@ -246,6 +340,17 @@ def cover(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, mos
     return out
 
 
+def _chance(n: int, mean: float) -> float:
+    """That a Poisson count of this mean is n or more."""
+    term = math.exp(-mean + n * math.log(mean) - math.lgamma(n + 1))
+    total, k = term, n
+    while term > 1e-12 * total:
+        k += 1
+        term *= mean / k
+        total += term
+    return total
+
+
 def unlike(bags: list[tuple[int, np.ndarray]], words: int = 8, least: int = 6) -> list[tuple[int, np.ndarray]]:
     """Bags without near copies of earlier ones, so that one copied text counts once: they share `least` of their `words` smallest-hash words."""
     seen: dict[int, set[int]] = {}
@@ -288,56 +393,79 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     aside = np.arange(len(bags)) % 4 == 3
     if not (y_doc[aside].any() and y_doc[~aside].any() and not y_doc[~aside].all()):
         aside[:] = False
-    every, y_every = bags, y_doc
-    bags, y_doc = [b for b, out in zip(bags, aside) if not out], y_doc[~aside]
-    found = cover(vocabulary, bags, y_doc, LANDMARKS - 6)
+    held = aside if aside.any() else np.ones(len(bags), bool)
+    once = {k for k, _ in unlike([(k, bags[k]) for k in np.flatnonzero(y_doc & ~aside).tolist()])}
+    used = [k for k in np.flatnonzero(~aside).tolist() if not y_doc[k] or k in once]
+    mine, y_mine = [bags[k] for k in used], y_doc[used]
+    found = cover(vocabulary, mine, y_mine, FRAGMENTS)
     if not found:
         return None
     clean, strong = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
-    for bag, y in zip(bags, y_doc):
+    for bag, y in zip(mine, y_mine):
         (strong if y else clean)[bag] += 1
-    hit = np.array([any(f in w for f in found) for w in vocabulary])
-    strong[(clean > 0) | ~hit] = 0
-    order = np.array(sorted(range(len(vocabulary)), key=vocabulary.__getitem__))
-    common = [int(k) for k in order[np.argsort(-clean[order], kind="stable")] if clean[k]]
-    best = [int(k) for k in order[np.argsort(-strong[order], kind="stable")] if strong[k]]
-    kernel = Kernel([m[:PIECE] for m in found + [vocabulary[k] for k in common if 5 <= len(vocabulary[k]) <= 8][: LANDMARKS - len(found)]])
-    gram = kernel(kernel.landmarks).astype(float)
+    order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
+    fragments = [m[:PIECE] for m in found]
+    near = Rows(fragments, []).add(vocabulary) > 0
+    tell = clean / max((~y_mine).sum(), 1) - strong / max(y_mine.sum(), 1)  # words near a fragment that are the clean texts'
+    hard = [vocabulary[k][:PIECE] for k in sorted(order, key=lambda k: -tell[k])[: len(vocabulary)] if near[k] and tell[k] > 0][:HARD]
+    rows = Rows(fragments, hard)
+    known = dict(zip([vocabulary[k] for k in np.flatnonzero(near)], rows.add([vocabulary[k] for k in np.flatnonzero(near)]).tolist()))
+    landmarks = fragments + hard
+    gram = Kernel(landmarks)(landmarks).astype(float)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     good = value > 1e-4
     root = vector[:, good] / np.sqrt(value[good])  # Nystroem map: kernel row @ root
-    toxic_rows = {vocabulary[k]: 1 + np.log(strong[k]) for k in best}
-    toxic_rows |= {x: 1.0 for k in best[:40] for x in loosened(vocabulary[k]) if not (x in ids and clean[ids[x]])}
-    clean_rows = {vocabulary[k]: 1 + np.log(clean[k]) for k in common[:4000]}
-    for turn in range(2):
-        x = kernel([p[:PIECE] for p in [*toxic_rows, *clean_rows]]).astype(float) @ root
-        y = np.r_[np.ones(len(toxic_rows)), -np.ones(len(clean_rows))]
-        weight = np.array([*toxic_rows.values(), *clean_rows.values()])
+    place = Tokens(lambda token: known.get(mark(w), 0) if (w := bare(token)) else 0)
+    sentences = [pooled(sentences_of(t), place, rows.rows) for t in texts]
+    hit = [k for k in sorted(order, key=lambda k: -strong[k]) if strong[k] and not clean[k] and any(f in vocabulary[k] for f in found)]
+    forms = [x for k in hit[:40] for x in loosened(vocabulary[k]) if not (x in ids and clean[ids[x]])]
+    added = rows.rows[rows.add(forms)] if forms else np.empty((0, len(landmarks)), np.float32)
+    nothing = np.zeros((1, len(landmarks)), np.float32)
+    negative = [sentences[k] for k, y in zip(used, y_mine) if not y]
+    x0, n0 = np.unique(np.concatenate([*negative, nothing]), axis=0, return_counts=True)
+    weigh0 = n0.astype(float)
+    weigh0[~x0.any(1)] += sum(not len(x) for x in negative)  # texts near no fragment
+    bag_of = [np.concatenate([sentences[k], nothing]) for k, y in zip(used, y_mine) if y]
+    near_of = [x[:, : len(found)].max(1) for x in bag_of]
+    taken = [(x >= NEAR) | (np.arange(len(x)) == x.argmax()) for x in near_of]
+    for _ in range(ROUNDS):
+        x1 = np.concatenate([x[t] for x, t in zip(bag_of, taken)])
+        share = np.concatenate([np.full(t.sum(), 1 / t.sum()) for t in taken])  # a text weighs 1
+        x = np.concatenate([x1, added, x0]).astype(float) @ root
+        y = np.r_[np.ones(len(x1) + len(added)), -np.ones(len(x0))]
+        extra = np.full(len(added), 0.25 * len(bag_of) / max(len(added), 1))  # all added forms weigh a quarter of the texts
+        weight = np.r_[share, extra, weigh0]
         weight /= np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
-        w, b = machine(x, y, weight * len(y))
-        model = Model(kernel.landmarks, (root @ w).astype(np.float32), b, 1.0, 0.0)
-        margin = np.concatenate([model.margins(vocabulary[k : k + 20_000], kernel) for k in range(0, len(vocabulary), 20_000)])
-        if not turn:  # words of clean texts that look toxic
-            alarms = sorted((k for k in np.flatnonzero((clean > 0) & (margin > -0.8)).tolist() if vocabulary[k] not in clean_rows), key=lambda k: (-margin[k], vocabulary[k]))[:4000]
-            clean_rows |= {vocabulary[k]: 1 + np.log(clean[k]) for k in alarms}
-    held = aside if aside.any() else np.ones(len(every), bool)
-    top = np.array([margin[bag].max() if len(bag) else NOTHING for bag, use in zip(every, held) if use])
-    model.slope, model.shift = _logistic(top, y_every[held].astype(float))
-    return model
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        v = p * (1 - p) + 1e-9
-        g = np.array([(y - p) @ x - 0.01 * a, (y - p).sum()])
-        h = np.array([[(v * x) @ x + 0.01, v @ x], [v @ x, v.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a + np.clip(step[0], -2, 2), b + np.clip(step[1], -2, 2)
-        if np.abs(step).max() < 1e-8:
+        w, bias = machine(x, y, weight * len(y))
+        weights = (root @ w).astype(np.float32)
+        margins = [x @ weights + bias for x in bag_of]
+        now = [(m > 0) | (np.arange(len(m)) == m.argmax()) for m in margins]
+        if all((a == b).all() for a, b in zip(now, taken)):
+            break
+        taken = now
+    top = np.stack([largest(x, weights, bias) for x, use in zip(sentences, held) if use])
+    return Model(fragments, hard, weights, bias, *_logistic(top, y_doc[held].astype(float)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(slopes, shift) of a lightly smoothed logistic regression; no margin counts against toxicity."""
+    use = np.arange(x.shape[1])
+    while True:
+        z = np.hstack([x[:, use], np.ones((len(x), 1))])
+        ridge = np.r_[np.full(len(use), 0.1), 1e-6]
+        w = np.zeros(z.shape[1])
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+            w += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        if len(use) < 2 or (w[:-1] >= 0).all():
             break
-    return float(max(a, 0.1)), float(b)
+        use = use[w[:-1] >= 0] if (w[:-1] >= 0).any() else use[:1]
+    slopes = np.zeros(x.shape[1])
+    slopes[use] = np.maximum(w[:-1], 0.1 if len(use) < 2 else 0)
+    return slopes, float(w[-1])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -358,12 +486,24 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, cle
     return model
 
 
+class Tokens(dict):
+    """Places of rows by token, found on demand."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, token: str) -> int:
+        value = self[token] = self.find(token)
+        return value
+
+
 class Scorer(dict):
-    """Margin of a white-space separated token, kept per worker in two generations; new ones are taken in whole batches."""
+    """Place of the row of each token, 0 for one near no fragment; kept per worker in two generations, and new ones are taken in whole batches."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.kernel, self.old = model, Kernel(model.landmarks), {}
+        self.model, self.rows, self.old = model, Rows(model.fragments, model.hard), {}
 
     def learn(self, tokens: set[str]) -> None:
         if len(self) > KNOWN_TOKENS:
@@ -373,10 +513,24 @@ class Scorer(dict):
         if self.old:
             self.update((t, self.old[t]) for t in new if t in self.old)
             new = [t for t in new if t not in self]
-        bare = [_EDGE.sub("", t) for t in new]
-        words = sorted({w for w in bare if w})
-        margin = dict(zip(words, self.model.margins([mark(w) for w in words], self.kernel).tolist()))
-        self.update((t, margin.get(w, NOTHING)) for t, w in zip(new, bare))
+        if self.rows.size > KNOWN_TOKENS:  # rows of tokens long forgotten
+            self.rows, self.old = Rows(self.model.fragments, self.model.hard), {}
+            new = list(tokens)
+            self.clear()
+        stripped = [bare(t) for t in new]
+        words = sorted({w for w in stripped if w})
+        place = dict(zip(words, self.rows.add([mark(w) for w in words]).tolist()))
+        self.update((t, place.get(w, 0)) for t, w in zip(new, stripped))
+
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        """The TOP largest margins of the sentences of each text."""
+        bags = [set(tokens_of(t)) for t in texts]
+        self.learn(set().union(*bags))
+        out = np.full((len(texts), TOP), self.model.bias)
+        for k, bag in enumerate(bags):
+            if any(map(self.__getitem__, bag)):  # only then its sentences matter
+                out[k] = largest(pooled(sentences_of(texts[k]), self, self.rows.rows), self.model.weights, self.model.bias)
+        return out
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -396,14 +550,9 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         model = shared.value
         scorer = None
         if model is not None:
-            scorer = Held.get(("toxicity", tuple(model.landmarks), model.bias), lambda: Scorer(model))
+            scorer = Held.get(("toxicity", tuple(model.fragments), model.bias), lambda: Scorer(model))
         for b in batches:
-            bags = [set(tokens_of(t)) for t in b.column(at).to_pylist()]
-            if scorer is None:
-                scores = np.zeros(len(bags))
-            else:
-                scorer.learn(set().union(*bags))
-                scores = model.score(np.array([max(map(scorer.__getitem__, bag), default=NOTHING) for bag in bags]))
+            scores = np.zeros(b.num_rows) if scorer is None else model.score(scorer.margins(b.column(at).to_pylist()))
             columns = [b.column(k) for k in range(len(names)) if keep or k != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
 

@@ -394,6 +394,29 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.train(docs, empty(labels))).where("score > 0").count() == 0
 
 
+@pytest.mark.parametrize(("sf", "accuracy", "precision", "recall"), [("sf0.01", 0.95, 0.95, 0.5), ("sf0.1", 0.96, 0.86, 0.82)])
+def test_toxicity_of_texts_held_out(sf, accuracy, precision, recall):
+    """Fitted on labelled texts that aren't held out, judged on those that are. A few labels are wrong by themselves."""
+    import pyarrow.parquet as pq
+
+    at = f"/root/testdata/{sf}"
+    marks = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{at}/labels.parquet").to_pylist() if r["toxic"] is not None}
+    rows = [(r["text"], marks[r["doc_id"]], zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in pq.read_table(f"{at}/documents.parquet", columns=["doc_id", "text"]).to_pylist() if r["doc_id"] in marks]
+    model = toxicity.fit([t for t, _, out in rows if not out], [y for _, y, out in rows if not out])
+    found = model.score(toxicity.Scorer(model).margins([t for t, _, out in rows if out])) >= 0.5
+    want = np.array([y for _, y, out in rows if out]) > 0
+    got = ((found == want).mean(), want[found].mean(), found[want].mean())
+    print(sf, "accuracy, precision, recall:", got)
+    assert got[0] >= accuracy and got[1] >= precision and got[2] >= recall
+
+
+def test_sentences():
+    assert toxicity.sentences_of(None) == [] and toxicity.sentences_of("A b. cd! Long word\nmore") == [["a", "b.", "abcd"], ["cd!"], ["long", "word", "more"]]
+    assert toxicity.sentences_of("say i d i o t now") == [["say", "i", "d", "i", "o", "t", "now", "sayidiotnow"]]
+    assert len(toxicity.sentences_of("word " * 1000)) > 10
+    assert toxicity.bare("i.d.i.o.t!") == "idiot" and toxicity.bare("mo*ron") == "moron" and toxicity.bare("well-known-thing") == "well-known-thing"
+
+
 def test_language(spark):
     r = random.Random(3)
     speak = {"en": ["the", "house", "with", "green"], "de": ["das", "haus", "mit", "grün"]}
