@@ -41,7 +41,7 @@ SPAN, ANCHOR = 50, 20
 BLOCK = SPAN // 2
 #: Bytes of compressed text that a shard of the last step holds, about; its passages are no longer than its texts, but for a window's rest each.
 SHARD_BYTES = 1 << 19
-#: Another order of a word's hash, so that a window has 128 bits.
+#: Another order of a word's hash, so that a window has 96 bits.
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -166,9 +166,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
                 ok = np.flatnonzero(np.isin(grams[at], np.array(want, np.int64).view(np.uint64)))
                 places.append(ok.astype(np.int32))
                 hashes.append(window_hashes(h, SPAN)[ok].view(np.int64))
-                seconds.append(window_hashes(mixed(h ^ _SECOND), SPAN)[ok].view(np.int64))
+                seconds.append((window_hashes(mixed(h ^ _SECOND), SPAN)[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 squeezed.append(_squeezed(text))
-            lists = [pa.array(x, pa.list_(t)) for x, t in ((places, pa.int32()), (hashes, pa.int64()), (seconds, pa.int64()))]
+            lists = [pa.array(x, pa.list_(t)) for x, t in ((places, pa.int32()), (hashes, pa.int64()), (seconds, pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(squeezed, pa.binary()), *lists], ["doc_id", "row", "z", "places", "hashes", "seconds"])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +183,16 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
 
     # one compressed shuffle of the texts; equal rows leave one
     involved = thin.mapInArrow(squeeze, "doc_id long, row long, z binary").join(wanted, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "z", "wanted")
-    involved = scratch.cut(involved.mapInArrow(loosen(windows), "doc_id long, row long, z binary, places array<int>, hashes array<long>, seconds array<long>"))
+    involved = scratch.cut(involved.mapInArrow(loosen(windows), "doc_id long, row long, z binary, places array<int>, hashes array<long>, seconds array<int>"))
+    # where no id stands first for several texts, ids alone tell texts apart from here on: a constant takes no room
+    alone = firsts.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if alone:
+        involved, firsts = (df.withColumn("row", F.lit(0).cast("long")) for df in (involved, firsts))
     texts = involved.select("doc_id", "row", "z")
     rows = involved.select("doc_id", "row", F.explode(F.arrays_zip("hashes", "seconds", "places")).alias("x")).select(F.col("x.hashes").alias("w"), F.col("x.seconds").alias("w2"), "doc_id", "row", F.col("x.places").alias("place"))
     sources = rows.groupBy("w", "w2").agg(F.min(F.struct("doc_id", "row", "place")).alias("s"), F.max("doc_id").alias("most")).where("s.doc_id < most")
     sources = scratch.cut(sources.select("w", "w2", F.col("s.doc_id").alias("source"), F.col("s.row").alias("source_row"), F.col("s.place").alias("at")))
-    matched = rows.select("w", "w2", "doc_id", "row").join(sources, ["w", "w2"]).where("source < doc_id")
+    matched = scratch.cut(rows.select("w", "w2", "doc_id", "row").join(sources, ["w", "w2"]).where("source < doc_id").select("doc_id", "row", "source", "source_row", "at"))
     receivers = scratch.cut(matched.select("doc_id", "row").distinct())
     scanned = scratch.cut(texts.join(receivers, ["doc_id", "row"], "left_semi"))
     size = scanned.agg(F.sum(F.octet_length("z"))).first()[0] or 0
