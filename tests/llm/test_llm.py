@@ -591,3 +591,125 @@ def test_clean_rows_stay(spark):
     for stage in (corpus_pipeline.drop_repeated_lines, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_benchmark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+
+
+# ---- rows of one id, equal rows, rows without an id ----------------------------------------
+
+
+@pytest.fixture(scope="module")
+def odd():
+    """(doc_id, text): repeated rows, several texts of an id, copies, near copies, shared passages and lines, rows without an id."""
+    r = random.Random(31)
+    a, b, shared = text(r, 90), text(r, 120), text(r, 60)
+    near = b.split()
+    near[60] = "other"
+    rows = [(5, a), (2, b), (2, b), (7, a), (2, a), (9, " ".join(near)), (None, a), (None, b), (4, f"{text(r, 10)} {shared} {text(r, 5)}"), (4, f"{shared} {text(r, 9)}"), (4, f"{shared} {text(r, 9)}")]
+    rows += [(6, f"{text(r, 3)}\n{shared}\n\n{text(r, 4)}"), (6, None), (6, ""), (None, None), (3, f"{text(r, 7)} {shared}")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark, odd):
+    return spark.createDataFrame([(*x, k) for k, x in enumerate(odd)], "doc_id long, text string, row int").repartition(3)
+
+
+def listed(rows):
+    return sorted(map(str, rows))
+
+
+def test_substrings_of_odd_rows(odd_docs, odd):
+    words = [(d, [w.decode() for w in (t or "").encode().split()]) for d, t in odd]
+    first = {}
+    for d, w in words:
+        for s in range(len(w) - 49 if d is not None else 0):
+            key = tuple(w[s : s + 50])
+            first[key] = min(d, first.get(key, d))
+    want = []
+    for d, w in words:
+        gone = {i for s in range(len(w) - 49) if d is not None and first[tuple(w[s : s + 50])] < d for i in range(s, s + 50)}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        want.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    assert listed(tuple(x) for x in substrings.report(odd_docs, with_text=True).collect()) == listed(want)
+    assert listed(tuple(x) for x in substrings.report(odd_docs).collect()) == listed(x[:4] for x in want)
+
+
+def test_minhash_of_odd_rows(spark, odd_docs, odd):
+    sets = []
+    for _, t in odd:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+    able = [k for k, (d, _) in enumerate(odd) if d is not None and sets[k]]
+    pairs = [(a, b) for a in able for b in able if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    top = roots(pairs, range(len(odd)))
+    smallest = {}
+    for k in able:
+        smallest[top[k]] = min(odd[k][0], smallest.get(top[k], odd[k][0]))
+    component = [smallest.get(top[k], d) if k in able else d for k, (d, _) in enumerate(odd)]
+    want = [(d, len(sets[k]), component[k], d is None or d == component[k]) for k, (d, _) in enumerate(odd)]
+    assert listed(tuple(x) for x in minhash.groups(odd_docs).collect()) == listed(want)
+    kept = minhash.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns and sorted(x.row for x in kept.collect()) == [k for k, x in enumerate(want) if x[3]]
+    chain = spark.createDataFrame([(1, odd[0][1]), (5, odd[0][1]), (5, odd[1][1]), (7, odd[1][1])], "doc_id long, text string")
+    assert listed((x.doc_id, x.text) for x in minhash.keep_one(chain).collect()) == listed([(1, odd[0][1]), (5, odd[1][1])])
+
+
+def test_vectors_of_one_id(spark):
+    r = np.random.default_rng(4)
+    a, b, c = r.standard_normal((3, 8))
+    rows = [(3, a), (1, b), (1, a), (1, a), (2, 2 * b), (None, a), (8, c), (8, c), (9, None), (None, None)]
+    got = nndescent.near_duplicates(spark.createDataFrame([(d, None if v is None else v.tolist()) for d, v in rows], "vec_id long, embedding array<double>"))
+    want = [(3, 2, 1, False), (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (None, 0, None, True), (8, 1, 8, True), (8, 1, 8, True), (9, 0, 9, True), (None, 0, None, True)]
+    assert listed(tuple(x) for x in got.collect()) == listed(want)
+
+
+def test_decontamination_lines_and_packing_of_odd_rows(spark, odd_docs, odd):
+    bench = spark.createDataFrame([(1, " ".join(odd[0][1].split()[5:30])), (1, None), (None, "w1")], "item_id long, text string")
+    found = decontam.report(odd_docs, bench).collect()
+    assert listed((x.doc_id, x.n_words) for x in found) == listed((d, len(decontam.words_of((t or "").encode()))) for d, t in odd)
+    assert sum(x.n_hit >= 25 for x in found) == sum(t == odd[0][1] for _, t in odd)
+    cut = decontam.remove(odd_docs, bench)
+    assert cut.columns == odd_docs.columns and cut.count() == len(odd)
+    lines_left = {x.row: x.text for x in lines.dedup(odd_docs).collect()}
+    assert lines_left == {k: t for k, (_, t) in enumerate(odd)}  # no chunk of several lines stands in two texts
+    pieces = packing.pack(odd_docs).collect()
+    coder, tokens, begun = packing.coder_of(None), {}, {}
+    for d, t in odd:
+        tokens[str(d)] = tokens.get(str(d), 0) + len(coder.whole(t or "")) + 1
+        begun[str(d)] = begun.get(str(d), 0) + 1
+    assert {d: sum(p.length for p in pieces if str(p.doc_id) == d) for d in tokens} == tokens
+    assert {d: sum(p.start == 0 for p in pieces if str(p.doc_id) == d) for d in begun} == begun
+
+
+def test_toxicity_of_odd_rows(spark, odd_docs, odd):
+    r = random.Random(9)
+    rows = [(100 + k, " ".join(r.choices(WORDS, k=30) + (["idiot"] if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(200)]
+    train_on = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"))
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows] + [(104, 1), (104, 0), (None, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(train_on, labels)
+    got = toxicity.score(odd_docs, model).collect()
+    assert listed(x.doc_id for x in got) == listed(d for d, _ in odd) and all(0 <= x.score < 0.5 for x in got)
+    assert toxicity.score(empty(odd_docs), model).count() == 0
+    assert toxicity.clean(odd_docs, empty(labels)).count() == len(odd)
+
+
+def test_hot_groups_of_nodes(spark):
+    """Components of a star, a long path and a clique that span many tasks."""
+    pairs = [(0, k) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(300)] + [(2000 + a, 2000 + b) for a in range(25) for b in range(a)]
+    found = {x.id: x.root for x in components(Scratch(spark), spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
+    want = roots(pairs, {k for p in pairs for k in p})
+    assert found == {k: v for k, v in want.items() if k != v}
+    with pytest.raises(RuntimeError):
+        components(Scratch(spark), spark.createDataFrame([(k, k + 1) for k in range(64)], "a long, b long").repartition(16), most_rounds=1)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd_docs):
+    """Every stage answers repeated rows, rows without an id and an empty table, and keeps the columns."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = odd_docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(char_length(text) as long) AS n_chars", "row AS score")
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, empty(docs)):
+            out = stage(spark, given, sf)
+            assert name == "packing" or out.columns == docs.columns, name
+            assert (out.count() > 0) == (given is docs), name
