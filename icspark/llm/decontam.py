@@ -6,8 +6,8 @@ of the item id; each block is broadcast in turn, scans the original text of ever
 
 Defined cases: a null or empty text has no words and no hits; an item of fewer words than
 the window is one window, one of none is ignored; repeated items all count; repeated rows of a document
-are judged each by itself; an empty benchmark hits nothing; columns beyond id and text are carried
-by `remove` only.
+and rows without an id are judged each by itself; an item without an id hits, but isn't counted or named; an empty benchmark hits nothing; an
+empty table gives no rows; columns beyond id and text are carried by `remove` only.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ class NgramSet:
     def __init__(self, items: list[tuple[int, bytes]], window: int):
         self.by_length: dict[int, dict[int, list[tuple[tuple[bytes, ...], set[int]]]]] = {}
         for item, text in items:
-            words = words_of(text)
+            words, named = words_of(text), () if item is None else (item,)
             n = min(window, len(words))
             if not n:
                 continue
@@ -51,10 +51,10 @@ class NgramSet:
                 gram = tuple(words[k : k + n])
                 for held, ids in at.setdefault(value, []):
                     if held == gram:
-                        ids.add(item)
+                        ids.update(named)
                         break
                 else:
-                    at[value].append((gram, {item}))
+                    at[value].append((gram, set(named)))
         self.sorted = {n: np.sort(np.fromiter(at, np.uint64, len(at))) for n, at in self.by_length.items()}
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
@@ -109,7 +109,7 @@ def _ngrams(shared, window: int) -> NgramSet:
 
 
 def _scanned(docs: DataFrame, at: int, blocks: list[DataFrame], item_id: str, item_text: str, window: int, finish: Callable, schema) -> DataFrame:
-    """finish(batch of docs, n_words, spans, items) on every batch, with each row's hits of all blocks on the text in column `at`.
+    """finish(columns of docs, n_words, spans, items, scan) on every batch, with each row's hits of all blocks on the text in column `at`; scan finds those of the last block.
 
     Rows carry their hits from block to block; between blocks they are written, so a task holds one block's set at a time.
     """
@@ -131,14 +131,16 @@ def _scanned(docs: DataFrame, at: int, blocks: list[DataFrame], item_id: str, it
                     spans.append(s0 + [x for p in s for x in p])
                     items.append(sorted(i.union(i0)))
                 if last:
-                    yield finish(b.columns[:width], n_words, spans, items)
+                    yield finish(b.columns[:width], n_words, spans, items, grams.scan)
                 else:
                     yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=carried.names)
 
         if last:
             return out.mapInArrow(go, schema)
         old, out = out, scratch.cut(out.mapInArrow(go, carried))
-        scratch.drop(old) if turn else None
+        shared.unpersist()
+        if turn:
+            scratch.drop(old)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -146,7 +148,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def finish(columns, n_words, spans, items) -> pa.RecordBatch:
+    def finish(columns, n_words, spans, items, scan) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[0], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
 
     return _scanned(thin, 1, _blocks(benchmark, item_id, item_text), item_id, item_text, window, finish, "doc_id long, n_words long, spans array<int>, items array<long>")
@@ -186,19 +188,36 @@ def without_spans(text: str, spans: list[int]) -> str:
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, document_share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without benchmark passages: hit spans are cut; a document goes if hits make up `document_share` of its words.
 
-    Columns of docs are kept as they are. Share and cuts are those of all blocks together on the original text.
+    Columns of docs are kept as they are. The share is that of all blocks together on the original text. Where a cut joins words to
+    a new hit, it is cut as well, until none is left: inside the task with one block, by further passes with several.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     names = docs.columns
     at = names.index(text_col)
-
-    def finish(columns, n_words, spans, items) -> pa.RecordBatch:
-        texts, keep = [], []
-        for text, n, flat in zip(columns[at].to_pylist(), n_words, spans):
-            share = hit_mask(n, zip(flat[::2], flat[1::2])).mean() if flat else 0
-            keep.append(share < document_share)
-            texts.append(without_spans(text, flat) if flat and keep[-1] else text)
-        columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(columns)]
-        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
-
-    return _scanned(docs, at, _blocks(benchmark, "item_id", "text"), "item_id", "text", window, finish, docs.schema)
+    blocks = _blocks(benchmark, "item_id", "text")
+    alone = len(blocks) == 1
+
+    def cutting(share: float):
+        def finish(columns, n_words, spans, items, scan) -> pa.RecordBatch:
+            texts, keep = [], []
+            for text, n, flat in zip(columns[at].to_pylist(), n_words, spans):
+                keep.append(not flat or hit_mask(n, zip(flat[::2], flat[1::2])).mean() < share)
+                while flat and keep[-1]:
+                    text = without_spans(text, flat)
+                    flat = [x for p in scan(words_of(text.encode()))[0] for x in p] if alone else []
+                texts.append(text)
+            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(columns)]
+            return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+        return finish
+
+    out = _scanned(docs, at, blocks, "item_id", "text", window, cutting(document_share), docs.schema)
+    if alone:
+        return out
+    scratch = Scratch(spark)
+    while True:
+        out = scratch.cut(out)
+        if hits(out, benchmark, window, id_col, text_col).where(F.size("spans") > 0).isEmpty():
+            return out
+        out = _scanned(out, at, blocks, "item_id", "text", window, cutting(2.0), docs.schema)  # no document goes for what is left of it
