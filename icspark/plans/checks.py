@@ -222,7 +222,11 @@ _TWO = _geo_sql() + """, counts2 AS (SELECT true_region, r_name, count(*) AS n F
 
 
 def _two(df: DataFrame) -> Program:
-    return Program([s for s in (fit(df, ["n_name"], "r_name"), fit(df, ["true_region"], "r_name", 0.0052)) if s])
+    p = Program()
+    for s in (fit(df, ["n_name"], "r_name"), fit(df, ["true_region"], "r_name", 0.0052)):
+        if s:
+            p.add(s)
+    return p
 
 
 @_own("several_statements", _TWO + "SELECT l_orderkey, l_linenumber, final IS NOT NULL AND final <> r_name AS alert, concat_ws(',', CASE WHEN expected <> r_name THEN '0' END, CASE WHEN expected2 <> r_name THEN '1' END) AS violated, coalesce(final, r_name) AS mended FROM both2")
