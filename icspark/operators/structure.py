@@ -9,7 +9,7 @@ import itertools
 import math
 import warnings
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
@@ -155,6 +155,43 @@ class Graph:
         self.edges.discard(frozenset((a, b)))
         self.arcs.add((a, b))
 
+    def add_arc(self, a: str, b: str) -> None:
+        """a -> b, new or in place of an edge; an arc that closes a cycle is refused."""
+        new = self.copy()
+        new.orient(a, b)
+        if a == b or not new.acyclic():
+            raise ValueError(f"{a} -> {b} closes a cycle")
+        self.orient(a, b)
+
+    def lines(self) -> list[str]:
+        """`a -> b` and `a -- b`, as other graph tools list them, and nodes alone."""
+        held = {x for p in (*self.edges, *self.arcs) for x in p}
+        return sorted([f"{a} -> {b}" for a, b in self.arcs] + [" -- ".join(sorted(e)) for e in self.edges] + [n for n in self.nodes if n not in held])
+
+    @classmethod
+    def of_lines(cls, lines: Iterable[str]) -> "Graph":
+        """The graph that `lines` gives; an edge with two heads stands for no class of DAGs and is refused."""
+        g = cls([])
+        for line in lines:
+            a, mark, b = (line.split() + ["", ""])[:3]
+            if mark not in ("", "--", "->"):
+                raise ValueError(f"no edge of a class of DAGs: {line!r}")
+            g.nodes = sorted({*g.nodes, a, b} - {""})
+            if mark == "--":
+                g.edges.add(frozenset((a, b)))
+            elif mark:
+                g.add_arc(a, b)
+        return g
+
+    def of_edges(self, arcs: Iterable[tuple[str, str]]) -> "Graph":
+        """This class with its edges turned as the arcs say: one of its DAGs, if every edge is named and no collider is new."""
+        new = self.copy()
+        for a, b in arcs:
+            if not new.adjacent(a, b) or (b, a) in new.arcs:
+                raise ValueError(f"{a} -> {b} is no edge of the class")
+            new.add_arc(a, b)
+        return new
+
     def parents(self, a: str) -> list[str]:
         return sorted(p for p, c in self.arcs if c == a)
 

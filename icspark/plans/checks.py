@@ -155,6 +155,13 @@ _named("filter_null_order", "SELECT nulls.c_custkey FROM nulls WHERE nulls.segme
 _named("filter_date", "SELECT orders.o_orderkey FROM orders WHERE orders.o_orderdate >= '1995-06-01' AND orders.o_orderdate < '1996-01-01 00:00:00'", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-06-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
 _named("filter_date_eq", "SELECT count(*) FROM orders WHERE orders.o_orderdate != '1995-06-01'", "SELECT count(*) AS \"count(*)\" FROM orders WHERE o_orderdate <> TIMESTAMP '1995-06-01'")
 
+@_own("group_case_rows_by_key", "SELECT c_mktsegment, c_custkey, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS \"CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END\" FROM customer")
+def _(spark, sf_dir):
+    """Rows of groups carry the key that the catalog names."""
+    catalog = Catalog(spark, tables(spark, sf_dir).paths, keys={"customer": ("c_custkey",)})
+    return run_query("SELECT CASE WHEN customer.c_acctbal < 0 THEN 1 ELSE 0 END FROM customer GROUP BY customer.c_mktsegment", catalog)
+
+
 _REFUSED = ["SELECT t.* FROM t GROUP BY t.k", "SELECT t.v FROM t GROUP BY t.k", "SELECT M1 FROM t", "SELECT CASE WHEN M1 == 1 THEN 1 ELSE 0 END FROM t GROUP BY t.k\nM1: a, rule", "SELECT t.v FROM t WHERE t.v == 1 OR t.k == 1", "SELECT mean(t.*) FROM t", "SELECT sum(M1) FROM t\nM1: b, rule"]
 
 
@@ -406,6 +413,23 @@ def _(spark, sf_dir):
     return spark.createDataFrame(out, "n long, of_complete long, of_path long, cyclic long")
 
 
+_LINES = ["a -> c", "b -> c", "c -- d", "e"]
+
+
+@_own("graph_exchange", "SELECT unnest(['a -> c', 'b -> c', 'c -> d', 'e', 'refused a <-> b', 'refused d -> a']) AS line")
+def _(spark, sf_dir):
+    """A class read from text, turned into a DAG, written as text; what is no DAG is refused."""
+    g = structure.Graph.of_lines(_LINES).of_edges([("c", "d")])
+    out = g.lines()
+    for line in ("a <-> b", "d -> a"):
+        try:
+            structure.Graph.of_lines([*g.lines(), line])
+            out.append(line)
+        except ValueError:
+            out.append(f"refused {line}")
+    return spark.createDataFrame([(x,) for x in out], "line string")
+
+
 _WIDE = ["c_custkey", "c_name", "c_acctbal", "nullif(c_mktsegment, 'BUILDING') AS segment", "c_nationkey % 10 AS nation", "c_custkey % 3 AS third"]
 
 

@@ -28,7 +28,7 @@ class Plan:
     def __init__(self, spec: QuerySpec, catalog: Catalog, models: Registry, guards: dict[str, Guard] | None, analyst: Analyst | None = None):
         self.spec, self.models, self.guards, self.analyst = spec, models, guards or {}, analyst
         self.df = catalog.load(spec.dataset, spec.version)
-        self.base = list(self.df.columns)
+        self.base, self.row = list(self.df.columns), catalog.keys.get(spec.dataset, ())
         self.predicted: dict[int, str] = {}
 
     def predict(self, number: int) -> str:
@@ -114,7 +114,7 @@ class Plan:
             if p.case.condition.operand.model is not None:
                 raise QueryError("a grouped CASE over a model needs an aggregate")
             k = self.key()
-            return self.df.select(_col(k), value.alias(text))
+            return self.df.select(_col(k), *[_col(c) for c in self.row if c != k], value.alias(text))
         o = p.operand
         if not p.agg:
             raise QueryError("a grouped query needs an aggregate")

@@ -51,11 +51,15 @@ def write_table(df: DataFrame, path: str) -> None:
 
 @dataclass
 class Catalog:
-    """name to path; a version is a sibling: `adult.csv` has `adult.train.csv`. Frames may be registered directly."""
+    """name to path; a version is a sibling: `adult.csv` has `adult.train.csv`. Frames may be registered directly.
+
+    keys names the columns that tell a table's rows apart: results that list rows of groups carry them.
+    """
 
     spark: SparkSession
     paths: dict[str, str] = field(default_factory=dict)
     frames: dict[str, DataFrame] = field(default_factory=dict)
+    keys: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     @classmethod
     def of_folder(cls, spark: SparkSession, folder: str, names: list[str], suffix: str = ".parquet") -> "Catalog":
