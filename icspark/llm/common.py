@@ -104,6 +104,16 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
+#: Bytes of a table that may be broadcast, counted as ROW_BYTES a row and ITEM_BYTES an entry of its lists.
+BROADCAST_BYTES, ROW_BYTES, ITEM_BYTES = 32 << 20, 48, 16
+
+
+def light(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """df, written before, marked for a broadcast if its counted size allows it: rows of some numbers, and a column of short lists."""
+    rows, items = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.lit(0)).first()
+    return F.broadcast(df) if rows * ROW_BYTES + items * ITEM_BYTES <= BROADCAST_BYTES else df
+
+
 def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 

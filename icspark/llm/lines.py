@@ -3,7 +3,7 @@
 A rolling hash over the hashes of the last `REACH` lines ends a chunk where it is 0 modulo
 `MEAN_LINES`, so boundaries follow the content and survive shifts. A chunk of several lines
 that stands elsewhere, in any document, is kept once, where (id, row, place) is smallest. Hashes of all
-chunks propose, the chunks' bytes decide.
+chunks propose, the chunks' bytes decide. Texts meet what was found about them by a broadcast while that is small by count, else by a shuffle.
 
 Defined cases: null text stays null and has no lines; an empty text is one empty line; lines
 are parted by \\n and compared byte for byte; single-line chunks stay; a text whose lines all
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icspark.llm.common import Scratch, free_name, sha256_hex, small_batches
+from icspark.llm.common import Scratch, free_name, light, sha256_hex, small_batches
 
 REACH, MEAN_LINES = 3, 4
 _FACTORS = (1, 31, 961)
@@ -71,7 +71,7 @@ def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
 
     every = scratch.cut(thin.mapInArrow(listed, "doc_id long, row long, first_line int, n_lines int, h long"))
     twice = scratch.cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
-    wanted = every.join(twice, "h").groupBy("doc_id", "row").agg(F.collect_set("first_line").alias("wanted"))
+    wanted = scratch.cut(every.join(twice, "h").groupBy("doc_id", "row").agg(F.collect_set("first_line").alias("wanted")))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,7 +84,7 @@ def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(body, pa.binary())], ["doc_id", "row", "first_line", "n_lines", "body"])
 
     # the chunks that may repeat, with their bytes
-    full = scratch.cut(thin.join(scratch.cut(wanted), ["doc_id", "row"]).select("doc_id", "row", "text", "wanted").mapInArrow(bodies, "doc_id long, row long, first_line int, n_lines int, body binary"))
+    full = scratch.cut(thin.join(light(wanted, "wanted"), ["doc_id", "row"]).select("doc_id", "row", "text", "wanted").mapInArrow(bodies, "doc_id long, row long, first_line int, n_lines int, body binary"))
     first = scratch.cut(full.groupBy("body").agg(F.min(F.struct("doc_id", "row", "first_line")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("body", "keep"))
     return full.join(first, "body").where(F.struct("doc_id", "row", "first_line") > F.col("keep")).select("doc_id", "row", "first_line", "n_lines")
 
@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
     gone = repeats(docs, scratch, id_col, text_col)
     cut, key, row = (free_name(docs, n) for n in ("cut_lines", "cut_id", "cut_row"))
     by_doc = scratch.cut(gone.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first_line", "n_lines")).alias(cut)).withColumnsRenamed({"doc_id": key, "row": row}))
-    joined = docs.join(by_doc, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text_col) == F.col(row)), "left").select(*[docs[c] for c in docs.columns], cut)
+    joined = docs.join(light(by_doc, cut), (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text_col) == F.col(row)), "left").select(*[docs[c] for c in docs.columns], cut)
     names, at = docs.columns, docs.columns.index(text_col)
     from pyspark.sql import types as T
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icspark.llm.common import Scratch, components, mixed, numbered, small_batches, text_bytes, window_hashes, word_hashes
+from icspark.llm.common import Scratch, components, light, mixed, numbered, small_batches, text_bytes, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 5, 85
 ROWS, MISSED, MOST_SLOTS = 5, 3e-7, 255
@@ -311,6 +311,6 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group, that of the smallest id, and the rows without an id; every row is decided by itself."""
-    kept = groups(docs, percent, with_row=True).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row")).distinct()
-    key = docs["doc_id"].cast("long")
-    return docs.join(kept, (key == F.col("kept_id")) & (F.xxhash64(docs["text"]) == F.col("kept_row")), "left_semi").union(docs.where(key.isNull()))
+    spark = docs.sparkSession
+    gone = Scratch(spark).cut(groups(docs, percent, with_row=True).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct())
+    return docs.join(light(gone), (docs["doc_id"].cast("long") == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_row")), "left_anti")
