@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ ORDER, DECAY, PIECE = 3, 0.6, 24
 #: Bound of the labelled sample, by class.
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 4000
 #: Landmarks at most: fragments of toxic words, and clean words near them.
-FRAGMENTS, HARD = 40, 16
+FRAGMENTS, HARD = 24, 16
 #: Kernel values below it count as 0; words of a sentence at most; rounds of the machine at most; sentences that make a text's score.
 FLOOR, SENTENCE, ROUNDS, TOP = 0.5, 64, 6, 3
 #: Kernel with a fragment at which a sentence of a toxic text is positive to begin with.
@@ -147,48 +148,43 @@ def mark(word: str) -> str:
     return f"^{word}$"
 
 
-def tokens_of(text: str | None) -> list[str]:
-    """White-space separated tokens, then each run of two or more tokens of one to SHORT letters, joined."""
-    tokens = (text or "").lower().split()
-    out, run = list(tokens), []
-    for x in [*tokens, " " * (SHORT + 1)]:
-        w = x if len(x) <= SHORT and x.isalnum() else _EDGE.sub("", x) if x[0] != " " else x
+def tokens_of(text: str | None) -> tuple[list[str], list[tuple[int, str]]]:
+    """White-space separated tokens, and each run of two or more tokens of one to SHORT letters, joined, with the place where it begins."""
+    tokens, runs, run, begun = (text or "").lower().split(), [], [], 0
+    for k, x in enumerate(tokens):
+        if len(x) > SHORT and x.isalnum():  # most tokens
+            if not run:
+                continue
+            w = x
+        else:
+            w = x if x.isalnum() else _EDGE.sub("", x)
         if len(w) > SHORT:
             if len(run) > 1:
-                out.append("".join(run))
+                runs.append((begun, "".join(run)))
             run = []
         elif w:
+            if not run:
+                begun = k
             run.append(w)
-    return out
-
+    if len(run) > 1:
+        runs.append((begun, "".join(run)))
+    return tokens, runs
 
-def sentences_of(text: str | None) -> list[list[str]]:
-    """The tokens of each sentence; a token that ends in . ! or ? ends it, as does SENTENCE. A joined run stands where it begins."""
-    out: list[list[str]] = [[]]
-    run: list[str] = []
-    begun = out[0]
 
-    def close() -> None:
-        if len(run) > 1:
-            begun.append("".join(run))
-        run.clear()
-
-    for x in (text or "").lower().split():
-        w = x if len(x) <= SHORT and x.isalnum() else _EDGE.sub("", x)
-        if len(w) > SHORT:
-            close()
-        elif w:
-            begun = begun if run else out[-1]
-            run.append(w)
-        out[-1].append(x)
-        if x[-1] in ".!?" or len(out[-1]) >= SENTENCE:
-            out.append([])
-    close()
-    return [x for x in out if x]
+def sentences_of(tokens: list[str], places: list[int]) -> list[tuple[int, int]]:
+    """The sentence of each of some places in order; a token that ends in . ! or ? ends one, and it ends after SENTENCE tokens."""
+    ends = [k for k, x in enumerate(tokens) if x[-1] in ".!?"]
+    out = []
+    for k in places:
+        n = bisect_left(ends, k)
+        out.append((n, (k - (ends[n - 1] + 1 if n else 0)) // SENTENCE))
+    return out
 
 
 def bare(token: str) -> str:
     """The token without signs at its ends and, among single letters, between them: `i.d.i.o.t` is `idiot`."""
+    if token.isalnum():
+        return token
     word = _EDGE.sub("", token)
     if not word.isalnum() and len(word) > 2:
         letters = _INNER.sub("", word)
@@ -198,7 +194,9 @@ def bare(token: str) -> str:
 
 
 def words_of(text: str | None) -> list[str]:
-    return [mark(w) for x in tokens_of(text) if (w := bare(x))]
+    """The different words of a text, marked; a word that differs by signs around it may stand twice."""
+    tokens, runs = tokens_of(text)
+    return [mark(w) for x in {*tokens, *(r for _, r in runs)} if (w := bare(x))]
 
 
 @dataclass
@@ -251,12 +249,16 @@ class Rows:
         return at
 
 
-def pooled(sentences: list[list[str]], place: dict[str, int], rows: np.ndarray) -> np.ndarray:
-    """Rows of the sentences that hold a word near a fragment: the sums over their words."""
-    found = [ks for x in sentences if (ks := [k for w in x if (k := place[w])])]
-    if not found:
+def pooled(tokens: list[str], runs: list[tuple[int, str]], place: dict[str, int], rows: np.ndarray) -> np.ndarray:
+    """Rows of the sentences that hold a word near a fragment: the sums over their words, a joined run among them where it begins."""
+    near = [(k, r) for k, x in enumerate(tokens) if (r := place[x])]
+    joined = [(k, r) for k, x in runs if (r := place[x])]
+    near = sorted(near + joined) if joined else near
+    if not near:
         return np.empty((0, rows.shape[1]), np.float32)
-    return np.add.reduceat(rows[[k for ks in found for k in ks]], np.cumsum([0, *map(len, found)])[:-1])
+    sentences = sentences_of(tokens, [k for k, _ in near])
+    starts = [k for k in range(len(near)) if not k or sentences[k] != sentences[k - 1]]
+    return np.add.reduceat(rows[[r for _, r in near]], starts)
 
 
 def largest(rows: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -387,7 +389,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     if not len(y_doc) or y_doc.all() or not y_doc.any():
         return None
     ids: dict[str, int] = {}
-    bags = [np.array(sorted({ids.setdefault(w, len(ids)) for w in words_of(t)}), np.int32) for t in texts]
+    bags = [np.array(sorted({ids.setdefault(w, len(ids)) for w in sorted(words_of(t))}), np.int32) for t in texts]
     vocabulary = list(ids)
     # every fourth text is left for the logistic curve: its words are as new to the machine as those of other texts
     aside = np.arange(len(bags)) % 4 == 3
@@ -416,7 +418,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     good = value > 1e-4
     root = vector[:, good] / np.sqrt(value[good])  # Nystroem map: kernel row @ root
     place = Tokens(lambda token: known.get(mark(w), 0) if (w := bare(token)) else 0)
-    sentences = [pooled(sentences_of(t), place, rows.rows) for t in texts]
+    sentences = [pooled(*tokens_of(t), place, rows.rows) for t in texts]
     hit = [k for k in sorted(order, key=lambda k: -strong[k]) if strong[k] and not clean[k] and any(f in vocabulary[k] for f in found)]
     forms = [x for k in hit[:40] for x in loosened(vocabulary[k]) if not (x in ids and clean[ids[x]])]
     added = rows.rows[rows.add(forms)] if forms else np.empty((0, len(landmarks)), np.float32)
@@ -524,13 +526,9 @@ class Scorer(dict):
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """The TOP largest margins of the sentences of each text."""
-        bags = [set(tokens_of(t)) for t in texts]
-        self.learn(set().union(*bags))
-        out = np.full((len(texts), TOP), self.model.bias)
-        for k, bag in enumerate(bags):
-            if any(map(self.__getitem__, bag)):  # only then its sentences matter
-                out[k] = largest(pooled(sentences_of(texts[k]), self, self.rows.rows), self.model.weights, self.model.bias)
-        return out
+        split = [tokens_of(t) for t in texts]
+        self.learn({x for tokens, _ in split for x in tokens} | {r for _, runs in split for _, r in runs})
+        return np.array([largest(pooled(*x, self, self.rows.rows), self.model.weights, self.model.bias) for x in split]).reshape(-1, TOP)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

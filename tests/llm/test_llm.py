@@ -423,9 +423,12 @@ def test_toxicity_of_texts_held_out(sf, accuracy, precision, recall):
 
 
 def test_sentences():
-    assert toxicity.sentences_of(None) == [] and toxicity.sentences_of("A b. cd! Long word\nmore") == [["a", "b.", "abcd"], ["cd!"], ["long", "word", "more"]]
-    assert toxicity.sentences_of("say i d i o t now") == [["say", "i", "d", "i", "o", "t", "now", "sayidiotnow"]]
-    assert len(toxicity.sentences_of("word " * 1000)) > 10
+    at = lambda t: (lambda tokens, runs: (tokens, runs, sentences(tokens)))(*toxicity.tokens_of(t))
+    sentences = lambda tokens: toxicity.sentences_of(tokens, list(range(len(tokens))))
+    assert at(None) == ([], [], [])
+    assert at("A b. cd! Long word\nmore") == (["a", "b.", "cd!", "long", "word", "more"], [(0, "abcd")], [(0, 0), (0, 0), (1, 0), (2, 0), (2, 0), (2, 0)])
+    assert at("say i d i o t now")[1] == [(0, "sayidiotnow")] and at("word i d long m o")[1] == [(1, "id"), (4, "mo")]
+    assert len(set(sentences(["word"] * 1000))) == -(-1000 // toxicity.SENTENCE)
     assert toxicity.bare("i.d.i.o.t!") == "idiot" and toxicity.bare("mo*ron") == "moron" and toxicity.bare("well-known-thing") == "well-known-thing"
 
 
