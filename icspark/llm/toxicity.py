@@ -82,20 +82,16 @@ class Kernel:
     def __call__(self, words: list[str]) -> np.ndarray:
         """Normalised kernel, words by landmarks."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        by_size: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            if len(w) >= self.order:
-                by_size.setdefault(len(w), []).append(k)
-        for size, where in by_size.items():
-            for a in range(0, len(where), 512):
-                part = where[a : a + 512]
-                code = np.array([[self.index.get(c, -1) for c in words[k]] for k in part], np.int32)
-                own = np.sqrt(np.maximum(self_kernel([words[k] for k in part], self.order, self.decay), 1e-30))
-                out[part] = self._block(code) / own[:, None] / self.own[None]
+        letters = np.array([ord(c) for c in self.codes.tolist()], np.uint32)
+        for part, code in padded(words, self.order):
+            at = np.minimum(np.searchsorted(letters, code), len(letters) - 1)
+            known = np.where(letters[at] == code, at, -1)
+            own = np.sqrt(np.maximum(_self_block(code, self.order, self.decay), 1e-30))
+            out[part] = self._block(known) / own[:, None] / self.own[None]
         return out
 
     def _block(self, code: np.ndarray) -> np.ndarray:
-        """code: words of one length by places, -1 for letters of no landmark. Arrays run place of the landmark first."""
+        """code: words by places, -1 for letters of no landmark and after a word's end, which change nothing. Arrays run place of the landmark first."""
         n, size = code.shape
         m, width = self.table.shape
         lam, lam2 = np.float32(self.decay), np.float32(self.decay**2)
@@ -116,33 +112,46 @@ class Kernel:
         return total
 
 
-def self_kernel(words: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Kernel of each word with itself, words of one length at a time."""
-    out = np.zeros(len(words))
+def padded(words: list[str], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, code points by place, 0 after a word's end) of words of `least` letters or more, those of like length together, 512 at most."""
     by_size: dict[int, list[int]] = {}
     for k, w in enumerate(words):
-        by_size.setdefault(len(w), []).append(k)
-    lam, lam2 = decay, decay**2
+        if len(w) >= least:
+            by_size.setdefault(-(-len(w) // 4) * 4, []).append(k)
     for size, where in by_size.items():
-        if size < order:
-            continue
-        code = np.array([[ord(c) for c in words[k]] for k in where], np.int32)
-        same = (code[:, :, None] == code[:, None, :]).astype(np.float64)
-        prime = [np.ones((len(where), size + 1))] + [np.zeros((len(where), size + 1)) for _ in range(order - 1)]
-        total = np.zeros(len(where))
-        for s in range(size):
-            total += lam2 * np.einsum("nw,nw->n", same[:, s], prime[order - 1][:, :size])
-            for i in range(order - 1, 0, -1):
-                step = lam2 * same[:, s] * prime[i - 1][:, :size]
-                run = np.zeros(len(where))
-                prime[i] *= lam
-                for t in range(size):
-                    run = lam * run + step[:, t]
-                    prime[i][:, t + 1] += run
-        out[where] = total
+        for a in range(0, len(where), 512):
+            part = where[a : a + 512]
+            text = "".join([words[k].replace("\0", " ").ljust(size, "\0") for k in part])
+            yield np.array(part), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size)
+
+
+def self_kernel(words: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """Kernel of each word with itself."""
+    out = np.zeros(len(words))
+    for part, code in padded(words, order):
+        out[part] = _self_block(code, order, decay)
     return out
 
 
+def _self_block(code: np.ndarray, order: int, decay: float) -> np.ndarray:
+    """code: words by places, 0 after a word's end."""
+    n, size = code.shape
+    lam, lam2 = decay, decay**2
+    same = ((code[:, :, None] == code[:, None, :]) & (code[:, :, None] != 0)).astype(np.float64)
+    prime = [np.ones((n, size + 1))] + [np.zeros((n, size + 1)) for _ in range(order - 1)]
+    total = np.zeros(n)
+    for s in range(size):
+        total += lam2 * (same[:, s] * prime[order - 1][:, :size]).sum(1)
+        for i in range(order - 1, 0, -1):
+            step = lam2 * same[:, s] * prime[i - 1][:, :size]
+            run = np.zeros(n)
+            prime[i] *= lam
+            for t in range(size):
+                run = lam * run + step[:, t]
+                prime[i][:, t + 1] += run
+    return total
+
+
 def mark(word: str) -> str:
     """The word between marks of its begin and end, which take part in subsequences."""
     return f"^{word}$"
@@ -223,11 +232,12 @@ class Rows:
         self.rows, self.size = np.zeros((1024, len(fragments) + len(hard)), np.float32), 1
 
     def _of(self, kernel: Kernel, words: list[str]) -> np.ndarray:
+        once: dict[str, int] = {}  # long runs repeat their pieces
         flat, first = [], []
         for w in words:
             first.append(len(flat))
-            flat += pieces(w)
-        made = np.maximum.reduceat(kernel(flat), first) if flat else np.empty((0, len(kernel.landmarks)), np.float32)
+            flat += [once.setdefault(x, len(once)) for x in pieces(w)]
+        made = np.maximum.reduceat(kernel(list(once))[flat], first) if flat else np.empty((0, len(kernel.landmarks)), np.float32)
         made[made < FLOOR] = 0
         return made
 
