@@ -30,7 +30,7 @@ def controllable(df: DataFrame, program: Program, name: str = "controllable") ->
     """df with the dependents whose statement fires on the row."""
     wide, names = with_expected(df, program)
     cells = [F.when(F.col(e).isNotNull(), F.lit(s.dependent)) for s, e in zip(program.statements, names)]
-    return wide.withColumn(name, F.array_distinct(F.array_compact(F.array(*cells)))).drop(*names)
+    return wide.withColumn(name, F.array_distinct(F.array_compact(F.array(*cells).cast("array<string>")))).drop(*names)
 
 
 def inject(df: DataFrame, program: Program, key: list[str], level: float, label: str | None = None, seed: int = 42) -> DataFrame:

@@ -192,7 +192,8 @@ _METRICS = "count(*) FILTER (flag AND alert) AS tp, count(*) FILTER (NOT flag AN
 def _(spark, sf_dir):
     df = geo(spark, sf_dir, 97)
     out = detection(alerts(df, geo_program(df)), "flag")
-    return out.select("tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+    # 0 / 0 is NaN in the SQL
+    return out.select("tp", "fp", "fn", "tn", *[F.coalesce(F.round(c, 9), F.lit(float("nan"))).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
 
 
 @_own("heat_table", _geo_sql() + "SELECT 'n_name' AS determinant, 'r_name' AS dependent, round(greatest(0.001, 100.0 * count(*) FILTER (alert) / count(*)), 6) AS loss_pct FROM checked")

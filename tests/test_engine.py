@@ -11,7 +11,7 @@ from icspark import cli
 from icspark.operators import analysis, miners, noise, structure
 from icspark.operators.guard import Guard, Settings, guarded
 from icspark.operators.models import ArrowModel, LinearModel, Registry, RuleModel, load, save, train
-from icspark.operators.program import Branch, Program, Statement, alerts, detection, error_text, fit, rectified, row_errors, violated
+from icspark.operators.program import Branch, Program, Statement, alerts, detection, error_text, fit, loss, rectified, row_errors, violated
 from icspark.operators.search import Search
 from icspark.plans.grammar import QueryError
 from icspark.plans.planner import run_query
@@ -412,3 +412,12 @@ def test_search_keeps_its_graph(spark, places, tmp_path):
     p = first.run(places, ["id"])
     again = Search(0.1, 10, keep_false=True, graph_path=path)
     assert again.run(places, ["id"]) == p and first.seconds is not None and again.seconds is None
+
+
+def test_a_program_without_a_statement_finds_nothing(spark, places):
+    p = Program([fit(places, ["r_name"], "n_name", 0.1, 10)])
+    p.add(None)
+    assert p == Program() and Program.from_json(p.to_json()) == p and loss(places, None) == 0
+    assert alerts(places, p).where("alert").isEmpty() and row_errors(places, p).select(error_text()).isEmpty()
+    assert rectified(places, p).collect() == places.collect()
+    assert violated(places, p).where("size(violated) > 0").isEmpty() and noise.controllable(places, p).where("array_join(controllable, ',') <> ''").isEmpty()
