@@ -129,9 +129,9 @@ def _own(name: str, sql: str | None = None):
 # ---- programs -------------------------------------------------------------------------------
 
 
-def _branches(spark, s: Statement):
-    """The branches of a statement on n_name, with its coverage and loss."""
-    return spark.createDataFrame([(b.when["n_name"], b.value, s.coverage, s.loss) for b in s.branches], "n_name string, expected string, coverage long, loss long")
+def _branches(spark, s: Statement | None):
+    """The branches of a statement on n_name, with its coverage and loss; no row where nothing was fitted."""
+    return spark.createDataFrame([(b.when["n_name"], b.value, s.coverage, s.loss) for b in (s.branches if s else ())], "n_name string, expected string, coverage long, loss long")
 
 
 @_own("fit_branches", _geo_sql(97) + "SELECT n_name, expected, sum(support) OVER ()::BIGINT AS coverage, sum(support - mode_n) OVER ()::BIGINT AS loss FROM branches")

@@ -69,3 +69,9 @@ def test_detection_without_a_branch(spark, tmp_path):
     folder, con = changed(tmp_path, "lineitem", MUCH_NOISE)
     (row,) = agrees(spark, con, folder, "detect_metrics")
     assert row.tp == row.fp == 0 and row.fn > 0 and row.precision != row.precision
+
+
+def test_fit_without_a_branch(spark, tmp_path):
+    folder, con = changed(tmp_path, "lineitem", MUCH_NOISE)
+    assert agrees(spark, con, folder, "fit_branches") == []
+    assert len(agrees(spark, con, folder, "force_fit")) > 0
