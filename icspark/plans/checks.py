@@ -93,7 +93,7 @@ def _(spark, sf_dir):
     path, s = _folder(spark), fit(days, ["day"], "status", 0.5, 3)
     spark.createDataFrame([(Program([s]).to_json(),)], "value string").coalesce(1).write.text(path)
     again = Program.from_json(spark.read.text(path, wholetext=True).first()[0].strip())
-    return spark.createDataFrame([(b.when["day"].isoformat(), b.value) for b in again.statements[0].branches], "day string, status string")
+    return spark.createDataFrame([(b.when["day"].isoformat(), b.value) for s in again.statements for b in s.branches], "day string, status string")
 
 
 _TRUTH = RuleModel("true_region", ("r_name",), "r_name")

@@ -75,3 +75,8 @@ def test_fit_without_a_branch(spark, tmp_path):
     folder, con = changed(tmp_path, "lineitem", MUCH_NOISE)
     assert agrees(spark, con, folder, "fit_branches") == []
     assert len(agrees(spark, con, folder, "force_fit")) > 0
+
+
+def test_program_file_without_a_branch(spark, tmp_path):
+    folder, con = changed(tmp_path, "orders", "* REPLACE (chr((65 + o_orderkey % 26)::INT) AS o_orderstatus, TIMESTAMP '2020-01-01' AS o_orderdate) FROM SOURCE")
+    assert agrees(spark, con, folder, "program_file") == []
