@@ -314,7 +314,8 @@ class Counts:
             return x.join(side, reduce(and_, [F.col(v).eqNullSafe(F.col(f"{v}_")) for v in by], F.lit(True))).drop(*[f"{v}_" for v in by])
 
         both = met(met(met(cells, r, [*strata, "_a"]), c, [*strata, "_b"]), s, strata)
-        stat = both.agg(F.sum(F.col("_n") * F.col("_n") * F.col("_s") / (F.col("_r") * F.col("_c")))).first()[0] or 0.0
+        n, r, c, s_ = (F.col(x).cast("double") for x in ("_n", "_r", "_c", "_s"))  # their products are beyond a long
+        stat = both.agg(F.sum(n * n * s_ / (r * c))).first()[0] or 0.0
         n, df = met(s, k, strata).agg(F.sum("_s"), F.sum((F.col("_x") - 1) * (F.col("_y") - 1))).first()
         return stat - (n or 0), df or 0
 

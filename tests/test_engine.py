@@ -253,6 +253,17 @@ def test_counts_agree_beyond_the_joint_bound(spark, places, monkeypatch):
     assert structure.bdeu(near, "r_name", ("n_name",)) == pytest.approx(structure.bdeu(far, "r_name", ("n_name",)))
 
 
+def test_chi2_of_counts_whose_products_are_beyond_a_long(spark, monkeypatch):
+    counts = structure.Counts(spark.createDataFrame([(0, 0)], "a int, b int"), ["a", "b"])
+    cells = {(0, 0): 3_000_000_000, (0, 1): 1_000_000_000, (1, 0): 1_000_000_000, (1, 1): 3_000_000_000}
+    counts.joint = list(cells.items())
+    near = counts.chi2("a", "b", ())
+    assert near == (pytest.approx(2e9), 1)
+    counts.joint = None
+    monkeypatch.setattr(counts, "cells", lambda columns: spark.createDataFrame([(*k, n) for k, n in cells.items()], "a int, b int, _n long"))
+    assert counts.chi2("a", "b", ()) == (pytest.approx(near[0]), 1)
+
+
 def test_identity_sampler(places):
     assert any(s.dependent in ("r_name", "n_name") for s in Search(0.1, 10, "order", sampler="identity").run(places, ["id"]).statements)
     with pytest.raises(ValueError):
