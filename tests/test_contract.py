@@ -80,3 +80,9 @@ def test_fit_without_a_branch(spark, tmp_path):
 def test_program_file_without_a_branch(spark, tmp_path):
     folder, con = changed(tmp_path, "orders", "* REPLACE (chr((65 + o_orderkey % 26)::INT) AS o_orderstatus, TIMESTAMP '2020-01-01' AS o_orderdate) FROM SOURCE")
     assert agrees(spark, con, folder, "program_file") == []
+
+
+def test_guards_by_a_program_beyond_the_driver(spark, duck, monkeypatch):
+    monkeypatch.setattr("icspark.operators.program.MOST_BRANCHES", 1000)
+    for name in ("guard_large_program", "alerts_large_program"):
+        assert len(agrees(spark, duck, SF, name)) > 2
