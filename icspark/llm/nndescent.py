@@ -10,11 +10,9 @@
    Rounds end when few entries change and no list grows.
 4. Every comparison also gives joins: edges at the threshold that span the components within it. They are kept
    beside the lists, so no list's bound loses a component; they are the graph's threshold edges. Each component is
-   compared tile by tile; a tile gives one count a vector, never pairs. So the number of links is exact within components.
-5. Audit, beyond EXACT_ROWS vectors: a bounded sample of vectors is compared with all. Recall is judged a vector, over all and
-   over those outside the largest component; under TARGET more orders are drawn and the descent goes on.
-6. Up to EXACT_ROWS vectors, and wherever the audit isn't met or sees too few vectors with links, every pair of
-   vectors of different components is compared, block by block; the links so found join components.
+   compared tile by tile; a tile gives one count a vector, never pairs. So the number of links is exact.
+5. At every size every pair of vectors of different components is compared, block by block; the links so found join
+   components, so no link is lost. The descent finds almost all of them before, so hardly a pair leaves a task.
 
 Vectors travel as stored (32-bit floats as such). Cosines are taken in single precision first; those within
 its error of the threshold are taken again in double.
@@ -27,9 +25,7 @@ an id links with nothing, has no component and is kept; an empty table gives no
 from __future__ import annotations
 
 import hashlib
-import logging
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +41,9 @@ THRESHOLD = 0.9
 K, MOST_K, GAIN, BLOCK = 8, 32, 3, 256
 #: Rounds at most; share of changed entries that ends them; reverse neighbours, and candidates of a list, by hash slot.
 MOST_ROUNDS, SETTLED, REVERSE, SLOTS = 8, 0.01, 8, 128
-TILE, LEAST_TILE, TARGET, TABLES, MOST_TABLES = 512, 128, 0.99, 8, 64
-#: Sizes of the audit's sample: the next where fewer than LEAST_LINKED vectors outside the largest component have links.
-AUDIT_ROWS, LEAST_LINKED = (2_000, 16_000), 50
-#: Up to so many vectors all pairs are compared. Bytes of vectors that one broadcast of that pass holds.
-EXACT_ROWS, PASS_BYTES = 100_000, 16 << 20
+TILE, LEAST_TILE, TABLES = 512, 128, 8
+#: Bytes of vectors that one broadcast of the exact pass holds.
+PASS_BYTES = 16 << 20
 #: A pair at the threshold shares no bucket with this probability at most.
 APART = 1e-3
 
@@ -154,7 +148,7 @@ def _tables(n: int) -> int:
     return max(TABLES, math.ceil(math.log(APART) / math.log1p(-share)))
 
 
-def _seeded(reps: DataFrame, stored: str, n: int, first: int, tables: int) -> DataFrame:
+def _seeded(reps: DataFrame, stored: str, n: int, tables: int) -> DataFrame:
     """(u, v, sim, joins): best neighbours and joins within blocks of the random-hyperplane orders."""
     bits = _bits(n)
 
@@ -166,7 +160,7 @@ def _seeded(reps: DataFrame, stored: str, n: int, first: int, tables: int) -> Da
                 part = b.filter(pa.array(dims == d))
                 x = _unit(part.column(2).to_pylist(), stored)
                 if d not in planes:
-                    planes[d] = np.stack([np.random.default_rng([d, t]).standard_normal((d, bits + 1)) for t in range(first, first + tables)])
+                    planes[d] = np.stack([np.random.default_rng([d, t]).standard_normal((d, bits + 1)) for t in range(tables)])
                 for t in range(tables):
                     p = x @ planes[d][t]
                     key = (p[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
@@ -297,36 +291,7 @@ def _tiles(b: pa.RecordBatch, held: dict, stored: str) -> Iterator[tuple]:
                 yield _cosines(x, y[c])[1], mine, own, ids[c], roots[c]
 
 
-def _recall(labelled: DataFrame, stored: str, n: int) -> float:
-    """Mean share of a sampled vector's links that lie inside its component: the lower of all and of those outside the largest one; 0 if too few have links."""
-    for size in AUDIT_ROWS:
-        sample = labelled.orderBy(F.xxhash64("node"), "node").limit(size).collect()
-        shared = labelled.sparkSession.sparkContext.broadcast([(r[0], r[1], bytes(r[2]), r[3]) for r in sample])
-
-        def go(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held, found = _by_dim(shared.value, stored), {}
-            for b in batches:
-                for near, mine, own, ids, roots in _tiles(b, held, stored):
-                    near &= mine[:, None] != ids[None]
-                    for k in np.flatnonzero(near.any(0)).tolist():
-                        inside, every = found.get(ids[k], (0, 0))
-                        found[ids[k]] = inside + int((own[near[:, k]] == roots[k]).sum()), every + int(near[:, k].sum())
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in (0, 1))], ["b", "inside", "every"])
-
-        sums = {r[0]: r[1] / r[2] for r in labelled.mapInArrow(go, "b long, inside long, every long").groupBy("b").agg(F.sum("inside"), F.sum("every")).collect()}  # of the sample
-        root = {r[0]: r[3] for r in sample}
-        members = Counter(root.values())
-        largest = max(members, key=members.__getitem__, default=None)
-        linked = list(sums.values())
-        outside = [x for v, x in sums.items() if root[v] != largest]
-        if size >= n:  # every vector was judged
-            return min(np.mean(x) for x in (linked, outside, [1.0]) if x)
-        if len(outside) >= LEAST_LINKED:
-            return float(min(np.mean(linked), np.mean(outside)))
-    return 0.0
-
-
-def _missed(scratch: Scratch, labelled: DataFrame, stored: str) -> DataFrame:
+def _between(scratch: Scratch, labelled: DataFrame, stored: str) -> DataFrame:
     """labelled: node, dim, vec, root. (a, b): roots of different components with a link, from all pairs; each task gives only joining ones."""
     size = labelled.agg(F.sum(F.octet_length("vec"))).first()[0] or 0
     n = 1 + size // PASS_BYTES
@@ -370,38 +335,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # each vector once, with the smallest id that has it
     copies = good.groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("m"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
     reps = numbered(scratch, scratch.cut(copies.withColumn("row", F.xxhash64("digest"))), "vec_id")
-    n, drawn, graph, links = reps.count(), 0, None, None
-    exact = n <= EXACT_ROWS
-    tables = _tables(n)
-    while True:
-        found = scratch.cut(_seeded(reps, stored, n, drawn, tables))
-        drawn += tables
-        graph = scratch.cut(_lists(found.where("not joins"), graph))
-        for _ in range(MOST_ROUNDS):
-            joins = found.where("joins").select(F.col("u").alias("a"), F.col("v").alias("b"))
-            links = joins if links is None else links.unionByName(joins)
-            found = scratch.cut(_descend(graph, reps, stored))
-            graph, (grew, longer) = scratch.watched(_lists(found.where("not joins"), graph), F.coalesce(F.sum("grew"), F.lit(0)), F.count(F.when(F.col("active") & (F.col("grew") == 0), 1)))
-            if grew <= SETTLED * n * K and longer <= SETTLED * n:
-                break
-        links = links.unionByName(found.where("joins").select(F.col("u").alias("a"), F.col("v").alias("b")))
-        roots = scratch.cut(components(scratch, links))
-        named = reps.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "dim", "vec", F.coalesce("root", "node").alias("root"))
-        labelled = scratch.cut(named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node"))
-        if exact:
-            break
-        recall = _recall(labelled, stored, n)
-        logging.getLogger(__name__).info("audit: recall %.4f, %d tables", recall, drawn)
-        if recall >= TARGET:
-            break
-        if drawn >= max(MOST_TABLES, 2 * tables):
-            exact = True
+    n = reps.count()
+    found = scratch.cut(_seeded(reps, stored, n, _tables(n)))
+    graph, links = scratch.cut(_lists(found.where("not joins"), None)), None
+    for _ in range(MOST_ROUNDS):
+        joins = found.where("joins").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        links = joins if links is None else links.unionByName(joins)
+        found = scratch.cut(_descend(graph, reps, stored))
+        graph, (grew, longer) = scratch.watched(_lists(found.where("not joins"), graph), F.coalesce(F.sum("grew"), F.lit(0)), F.count(F.when(F.col("active") & (F.col("grew") == 0), 1)))
+        if grew <= SETTLED * n * K and longer <= SETTLED * n:
             break
-    if exact:
-        missed = _missed(scratch, labelled, stored)
-        if not missed.isEmpty():
-            stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
-            roots = scratch.cut(components(scratch, stars.unionByName(missed)))
+    links = links.unionByName(found.where("joins").select(F.col("u").alias("a"), F.col("v").alias("b")))
+    roots = scratch.cut(components(scratch, links))
+    named = reps.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "dim", "vec", F.coalesce("root", "node").alias("root"))
+    labelled = scratch.cut(named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node"))
+    missed = _between(scratch, labelled, stored)
+    if not missed.isEmpty():
+        stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+        roots = scratch.cut(components(scratch, stars.unionByName(missed)))
     joined = roots.select(F.col("id").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     sizes = joined.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = reps.join(joined, "node").join(sizes, "root").select("node", "m", "root", "size", "vec")

@@ -561,6 +561,20 @@ def test_missed_vectors_are_finished(spark, monkeypatch):
     assert 64 < nndescent._tables(10_000_000) < nndescent._tables(100_000_000)
 
 
+def test_links_that_a_sample_overlooks_are_found_at_any_size(spark, monkeypatch):
+    """One pair that no table meets, beside many that all meet: a recall of a sample wouldn't tell."""
+    monkeypatch.setattr(nndescent, "EXACT_ROWS", 0, raising=False)
+    monkeypatch.setattr(nndescent, "PASS_BYTES", 10_000)  # the exact pass in several blocks
+    real = nndescent._seeded
+    monkeypatch.setattr(nndescent, "_seeded", lambda reps, *a: real(reps.where("vec_id < 400"), *a))
+    r = np.random.default_rng(31)
+    x = r.standard_normal((402, 32))
+    x[1:402:2] = x[0:402:2] + 0.1 * r.standard_normal((201, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {a.vec_id: (a.n_links, a.component_id) for a in nndescent.near_duplicates(df).collect()}
+    assert got == {k: (1, k - k % 2) for k in range(402)}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     """Several blocks cut and drop as one does, row by row, also where an id repeats."""
     r = random.Random(13)
