@@ -23,6 +23,7 @@ with no labelled texts of either class, or nothing that tells them apart, every
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from bisect import bisect_left
@@ -54,9 +55,24 @@ CHANCE = 0.01
 SHORT = 3
 #: Tokens that a worker knows the margins of, in each of two generations.
 KNOWN_TOKENS = 150_000
+#: Tokens with signs that a worker remembers without them.
+KNOWN_EDGED = 50_000
 _EDGE, _INNER = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[\W_]+")
 
 
+class Edged(dict):
+    """Tokens without signs at their ends, found once."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > KNOWN_EDGED:
+            self.clear()
+        value = self[token] = _EDGE.sub("", token)
+        return value
+
+
+_edged = Edged()
+
+
 def pieces(word: str) -> list[str]:
     """A long word as overlapping pieces."""
     if len(word) <= PIECE:
@@ -78,6 +94,49 @@ class Kernel:
         # onehot[place, letter, landmark]
         self.onehot = (self.table.T[:, None] == np.arange(len(self.codes))[None, :, None]).astype(np.float32)
         self.own = np.sqrt(np.maximum(self_kernel(landmarks, order, decay), 1e-30)).astype(np.float32)
+        spans = np.array([math.comb(x - 2, order - 2) * decay ** (2 * x) if x >= order else 0 for x in range(PIECE + 1)])
+        #: Of a word by its length, the least that its own kernel can be.
+        self.least_own = np.array([sum((n - x + 1) * spans[x] for x in range(order, n + 1)) for n in range(PIECE + 1)])
+        # the subsequences of each landmark in turn, as pairs of neighbouring letters, with their normalised weights
+        pairs: dict[tuple[int, int], int] = {}
+        steps, weights, self.begins = [], [], []
+        for k, w in enumerate(landmarks):
+            weigh: dict[tuple[int, ...], float] = {}
+            for at in itertools.combinations(range(len(w)), order):
+                u = tuple(self.index[w[x]] for x in at)
+                weigh[u] = weigh.get(u, 0) + decay ** (at[-1] - at[0] + 1)
+            self.begins.append(len(steps))
+            for u, x in weigh.items() or [((0,) * order, 0.0)]:
+                steps.append([pairs.setdefault(p, len(pairs)) for p in itertools.pairwise(u)])
+                weights.append(decay * x / self.own[k])
+        self.steps, self.pairs, self.weights = np.array(steps, np.int64), np.array(list(pairs), np.int64), np.array(weights, np.float32)
+
+    def may_reach(self, words: list[str], least: float) -> np.ndarray:
+        """False only for words whose normalised kernel with every landmark is below `least`.
+
+        A subsequence weighs in a word at most the product of what its pairs of neighbouring letters weigh, summed over their places;
+        the word's own kernel is at least what its subsequences make if all differ.
+        """
+        out = np.zeros(len(words), bool)
+        letters = np.array([ord(c) for c in self.codes.tolist()], np.uint32)
+        n_letters, lam = len(letters), np.float32(self.decay)
+        for part, code in padded(words, self.order):
+            n, size = code.shape
+            at = np.minimum(np.searchsorted(letters, code), n_letters - 1)
+            known = np.where(letters[at] == code, at, n_letters)  # the last stands for letters of no landmark
+            rows, before, met = np.arange(n), np.zeros((n, n_letters + 1), np.float32), np.zeros((n, n_letters + 1, n_letters + 1), np.float32)
+            for s in range(size):
+                met[rows, known[:, s]] += before
+                before[rows, known[:, s]] += 1
+                before *= lam
+            near = np.ascontiguousarray(met[:, self.pairs[:, 1], self.pairs[:, 0]].T)
+            held = near[self.steps[:, 0]]
+            for k in range(1, self.steps.shape[1]):
+                held *= near[self.steps[:, k]]
+            held *= self.weights[:, None]
+            most = np.add.reduceat(held, self.begins, axis=0).max(0)
+            out[part] = most >= (least - 1e-3) * np.sqrt(self.least_own[(code != 0).sum(1)])
+        return out
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """Normalised kernel, words by landmarks."""
@@ -166,7 +225,7 @@ def tokens_of(text: str | None) -> tuple[list[str], list[tuple[int, str]]]:
                 continue
             w = x
         else:
-            w = x if x.isalnum() else _EDGE.sub("", x)
+            w = x if x.isalnum() else _edged[x]
         if len(w) > SHORT:
             if len(run) > 1:
                 runs.append((begun, "".join(run)))
@@ -194,7 +253,7 @@ def bare(token: str) -> str:
     """The token without signs at its ends and, among single letters, between them: `i.d.i.o.t` is `idiot`."""
     if token.isalnum():
         return token
-    word = _EDGE.sub("", token)
+    word = _edged[token]
     if not word.isalnum() and len(word) > 2:
         letters = _INNER.sub("", word)
         if 2 * len(letters) <= len(word) + 1 or len(word) - len(letters) == 1:
@@ -237,7 +296,11 @@ class Rows:
         for w in words:
             first.append(len(flat))
             flat += [once.setdefault(x, len(once)) for x in pieces(w)]
-        made = np.maximum.reduceat(kernel(list(once))[flat], first) if flat else np.empty((0, len(kernel.landmarks)), np.float32)
+        every = list(once)
+        go = np.flatnonzero(kernel.may_reach(every, FLOOR))  # the others are 0 by the floor
+        values = np.zeros((len(every), len(kernel.landmarks)), np.float32)
+        values[go] = kernel([every[k] for k in go.tolist()])
+        made = np.maximum.reduceat(values[flat], first) if flat else np.empty((0, len(kernel.landmarks)), np.float32)
         made[made < FLOOR] = 0
         return made
 

@@ -742,3 +742,25 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd_docs):
             out = stage(spark, given, sf)
             assert name == "packing" or out.columns == docs.columns, name
             assert (out.count() > 0) == (given is docs), name
+
+
+def test_words_far_from_all_landmarks_are_not_compared(monkeypatch):
+    """The bound passes over no word that the kernel takes to the floor, whatever repeats in it, and most words of a text."""
+    r = random.Random(17)
+    marks = ["^idiot$", "stra", "less$", "^aaba", "worthles", "ab"]
+    kernel = toxicity.Kernel(marks)
+    near = ["".join(r.choice([c, c, c, c, c + c, "", r.choice("aest.")]) for c in r.choice(marks) * r.choice([1, 1, 2])) for _ in range(3000)]
+    words = sorted({toxicity.mark("".join(r.choice("abcdefghilmnoprstuw") for _ in range(r.randint(1, 20)))) for _ in range(3000)})
+    for some in (near, words):
+        some = [p for w in some for p in toxicity.pieces(w)]
+        high, may = kernel(some).max(1) >= toxicity.FLOOR, kernel.may_reach(some, toxicity.FLOOR)
+        assert not (high & ~may).any()
+    assert may.mean() < 0.2
+    compared = []
+    real = toxicity.Kernel.__call__
+    monkeypatch.setattr(toxicity.Kernel, "__call__", lambda self, w: compared.extend(w) or real(self, w))
+    rows = toxicity.Rows(marks, [])
+    place = rows.add(near + words)
+    assert len(compared) < 0.9 * len(near) + 0.2 * len(words)
+    want = np.stack([np.where((v := real(kernel, toxicity.pieces(w)).max(0)) < toxicity.FLOOR, 0, v) for w in near[:300] + words[:300]])
+    assert (rows.rows[np.r_[place[:300], place[len(near) : len(near) + 300]]] == want).all()
