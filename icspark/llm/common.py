@@ -219,12 +219,17 @@ class Held:
     @classmethod
     def get(cls, key, make):
         if cls.key != key:
-            if cls.key is not None:
-                cls.key, cls.value = None, None
-                give_back()
+            cls.free()
             cls.key, cls.value = key, make()
         return cls.value
 
+    @classmethod
+    def free(cls) -> None:
+        """Drop the cache, for operators that hold none of their own."""
+        if cls.key is not None:
+            cls.key, cls.value = None, None
+            give_back()
+
 
 def give_back() -> None:
     """Return freed memory to the system, where the allocators can."""

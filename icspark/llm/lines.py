@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icspark.llm.common import Scratch, free_name, light, sha256_hex, small_batches
+from icspark.llm.common import Held, Scratch, free_name, light, sha256_hex, small_batches
 
 REACH, MEAN_LINES = 3, 4
 _FACTORS = (1, 31, 961)
@@ -57,23 +57,27 @@ def _hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, row, first_line, n_lines, h of every chunk of (doc_id, row, text)."""
+    Held.free()
+    for b in batches:
+        ids, rows, at, n, h = [], [], [], [], []
+        for doc, row, text in zip(*(b.column(k).to_pylist() for k in (0, 1)), b.column(2).cast(pa.binary()).to_pylist()):
+            for first, lines, data in chunks_of(text):
+                ids.append(doc), rows.append(row), at.append(first), n.append(lines), h.append(_hash64(data))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], ["doc_id", "row", "first_line", "n_lines", "h"])
+
+
 def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, first_line, n_lines) of every chunk that goes; row is the hash of the row's text."""
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, rows, at, n, h = [], [], [], [], []
-            for doc, row, text in zip(*(b.column(k).to_pylist() for k in (0, 1)), b.column(2).cast(pa.binary()).to_pylist()):
-                for first, lines, data in chunks_of(text):
-                    ids.append(doc), rows.append(row), at.append(first), n.append(lines), h.append(_hash64(data))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], ["doc_id", "row", "first_line", "n_lines", "h"])
-
-    every = scratch.cut(thin.mapInArrow(listed, "doc_id long, row long, first_line int, n_lines int, h long"))
+    every = scratch.cut(thin.mapInArrow(_listed, "doc_id long, row long, first_line int, n_lines int, h long"))
     twice = scratch.cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     wanted = scratch.cut(every.join(twice, "h").groupBy("doc_id", "row").agg(F.collect_set("first_line").alias("wanted")))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Held.free()
         for b in batches:
             ids, rows, at, n, body = [], [], [], [], []
             for doc, row, text, want in zip(*(b.column(k).to_pylist() for k in (0, 1)), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
@@ -104,6 +108,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
     schema = T.StructType(docs.schema.fields + ([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())] if counts else []))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Held.free()
         for b in batches:
             texts, n_lines, n_gone = [], [], []
             for text, spans in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from icspark.llm import chat, decontam, extract, langid, lines, minhash, nndescent, packing, substrings, toxicity
-from icspark.llm.common import components, Scratch, window_hashes
+from icspark.llm.common import components, Held, Scratch, window_hashes
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -764,3 +764,8 @@ def test_words_far_from_all_landmarks_are_not_compared(monkeypatch):
     assert len(compared) < 0.9 * len(near) + 0.2 * len(words)
     want = np.stack([np.where((v := real(kernel, toxicity.pieces(w)).max(0)) < toxicity.FLOOR, 0, v) for w in near[:300] + words[:300]])
     assert (rows.rows[np.r_[place[:300], place[len(near) : len(near) + 300]]] == want).all()
+
+
+def test_lines_free_what_other_operators_hold():
+    Held.get("other", lambda: [0] * 1000)
+    assert list(lines._listed(iter([]))) == [] and Held.key is None
