@@ -5,6 +5,8 @@ import os
 import duckdb
 import pytest
 
+from icspark.operators.program import alerts
+from icspark.plans import checks
 from icspark.plans.contract import ORACLE_SQL, QUERIES, TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +88,11 @@ def test_guards_by_a_program_beyond_the_driver(spark, duck, monkeypatch):
     monkeypatch.setattr("icspark.operators.program.MOST_BRANCHES", 1000)
     for name in ("guard_large_program", "alerts_large_program"):
         assert len(agrees(spark, duck, SF, name)) > 2
+
+
+def test_a_large_program_broadcasts_no_table_that_grows(spark, monkeypatch):
+    """Orders and branches that Spark takes for small by their files are met by a shuffle."""
+    monkeypatch.setattr("icspark.operators.program.MOST_BRANCHES", 1000)
+    made = alerts(*checks._big(spark, SF))
+    assert made.count() > 0
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()

@@ -137,6 +137,14 @@ def test_more_branches_than_the_driver_holds(spark, monkeypatch):
         guarded(df, model, Guard("raise", q), "y")
 
 
+def test_a_table_of_branches_is_not_broadcast(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("icspark.operators.program.MOST_BRANCHES", 20)
+    spark.range(200).selectExpr("id % 50 AS a", "id % 50 AS b").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    made = alerts(df, Program([fit(df, ["a"], "b", 0.5, 0)]))
+    assert made.where("alert").isEmpty() and "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_later_statement_wins_and_nulls(spark):
     df = spark.createDataFrame([(1, "x", None), (2, None, "q")], "id long, a string, b string")
     p = Program([Statement(("a",), "b", (Branch({"a": "x"}, "one"),)), Statement(("a",), "b", (Branch({"a": "x"}, "two"),))])
