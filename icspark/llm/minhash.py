@@ -12,7 +12,7 @@ is missed with probability below 1e-6 (26 bands of 5 slots at 0.85, 38 of 5 at 0
    whose members then still lie in several components are compared in full, in tiles of bounded size,
    by signature; the texts of only those members are fetched that look similar to one of another component.
 4. Every pair so found is confirmed on the full shingle sets before it links. Only texts of such pairs travel.
-5. Links become components by alternating star rounds.
+5. Links become components by one task's union-find while they are few (FOREST_EDGES), by alternating star rounds beyond.
 
 Defined cases: null and empty texts have no shingles and link with nothing; fewer words than
 a shingle are one shingle; repeated rows of an id are answered each with the same result, and several texts of an id each by
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icspark.llm.common import Scratch, components, light, mixed, numbered, small_batches, text_bytes, window_hashes, word_hashes
+from icspark.llm.common import FOREST_EDGES, Scratch, components, light, mixed, numbered, small_batches, text_bytes, window_hashes, word_hashes
 
 SHINGLE, PERCENT = 5, 85
 ROWS, MISSED, MOST_SLOTS = 5, 3e-7, 255
@@ -283,7 +283,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
     met = scratch.cut(keyed.join(hubs, "k"))  # members of buckets of two or more
     pairs = scratch.cut(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     links = confirm(scratch, _agreeing(pairs, sigs, percent), chosen, thin, percent)
-    roots = scratch.cut(components(scratch, links)).withColumnRenamed("id", "node")
+    roots = scratch.cut(components(scratch, links, together=FOREST_EDGES)).withColumnRenamed("id", "node")
     # buckets of three or more that the stars left in pieces
     labelled = scratch.cut(met.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     broken = scratch.cut(labelled.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"))
@@ -293,14 +293,14 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
     # hot buckets that share members form sets; each set is compared once, whatever its buckets
     hot = scratch.cut(open_rows.where(F.col("n") > HOT_BUCKET).select("node", "hub", "root").distinct())
     if not hot.isEmpty():
-        sets = scratch.cut(components(scratch, hot.select(F.col("node").alias("a"), F.col("hub").alias("b")))).select(F.col("id").alias("node"), F.col("root").alias("set"))
+        sets = scratch.cut(components(scratch, hot.select(F.col("node").alias("a"), F.col("hub").alias("b")), together=FOREST_EDGES)).select(F.col("id").alias("node"), F.col("root").alias("set"))
         within = scratch.cut(hot.select("node", "root").distinct().join(sets, "node", "left").select("node", "root", F.coalesce("set", "node").alias("g")))
         size = scratch.cut(within.groupBy("g").agg(F.count(F.lit(1)).alias("size")))
         members = within.join(F.broadcast(size) if size.count() <= MOST_BROADCAST else size, "g").join(chosen.select("node", "n_shingles", "sig"), "node")
         still = scratch.cut(_open_in_tiles(members, percent))
         more = more.unionByName(scratch.cut(_joined_in_tiles(still.join(texts_of(scratch, still.select("node"), chosen, thin), "node"), percent)))
     if not more.isEmpty():
-        roots = scratch.cut(components(scratch, links.unionByName(more))).withColumnRenamed("id", "node")
+        roots = scratch.cut(components(scratch, links.unionByName(more), together=FOREST_EDGES)).withColumnRenamed("id", "node")
     heads = chosen.select(F.col("node").alias("root"), F.col("doc_id").alias("head"))
     placed = chosen.select("seq", "node", F.col("doc_id").alias("own")).join(roots, "node", "left").join(heads, "root", "left")
     named = every.join(placed.select("seq", F.coalesce("head", "own").alias("smallest")), "seq", "left")

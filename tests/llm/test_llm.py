@@ -769,3 +769,25 @@ def test_words_far_from_all_landmarks_are_not_compared(monkeypatch):
 def test_lines_free_what_other_operators_hold():
     Held.get("other", lambda: [0] * 1000)
     assert list(lines._listed(iter([]))) == [] and Held.key is None
+
+
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    """Links that one task can hold become components without a written round; more of them meet in rounds, with the same result."""
+    pairs = [(0, k) for k in range(1, 90)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000 + a, 2000 + b) for a in range(12) for b in range(a)] + [(3000, 3000), (5, 1000)]
+    edges, want = spark.createDataFrame(pairs, "a long, b long").repartition(16), roots(pairs, {k for p in pairs for k in p})
+    for together, rounds in ((len(pairs), 0), (len(pairs) - 1, 40)):
+        found = components(Scratch(spark), edges, most_rounds=rounds, together=together)
+        assert {x.id: x.root for x in found.collect()} == {k: v for k, v in want.items() if k != v}
+    assert components(Scratch(spark), empty(edges), together=1).count() == 0
+    r = random.Random(23)
+    rows = []
+    for k in range(24):  # chains: each text changes a word of the last
+        w = list(rows[-1][1].split()) if k % 8 else text(r, 120).split()
+        w[r.randrange(120)] = f"q{k}"
+        rows.append((k, " ".join(w)))
+    df, real, rounds = spark.createDataFrame(rows, "doc_id long, text string"), Scratch.watched, []
+    monkeypatch.setattr(Scratch, "watched", lambda self, *a: rounds.append(1) or real(self, *a))
+    want = [(k, k - k % 8) for k in range(24)]
+    assert sorted((x.doc_id, x.component_id) for x in minhash.groups(df).collect()) == want and not rounds
+    monkeypatch.setattr(minhash, "FOREST_EDGES", 1)
+    assert sorted((x.doc_id, x.component_id) for x in minhash.groups(df).collect()) == want and rounds
