@@ -137,24 +137,31 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
     scratch = Scratch(spark)
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = [text.split() for text in text_bytes(b.column(2))]
+            sha = [hashlib.sha256(b" ".join(words)).digest() for words in split]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, split), pa.int64()), pa.array(sha, pa.binary())], ["doc_id", "row", "n_words", "sha"])
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sha, anchors = [], [], []
-            for text in text_bytes(b.column(2)):
+            ids, rows, sha, anchors = [], [], [], []
+            for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2))):
                 words = text.split()
                 at, grams = anchors_of(word_hashes(words))
-                n.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).digest())
-                anchors.append(np.unique(grams[np.unique(at)]).view(np.int64).tolist() if len(at) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["doc_id", "row", "n_words", "sha", "anchors"])
-
-    every = scratch.cut(thin.mapInArrow(listed, "doc_id long, row long, n_words long, sha binary, anchors array<long>"))
-    long_ = every.where((F.col("n_words") >= SPAN) & F.col("doc_id").isNotNull())
+                if len(at):
+                    ids.append(doc), rows.append(row), sha.append(hashlib.sha256(b" ".join(words)).digest())
+                    anchors.append(np.unique(grams[np.unique(at)]).view(np.int64))
+            lists = [pa.array(x, t) for x, t in ((ids, pa.int64()), (rows, pa.int64()), (sha, pa.binary()), (anchors, pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(lists, ["doc_id", "row", "sha", "anchors"])
+
+    # written are tables that several plans read, those that a join by a frequent key meets (it can split only plain shuffles), and what the scan finds; the answer splits the words again
+    long_ = thin.where("doc_id is not null").mapInArrow(listed, "doc_id long, row long, sha binary, anchors array<long>")
     # texts of different words, each with the row of its smallest id
     firsts = scratch.cut(long_.groupBy("sha").agg(F.min(F.struct("doc_id", "row")).alias("s"), F.first("anchors").alias("anchors")).select("sha", "s.doc_id", "s.row", "anchors"))
     apart = firsts.select("doc_id", "row", F.explode("anchors").alias("anchor"))
     recurring = scratch.cut(apart.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    wanted = scratch.cut(apart.join(recurring, "anchor").groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("wanted")))
+    wanted = apart.join(recurring, "anchor").groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("wanted"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +176,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
                 seconds.append((window_hashes(mixed(h ^ _SECOND), SPAN)[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 squeezed.append(_squeezed(text))
             lists = [pa.array(x, pa.list_(t)) for x, t in ((places, pa.int32()), (hashes, pa.int64()), (seconds, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(squeezed, pa.binary()), *lists], ["doc_id", "row", "z", "places", "hashes", "seconds"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(squeezed, pa.binary()), pa.array(map(len, squeezed), pa.int64()), *lists], ["doc_id", "row", "z", "z_bytes", "places", "hashes", "seconds"])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,7 +190,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
 
     # one compressed shuffle of the texts; equal rows leave one
     involved = thin.mapInArrow(squeeze, "doc_id long, row long, z binary").join(wanted, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "z", "wanted")
-    involved = scratch.cut(involved.mapInArrow(loosen(windows), "doc_id long, row long, z binary, places array<int>, hashes array<long>, seconds array<int>"))
+    involved = scratch.cut(involved.mapInArrow(loosen(windows), "doc_id long, row long, z binary, z_bytes long, places array<int>, hashes array<long>, seconds array<int>"))
     # where no id stands first for several texts, ids alone tell texts apart from here on: a constant takes no room
     alone = firsts.groupBy("doc_id").count().where("count > 1").isEmpty()
     if alone:
@@ -193,9 +200,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
     sources = rows.groupBy("w", "w2").agg(F.min(F.struct("doc_id", "row", "place")).alias("s"), F.max("doc_id").alias("most")).where("s.doc_id < most")
     sources = scratch.cut(sources.select("w", "w2", F.col("s.doc_id").alias("source"), F.col("s.row").alias("source_row"), F.col("s.place").alias("at")))
     matched = scratch.cut(rows.select("w", "w2", "doc_id", "row").join(sources, ["w", "w2"]).where("source < doc_id").select("doc_id", "row", "source", "source_row", "at"))
-    receivers = scratch.cut(matched.select("doc_id", "row").distinct())
-    scanned = scratch.cut(texts.join(receivers, ["doc_id", "row"], "left_semi"))
-    size = scanned.agg(F.sum(F.octet_length("z"))).first()[0] or 0
+    receivers = matched.select("doc_id", "row").distinct()
+    scanned = texts.join(receivers, ["doc_id", "row"], "left_semi")
+    size = involved.select("doc_id", "row", "z_bytes").join(receivers, ["doc_id", "row"], "left_semi").agg(F.sum("z_bytes")).first()[0] or 0
     shard = F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 + size // SHARD_BYTES)).cast("int").alias("shard")
     # each shard and source once, with the places of the source's windows: combined before the shuffle
     sent = matched.select(shard, "source", "source_row", "at").distinct().groupBy("shard", "source", "source_row").agg(F.collect_set("at").alias("ats"))
@@ -224,8 +231,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
         return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
     found = scratch.cut(scanned.select(shard, "doc_id", "row", "z").groupBy("shard").cogroup(phrases.groupBy("shard")).applyInPandas(scan, schema))
-    info = every.select("doc_id", "row", "n_words", "sha")
-    named = info.join(firsts.select("sha", F.col("doc_id").alias("first"), F.col("row").alias("first_row")), "sha", "left")
+    named = thin.mapInArrow(counted, "doc_id long, row long, n_words long, sha binary").join(firsts.select("sha", F.col("doc_id").alias("first"), F.col("row").alias("first_row")), "sha", "left")
     # a row of the first id answers as its first row does, whose words are the same
     out = named.join(found, (F.col("doc_id") == F.col("found_id")) & (F.col("first_row") == F.col("found_row")) & (F.col("doc_id") == F.col("first")), "left")
     copy = F.col("doc_id") > F.col("first")  # null for short texts and rows without an id

@@ -662,6 +662,15 @@ def test_substrings_of_odd_rows(odd_docs, odd):
     assert listed(tuple(x) for x in substrings.report(odd_docs).collect()) == listed(x[:4] for x in want)
 
 
+def test_substrings_write_only_tables_that_must_be(odd_docs, monkeypatch):
+    real, written = Scratch.cut, []
+    monkeypatch.setattr(Scratch, "cut", lambda self, df: written.append(df.columns) or real(self, df))
+    substrings.report(odd_docs)
+    # each file of a table on a local disk costs an executor three processes
+    assert len(written) == 6
+    assert sum("z" in columns for columns in written) == 1 and not any("n_words" in columns for columns in written)
+
+
 def test_minhash_of_odd_rows(spark, odd_docs, odd):
     sets = []
     for _, t in odd:
